@@ -1,8 +1,12 @@
 """Queries of this subpackage."""
 
+from certalog.llm.quality import op3_quality
 from certalog.llm.simhash import op8_simhash
+from certalog.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op3_quality": op3_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
 }
 ORACLE = {}
