@@ -12,6 +12,8 @@ from certalog.llm.common import arrow_map, table
 
 #: Hashed features, labelled rows of each class that the fit takes at most, smoothing of the log-count ratios.
 BITS, FIT_ROWS, ALPHA = 18, 1500, 1.0
+#: Labels up to this number (about 30 MB) are broadcast to the texts; beyond it both sides are shuffled.
+BROADCAST_LABELS = 500_000
 COST, EPOCHS = 1.0, 12
 
 
@@ -29,17 +31,27 @@ def marks(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, text, mark) of the documents that known (doc_id, mark) has."""
+    few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
+
+
 def feature_counts(texts: DataFrame, bits: int) -> np.ndarray:
     """How many texts of each mark have each feature, over all labelled rows: 2 rows of 2 ** bits, summed by Spark."""
 
-    def run(batch: pa.RecordBatch):
-        mark = batch.column(1).to_numpy(zero_copy_only=False)
-        for first, part in tokens.chunks(batch.column(0)):
-            doc, feature = tokens.indicators(part, bits)
-            keys, n = np.unique(feature << 1 | mark[first + doc], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array((keys & 1).astype(np.int32)), pa.array(n)], names=["feature", "mark", "n"])
-
-    found = arrow_map(texts.select("text", "mark"), run, "feature long, mark int, n long")
+    def run(batches):
+        counts = np.zeros(2 << bits, dtype=np.int64)
+        for batch in batches:
+            mark = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, part in tokens.chunks(batch.column(0)):
+                doc, feature = tokens.indicators(part, bits)
+                keys, n = np.unique(feature << 1 | mark[first + doc], return_counts=True)
+                counts[keys] += n
+        keys = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array((keys & 1).astype(np.int32)), pa.array(counts[keys])], names=["feature", "mark", "n"])
+
+    found = texts.select("text", "mark").mapInArrow(run, "feature long, mark int, n long")
     sums = found.groupBy("feature").pivot("mark", [0, 1]).sum("n").na.fill(0).toArrow()
     out = np.zeros((2, 1 << bits))
     for k in (0, 1):
@@ -47,7 +59,7 @@ def feature_counts(texts: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def fit_sample(texts: DataFrame, rows: int, bits: int, id_col: str = "doc_id") -> tuple[list[np.ndarray], np.ndarray]:
+def fit_sample(docs: DataFrame, known: DataFrame, rows: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and marks of at most rows labelled rows of each mark, those with the smallest hashes of their ids."""
 
     def run(batch: pa.RecordBatch):
@@ -57,16 +69,24 @@ def fit_sample(texts: DataFrame, rows: int, bits: int, id_col: str = "doc_id") -
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(feature))
             yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(first, len(part))], names=["x", "mark"])
 
-    order = F.xxhash64(id_col)
-    picked = [texts.where(F.col("mark") == k).orderBy(order, id_col).limit(rows) for k in (0, 1)]
-    got = arrow_map(picked[0].unionByName(picked[1]).select("text", "mark"), run, "x array<long>, mark int").toArrow()
+    there = docs.select("doc_id").join(known, "doc_id")
+    picked = [there.where(F.col("mark") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    few = picked[0].unionByName(picked[1]).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # 2 * rows at most
+    got = arrow_map(texts.orderBy("doc_id").select("text", "mark"), run, "x array<long>, mark int").toArrow()
     return [x.values.to_numpy() for x in got.column("x")] if got.num_rows else [], got.column("mark").to_numpy()
 
 
-def log_ratios(counts: np.ndarray, totals: np.ndarray, alpha: float) -> np.ndarray:
+def totals(docs: DataFrame, known: DataFrame) -> np.ndarray:
+    """Labelled documents of mark 0 and of mark 1."""
+    found = {r.mark: r.n for r in docs.select("doc_id").join(known, "doc_id").groupBy("mark").agg(F.count("*").alias("n")).collect()}
+    return np.array([found.get(0, 0), found.get(1, 0)], dtype=float)
+
+
+def log_ratios(counts: np.ndarray, of: np.ndarray, alpha: float) -> np.ndarray:
     """Log-count ratio of each feature between marks 1 and 0; 0 for a feature that no labelled text has."""
-    p = (counts[1] + alpha) / (totals[1] + 2 * alpha)
-    q = (counts[0] + alpha) / (totals[0] + 2 * alpha)
+    p = (counts[1] + alpha) / (of[1] + 2 * alpha)
+    q = (counts[0] + alpha) / (of[0] + 2 * alpha)
     return np.where(counts.sum(axis=0) > 0, np.log(p / q), 0.0)
 
 
@@ -102,14 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int =
     The ratios count every labelled row outside the held-out third. The hinge-loss fit takes at most rows rows of each
     class (a documented bound). Without rows of both classes all are zero and every score is 0.5.
     """
-    texts = docs.select("doc_id", "text").join(marks(labels, label), "doc_id")
-    counts = feature_counts(texts, bits)
-    totals = {r.mark: r.n for r in texts.groupBy("mark").agg(F.count("*").alias("n")).collect()}
-    totals = np.array([totals.get(0, 0), totals.get(1, 0)], dtype=float)
-    if not totals.all():
+    known = marks(labels, label)
+    of = totals(docs, known)
+    if not of.all():
         return np.zeros(1 << bits), np.zeros(1 << bits), 0.0
-    ratio = log_ratios(counts, totals, ALPHA)
-    xs, mark = fit_sample(texts, rows, bits)
+    ratio = log_ratios(feature_counts(labelled(docs, known), bits), of, ALPHA)
+    xs, mark = fit_sample(docs, known, rows, bits)
     vs = [scaled(x, ratio) for x in xs]
     w, bias = dual_coordinate_descent(xs, vs, np.where(mark == 1, 1.0, -1.0), 1 << bits, COST, EPOCHS)
     return ratio, w, bias

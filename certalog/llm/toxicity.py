@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from certalog.llm import tokens
 from certalog.llm.common import arrow_map, table
-from certalog.llm.quality import fit_sample, log_ratios, marks
+from certalog.llm.quality import fit_sample, labelled, log_ratios, marks, totals
 
 #: Bits of a feature's hash; labelled rows of each mark that the fit takes at most; share of toxic texts, log-count ratio
 #: and log-likelihood ratio statistic that a feature needs.
@@ -38,25 +38,25 @@ def known(chosen: np.ndarray, feature: np.ndarray) -> np.ndarray:
     return chosen[np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)] == feature
 
 
-def select_features(texts: DataFrame, totals: np.ndarray) -> np.ndarray:
+def select_features(texts: DataFrame, of: np.ndarray) -> np.ndarray:
     """Sorted features with exp(RATIO) times the share of toxic texts, where chance explains that badly.
 
     Candidates are in SHARE of the toxic texts or more, so there are at most 1 / SHARE times as many as an average toxic
     text has features, whatever the number of texts. All labelled texts are counted.
     """
-    lines = counted(texts.where("mark = 1")).where(F.col("n") >= max(3.0, SHARE * totals[1])).orderBy("feature").toArrow()
+    lines = counted(texts.where("mark = 1")).where(F.col("n") >= max(3.0, SHARE * of[1])).orderBy("feature").toArrow()
     feature, toxic = lines.column("feature").to_numpy(), lines.column("n").to_numpy()
     clean = np.zeros(len(feature))
     if len(feature):
         found = counted(texts.where("mark = 0"), feature).toArrow()
         clean[np.searchsorted(feature, found.column("feature").to_numpy())] = found.column("n").to_numpy()
     counts = np.stack([clean, toxic])
-    share = counts.sum(axis=0) / totals.sum()
+    share = counts.sum(axis=0) / of.sum()
     g = np.zeros(len(feature))
     for k in (0, 1):
-        for seen, of in ((counts[k], share), (totals[k] - counts[k], 1 - share)):
-            g += 2 * seen * np.log(np.divide(seen, totals[k] * of, out=np.ones(len(seen)), where=seen > 0))
-    return feature[(g >= EVIDENCE) & (log_ratios(counts, totals, 1.0) >= RATIO)]
+        for seen, chance in ((counts[k], share), (of[k] - counts[k], 1 - share)):
+            g += 2 * seen * np.log(np.divide(seen, of[k] * chance, out=np.ones(len(seen)), where=seen > 0))
+    return feature[(g >= EVIDENCE) & (log_ratios(counts, of, 1.0) >= RATIO)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -109,13 +109,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.nd
     toxic features than the median toxic text. Feature counts cover every labelled row outside the held-out third, the
     regression at most FIT_ROWS rows of each mark. Without rows of both marks there are no features.
     """
-    texts = docs.select("doc_id", "text").join(marks(labels, label), "doc_id")
-    totals = {r.mark: r.n for r in texts.groupBy("mark").agg(F.count("*").alias("n")).collect()}
-    totals = np.array([totals.get(0, 0), totals.get(1, 0)], dtype=float)
-    chosen = select_features(texts, totals) if totals.all() else np.zeros(0, dtype=np.int64)
+    marked = marks(labels, label)
+    of = totals(docs, marked)
+    chosen = select_features(labelled(docs, marked), of) if of.all() else np.zeros(0, dtype=np.int64)
     if not len(chosen):
         return chosen, np.zeros(0), np.array([1.0, 2.0])
-    xs, mark = fit_sample(texts, FIT_ROWS, BITS)
+    xs, mark = fit_sample(docs, marked, FIT_ROWS, BITS)
     xs = [np.searchsorted(chosen, x[known(chosen, x)]) for x in xs]
     size = np.array([len(x) for x in xs])
     grade = np.where(mark == 1, 1 + (size > np.median(size[mark == 1])), 0)
