@@ -1,11 +1,15 @@
 """Queries of this subpackage."""
 
+from certalog.llm.html import op6_html
+from certalog.llm.packing import op4_packing
 from certalog.llm.quality import op3_quality
 from certalog.llm.simhash import op8_simhash
 from certalog.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
+    "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
 }
