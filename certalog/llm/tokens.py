@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed together.
-CHUNK = 1 << 21
+#: Bytes of text hashed together; the arrays at work stay in cache.
+CHUNK = 1 << 19
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -21,7 +21,6 @@ _LOWER[65:91] += 32
 _CLASS = np.full(256, 2, dtype=np.uint8)
 _CLASS[[32, 9, 10, 11, 12, 13]] = 0
 _CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,12 +35,12 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(max(n, CHUNK + 1024), dtype=np.uint64)
-        have[1:] = np.uint64(base)
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+    low = np.full(1024, base, dtype=np.uint64)
+    low[0] = 1
+    low = np.multiply.accumulate(low)
+    high = np.full(n // 1024 + 1, pow(base, 1024, 1 << 64), dtype=np.uint64)
+    high[0] = 1
+    return np.multiply.outer(np.multiply.accumulate(high), low).ravel()[:n]
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
