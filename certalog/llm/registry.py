@@ -1,6 +1,8 @@
 """Queries of this subpackage."""
 
+from certalog.llm.ann import op10_nearest
 from certalog.llm.html import op6_html
+from certalog.llm.lines import op9_lines
 from certalog.llm.packing import op4_packing
 from certalog.llm.quality import op3_quality
 from certalog.llm.simhash import op8_simhash
@@ -12,5 +14,7 @@ QUERIES = {
     "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_lines": op9_lines,
+    "op10_nearest": op10_nearest,
 }
 ORACLE = {}
