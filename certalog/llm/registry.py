@@ -5,12 +5,14 @@ from certalog.llm.html import op6_html
 from certalog.llm.lines import op9_lines
 from certalog.llm.packing import op4_packing
 from certalog.llm.quality import op3_quality
+from certalog.llm.secrets import op5_secrets
 from certalog.llm.simhash import op8_simhash
 from certalog.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_secrets": op5_secrets,
     "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
