@@ -1,6 +1,7 @@
 """Queries of this subpackage."""
 
 from certalog.llm.ann import op10_nearest
+from certalog.llm.decontaminate import op1_decontamination
 from certalog.llm.html import op6_html
 from certalog.llm.lines import op9_lines
 from certalog.llm.packing import op4_packing
@@ -10,6 +11,7 @@ from certalog.llm.simhash import op8_simhash
 from certalog.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
