@@ -8,10 +8,12 @@ from certalog.llm.packing import op4_packing
 from certalog.llm.quality import op3_quality
 from certalog.llm.secrets import op5_secrets
 from certalog.llm.simhash import op8_simhash
+from certalog.llm.substrings import op2_substrings
 from certalog.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_substrings": op2_substrings,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
