@@ -1,4 +1,7 @@
 """Every query of the engine with the SQL that states the same result."""
 
-QUERIES = {}
-ORACLE = {}
+from certalog.plans import reports, scores
+
+_ALL = {**scores.QUERIES, **reports.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
