@@ -111,9 +111,11 @@ class Items:
                 hit[some + 1] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
             total[q] = np.cumsum(hit)
         near: dict[int, np.ndarray] = {}
+        wide = max(n + d for n, d in self.most.items())
+        dense = {q: int((np.append(sums, np.full(wide, sums[-1]))[wide:] - sums).max()) for q, sums in total.items()}
         for n, d in self.most.items():
             sums = total[self.gram[n]]
-            if sums[-1] >= self.least[n]:
+            if dense[self.gram[n]] >= self.least[n]:
                 start = np.arange(max(1, len(ids) - n + d + 1))
                 inside = sums[np.minimum(start + n + d, len(ids))] - sums[start]
                 found = start[inside >= self.least[n]]
@@ -154,6 +156,8 @@ class Items:
                     upto += 1
                 lo, hi = max(0, starts[at] - d), min(len(ids), starts[upto] + n + d)
                 at = upto + 1
+                if np.isin(x, ids[lo:hi]).sum() < n - d:  # each word that isn't there costs an edit
+                    continue
                 distance, end = closest(x, ids[lo:hi])
                 if distance <= d:
                     back, length = closest(x[::-1], ids[lo : lo + end][::-1], anchored=True)
