@@ -27,7 +27,7 @@ def registration_key(c: Column) -> Column:
     The first part before a separator (comma, semicolon, bar, backslash or a lowercase s, as the separators are spelled at the
     source), half-width, in capitals, letters, digits and Han characters only. Of two certificate numbers run together the first stays.
     """
-    first = F.element_at(F.filter(F.split(F.trim(c), r"[，,;；|\\s]+"), lambda x: x != ""), 1)
+    first = F.get(F.filter(F.split(F.trim(c), r"[，,;；|\\s]+"), lambda x: x != ""), 0)
     clean = F.regexp_replace(F.upper(F.regexp_replace(half_width(first), r"\s+", "")), f"[^0-9A-Z{CJK}]+", "")
     return F.nullif(clean, F.lit(""))
 
