@@ -54,7 +54,7 @@ class Items:
         self.keys = {}
         for n in self.most:
             mine = [k for k, x in enumerate(self.ids) if len(x) == n]
-            keys = np.stack([self.window_keys(self.ids[k], np.array([0]), self.walk(self.ids[k], np.array([0])), n)[:, 0] for k in mine])
+            keys = np.stack([self.window_keys(self.ids[k], np.array([0]), self.walk(self.ids[k], np.array([0])), n, np.array([0]))[:, 0] for k in mine])
             self.keys[n] = (keys, np.array(mine))
 
     def codes(self, ids: np.ndarray, q: int) -> np.ndarray:
@@ -85,13 +85,13 @@ class Items:
             at = at + (((here + salt) * np.uint64(2 * (j * 7919 + 12345) + 1)) >> np.uint64(61) & np.uint64(1)).astype(np.int32)
         return far
 
-    def window_keys(self, ids: np.ndarray, starts: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
-        """(walk, start): hash of the sampled words of each walk over the window of n words."""
+    def window_keys(self, ids: np.ndarray, starts: np.ndarray, far: np.ndarray, n: int, which: np.ndarray) -> np.ndarray:
+        """(walk, start): hash of the sampled words of each walk over the window of n words, for some of the starts."""
         place = self.places[n]
-        read = far[place, np.arange(WALKS)[:, None], :]
-        at = starts + read
+        read = far[place, np.arange(WALKS)[:, None], :][:, :, which]
+        at = starts[which] + read
         word = np.where((read < n) & (at < len(ids)), ids[np.minimum(at, len(ids) - 1)], PAD)
-        key = np.zeros((WALKS, len(starts)), dtype=np.uint64)
+        key = np.zeros((WALKS, len(which)), dtype=np.uint64)
         for t in range(SAMPLE):
             key = mix(key + word[:, t].astype(np.uint64) + np.uint64(0x9E37 + t))
         return key
@@ -111,12 +111,17 @@ class Items:
                 hit[some + 1] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
             total[q] = np.cumsum(hit)
         near: dict[int, np.ndarray] = {}
-        wide = max(n + d for n, d in self.most.items())
-        dense = {q: int((np.append(sums, np.full(wide, sums[-1]))[wide:] - sums).max()) for q, sums in total.items()}
+        # starts before which a window of the widest size holds enough grams for some item; few texts have any
+        wide, fewest = max(n + d for n, d in self.most.items()), min(self.least.values())
+        dense = {}
+        for q, sums in total.items():
+            if sums[-1] >= fewest:
+                inside = np.append(sums, np.full(wide, sums[-1]))[wide:] - sums
+                dense[q] = np.flatnonzero(inside >= fewest)
         for n, d in self.most.items():
-            sums = total[self.gram[n]]
-            if dense[self.gram[n]] >= self.least[n]:
-                start = np.arange(max(1, len(ids) - n + d + 1))
+            sums, start = total[self.gram[n]], dense.get(self.gram[n], ())
+            if len(start):
+                start = start[start <= max(0, len(ids) - n + d)]
                 inside = sums[np.minimum(start + n + d, len(ids))] - sums[start]
                 found = start[inside >= self.least[n]]
                 if len(found):
@@ -132,7 +137,7 @@ class Items:
                 mine = np.flatnonzero(np.isin(part, own, assume_unique=True))
                 if not len(mine):
                     continue
-                got = self.window_keys(ids, part[mine], far[:, :, mine], n)
+                got = self.window_keys(ids, part, far, n, mine)
                 keys, items = self.keys[n]
                 for row, item in zip(keys, items):
                     at = (got == row[:, None]).any(axis=0)
