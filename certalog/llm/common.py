@@ -26,8 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: a cut lineage that survives lost executors.
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in the shared folder, by the values of some columns, read again: a cut lineage that survives lost executors.
 
     The shuffle files behind it go once it is written.
     """
@@ -36,7 +36,7 @@ def written(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

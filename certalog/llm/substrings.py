@@ -11,8 +11,8 @@ from certalog.llm import tokens
 from certalog.llm.common import drop_written, table, written
 from certalog.llm.tokens import mix, powers
 
-#: Words of a window, rounds of pair naming.
-WINDOW, ROUNDS = 20, 4
+#: Words of a window, rounds of pair naming, parts in which the candidate windows are compared one after another.
+WINDOW, ROUNDS, PARTS = 20, 4, 4
 _FIRST, _SECOND = 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 
 
@@ -148,7 +148,7 @@ def mapped(df: DataFrame, f, schema: str) -> DataFrame:
 
 
 def windows(docs: DataFrame, width: int) -> DataFrame:
-    """(w1, w2, id, th, p): the candidate windows of each document (column at: stretches), each content at its first place in it."""
+    """(part, w1, w2, id, th, p): the candidate windows of each document (column at: stretches), each content at its first place in it."""
 
     def run(batch: pa.RecordBatch):
         for first, part in tokens.chunks(batch.column(2)):
@@ -167,11 +167,11 @@ def windows(docs: DataFrame, width: int) -> DataFrame:
             rows, w1, w2, where = (np.concatenate(x) for x in zip(*out))
             rows = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(where.astype(np.int32))],
-                names=["w1", "w2", "id", "th", "p"],
+                [pa.array((w1 % np.uint64(PARTS)).astype(np.int32)), pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(where.astype(np.int32))],
+                names=["part", "w1", "w2", "id", "th", "p"],
             )
 
-    return mapped(docs, run, "w1 long, w2 long, id long, th long, p int")
+    return mapped(docs, run, "part int, w1 long, w2 int, id long, th long, p int")
 
 
 def removed_words(words: np.ndarray, elsewhere: np.ndarray, width: int) -> np.ndarray:
@@ -190,7 +190,7 @@ def removed_words(words: np.ndarray, elsewhere: np.ndarray, width: int) -> np.nd
 def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(id, th, starts): the windows of each document whose words also stand in a document with a smaller id.
 
-    Keys that occur once cannot be in a repeated window; the others' windows are compared exactly, by 128 bits. All
+    Keys that occur once cannot be in a repeated window; the others' windows are compared by 96 bits of hash. All
     groupings are map-side combined minima and counts joined back, so a passage in any share of the documents is no group
     that a task must hold.
     """
@@ -198,10 +198,16 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     at = written(rows.join(shared, "key").groupBy("id", "th").agg(F.collect_list(F.struct("p", "n")).alias("at")))
     drop_written(rows)
-    found = written(windows(docs.join(at, ["id", "th"]).select("id", "th", "text", "at"), width))
+    found = written(windows(docs.join(at, ["id", "th"]).select("id", "th", "text", "at"), width), "part")
     drop_written(at)
-    least = found.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return written(found.join(least, ["w1", "w2"]).where("id > least").groupBy("id", "th").agg(F.collect_set("p").alias("starts")))
+    out = None
+    for k in range(PARTS):  # windows of the same words are in the same part; each part's exchanges go before the next one's come
+        part = found.where(F.col("part") == k).drop("part")
+        least = part.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+        one = written(part.join(least, ["w1", "w2"]).where("id > least").groupBy("id", "th").agg(F.collect_list("p").alias("p")))
+        out = one if out is None else out.unionByName(one)
+    drop_written(found)
+    return out.groupBy("id", "th").agg(F.flatten(F.collect_list("p")).alias("starts"))
 
 
 def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
