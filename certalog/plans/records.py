@@ -47,7 +47,7 @@ def newest_registration(spark, d) -> DataFrame:
 def merged(spark, d, how: str) -> DataFrame:
     """Owners' newest registrations of before a day merged with those of later, under a policy."""
     r = registrations(spark, d)
-    cut = F.lit("1995-01-01").cast("date")
+    cut = F.lit("1998-06-01").cast("date")
     order = [F.col("created_date").desc(), F.col("registration_id").desc()]
     pick = lambda x: tables.latest(x, ["owner_id"], order).select("owner_id", "registration_id", "approval_date", "status")
     return tables.merge(pick(r.where(F.col("created_date") < cut)), pick(r.where(F.col("created_date") >= cut)), ["owner_id"], how)
@@ -151,7 +151,7 @@ def json_keys(spark, d) -> DataFrame:
     return t.select(F.size(F.json_object_keys("props")).alias("n_keys"), F.get_json_object("props", "$.k").cast("int").alias("k")).groupBy("n_keys", "k").agg(F.count("*").alias("n"))
 
 
-_PICK = "select owner_id, registration_id, approval_date, status from (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations where created_date {} date '1995-01-01') where rn = 1"
+_PICK = "select owner_id, registration_id, approval_date, status from (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations where created_date {} date '1998-06-01') where rn = 1"
 _MERGE = f"{SQL}, t as ({_PICK.format('<')}), s as ({_PICK.format('>=')})"
 _BOTH = "select coalesce(t.owner_id, s.owner_id) owner_id, " + "{}" + " from t full join s on t.owner_id = s.owner_id"
 _COLUMNS = ("registration_id", "approval_date", "status")
