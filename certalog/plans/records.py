@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from certalog.functions import text as fn
 from certalog.operators import policy, tables
-from certalog.plans.binding import ASOF, DAY, SQL, changes, companies, products, registrations
+from certalog.plans.binding import ASOF, SQL, changes, products, registrations
 from certalog.session import table
 
 #: Keyword ladder of the classifier over part names (fixed values for the given tables).
@@ -109,11 +109,11 @@ def snapshots(spark, d) -> DataFrame:
 
 
 def similar_names(spark, d) -> DataFrame:
-    """For each part in a sample of the catalogue's first names, the three most similar distinct names by trigrams.
+    """For each distinct part name the three most similar others by trigrams.
 
     Names meet where they share a trigram; the score is the set similarity.
     """
-    names = table(spark, d, "part").select("p_name").distinct().withColumn("t", fn_trigrams("p_name"))
+    names = table(spark, d, "part").select("p_name").distinct().withColumn("t", tables.trigrams(F.col("p_name")))
     a = names.select("p_name", "t", F.explode("t").alias("x"))
     b = names.select(F.col("p_name").alias("other"), F.col("t").alias("u"), F.explode("t").alias("x"))
     met = a.join(b, "x").where("p_name <> other").groupBy("p_name", "other").agg(F.count("*").alias("shared"), F.first(F.size("t")).alias("m"), F.first(F.size("u")).alias("n"))
@@ -122,10 +122,6 @@ def similar_names(spark, d) -> DataFrame:
     return ranked.where("rank <= 3").select("p_name", "rank", "other", "score")
 
 
-def fn_trigrams(c: str):
-    return tables.trigrams(F.col(c))
-
-
 def page_lines(spark, d) -> DataFrame:
     """Visible text of pages without scripts and styles: its words, and links."""
     t = table(spark, d, "pages")
@@ -168,7 +164,18 @@ QUERIES = {
     "up5_replaced_days": (replaced_days, f"{SQL} select day, kind, case when kind = 'cancel' and day >= '2024-01-15' then count(distinct entity_id) else count(*) end n from changes group by 1, 2"),
     "up10_archived": (archived, f"{SQL} select case when is_ivd then 'kept' else 'archived' end part, count(*) n from products group by 1"),
     "up21_newest_registration": (newest_registration, f"{SQL} select owner_id, registration_id, approval_date, status from (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations) where rn = 1"),
-    "q27_resolved": (resolved, None),
+    "q27_resolved": (resolved, f"""{SQL.replace('with', 'with recursive', 1)},
+o as (select entity_id, kind as value, 4 - event_id % 4 g, -(event_id % 3) p, date_diff('day', date '2024-01-01', day) t,
+  row_number() over (partition by entity_id order by day, event_id) rn from changes),
+f as (select distinct entity_id, 0::bigint rn, null::varchar as value, null::bigint g, null::bigint p, null::bigint t, 0 applied, 0 kept, 0 conflicts from o
+  union all
+  select entity_id, rn, case when step = 2 then n else value end, case when step = 2 then ng else g end, case when step = 2 then np else p end,
+    case when step = 2 then nt else t end, applied + (step = 2)::int, kept + (step = 3)::int, conflicts + (step = 1)::int
+  from (select f.entity_id, o.rn, f.value, f.g, f.p, f.t, o.value n, o.g ng, o.p np, o.t nt, applied, kept, conflicts,
+    case when o.value is not distinct from f.value then 0 when f.g = o.g and f.p = o.p and f.t = o.t then 1
+      when f.g is null or (o.g, o.p, o.t) >= (f.g, f.p, f.t) then 2 else 3 end step
+    from f join o on o.entity_id = f.entity_id and o.rn = f.rn + 1))
+select entity_id, value, applied, kept, conflicts from f where rn = (select max(rn) from o where o.entity_id = f.entity_id)"""),
     "q36_field_diffs": (field_diffs, f"{SQL}, r as (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations), o as (select * from r where rn = 2), n as (select * from r where rn = 1), f as (" + " union all ".join(f"select o.owner_id, '{c}' field, cast(o.{c} as varchar) as old, cast(n.{c} as varchar) as new from o join n using (owner_id)" for c in ("status", "expiry_date", "approval_date", "registration_no")) + ") select *, case when field = 'status' and new = 'cancelled' then 'CANCEL' when field = 'expiry_date' then 'RENEW' else 'MODIFY' end change_type, case when field in ('status', 'expiry_date') then 'HIGH' when field = 'approval_date' then 'MED' else 'LOW' end severity from f where old is distinct from new"),
     "q47_lifecycle": (lifecycle, f"{SQL}, c as (select entity_id registration_id, kind event_type, day event_date, row_number() over (partition by entity_id, day order by case kind when 'cancel' then 0 when 'renew' then 1 else 2 end) rn from (select distinct entity_id, kind, day from changes where kind <> 'approve')), v as (select registration_id, 'approve' event_type, approval_date event_date from registrations where approval_date is not null union select registration_id, event_type, event_date from c where rn = 1 union select registration_id, 'expire', expiry_date from registrations, today where expiry_date <= d) select *, sha256(concat_ws('|', cast(registration_id as varchar), event_type, cast(event_date as varchar))) dedupe, cast(row_number() over (partition by registration_id order by event_date, event_type) as integer) event_seq from v"),
     "q46_versions": (snapshots, f"{SQL}, v as (select distinct entity_id, day from changes), w as (select *, min(day) over (partition by entity_id) f, lag(day) over (partition by entity_id order by day) b from v) select entity_id, day, case when day = f then 'INITIAL' when day - b > 3 then 'RENEWAL' else 'CHANGE' end as version from w"),
