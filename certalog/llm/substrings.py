@@ -153,37 +153,51 @@ def windows(docs: DataFrame, width: int) -> DataFrame:
     def run(batch: pa.RecordBatch):
         for first, part in tokens.chunks(batch.column(2)):
             words, doc = tokens.words(part)
+            if len(words) < width:
+                continue
             cut = np.searchsorted(doc, np.arange(len(part) + 1))
-            out = []
-            for k in range(len(part)):
-                spans = batch.column(3)[first + k].values
-                own = words[cut[k] : cut[k + 1]]
-                p, n = spans.field("p").to_numpy(), spans.field("n").to_numpy()
-                where = np.unique(np.repeat(p - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()))
-                w1, w2 = window_hashes(own, width)
-                w1, w2 = w1[where], w2[where]
-                once = np.unique(w1, return_index=True)[1]
-                out.append((np.full(len(once), first + k), w1[once], w2[once], where[once]))
-            rows, w1, w2, where = (np.concatenate(x) for x in zip(*out))
-            rows = pa.array(rows)
+            lists = batch.column(3).slice(first, len(part))
+            p, n = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("p", "n"))
+            of = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+            rows = np.repeat(of, n)
+            where = np.repeat(p + cut[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            w1, w2 = window_hashes(words, width)
+            again = repeated(w1[where], rows, where)
+            rows, where = rows[~again], where[~again]
+            w1, w2 = w1[where], w2[where]
+            place = (where - cut[rows]).astype(np.int32)
+            rows = pa.array(first + rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((w1 % np.uint64(PARTS)).astype(np.int32)), pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(where.astype(np.int32))],
+                [pa.array((w1 % np.uint64(PARTS)).astype(np.int32)), pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place)],
                 names=["part", "w1", "w2", "id", "th", "p"],
             )
 
     return mapped(docs, run, "part int, w1 long, w2 int, id long, th long, p int")
 
 
-def removed_words(words: np.ndarray, elsewhere: np.ndarray, width: int) -> np.ndarray:
-    """Which words a repeated window covers: one of the starts elsewhere, or of a content that the document had before."""
+def repeated(content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which windows have the content of one of the same document at a smaller place."""
+    key = content ^ mix(doc.astype(np.uint64) + np.uint64(1))
+    out = np.zeros(len(key), dtype=bool)
+    order = np.sort(key)
+    twice = order[1:][order[1:] == order[:-1]]
+    if len(twice):
+        some = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
+        some = some[np.lexsort((place[some], key[some]))]
+        out[some[1:][key[some][1:] == key[some][:-1]]] = True
+    return out
+
+
+def removed_words(words: np.ndarray, doc: np.ndarray, elsewhere: np.ndarray, width: int) -> np.ndarray:
+    """Which words of some documents a repeated window covers: one that starts at elsewhere, or whose content its document had before."""
+    if len(words) < width:
+        return np.zeros(len(words), dtype=bool)
+    start = np.flatnonzero(doc[: len(doc) - width + 1] == doc[width - 1 :])
+    again = start[repeated(window_hashes(words, width)[0][start], doc[start], start)]
     gone = np.zeros(len(words) + 1, dtype=np.int64)
-    if len(words) >= width:
-        w1, w2 = window_hashes(words, width)
-        order = np.lexsort((np.arange(len(w1)), w2, w1))
-        again = order[1:][(w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])]
-        starts = np.union1d(again, elsewhere).astype(np.int64)
-        gone[starts] += 1
-        np.add.at(gone, np.minimum(starts + width, len(words)), -1)
+    starts = np.union1d(again, elsewhere).astype(np.int64)
+    gone[starts] += 1
+    np.add.at(gone, starts + width, -1)
     return np.cumsum(gone)[:-1] > 0
 
 
@@ -229,15 +243,16 @@ def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         for first, part in tokens.chunks(batch.column(1)):
             hashes, doc = tokens.words(part)
             cut = np.searchsorted(doc, np.arange(len(part) + 1))
-            total, lost, kept = [], [], []
+            lists = batch.column(2).slice(first, len(part)).fill_null([])
+            elsewhere = lists.flatten().to_numpy() + np.repeat(cut[:-1], lists.value_lengths().to_numpy())
+            away = removed_words(hashes, doc, elsewhere, width)
+            total, kept = np.diff(cut), []
+            lost = np.diff(np.append(0, np.cumsum(away))[cut])
             for k, text in enumerate(part):
-                starts = batch.column(2)[first + k]
-                elsewhere = starts.values.to_numpy() if starts.is_valid else np.zeros(0, np.int64)
-                away = removed_words(hashes[cut[k] : cut[k + 1]], elsewhere, width)
                 words = text.split()
-                total.append(len(words))
-                lost.append(int(away.sum()))
-                kept.append(b" ".join([w for w, x in zip(words, away.tolist()) if not x] if lost[-1] else words).decode())
+                if lost[k]:
+                    words = [w for w, x in zip(words, away[cut[k] : cut[k + 1]].tolist()) if not x]
+                kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, len(part)), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept"],
