@@ -56,6 +56,31 @@ def test_edited_copies_are_found(spark):
     assert missed <= asked * 0.02
 
 
+def test_walks_depend_on_the_words():
+    own = dec.Items([(1, " ".join(f"w{k}" for k in range(40)))], 0.8)
+    moved = [own.walk(np.full(90, k), np.array([0]))[1, :, 0] for k in range(40)]
+    share = np.mean(moved, axis=0)
+    assert (0.2 < share).all() and (share < 0.8).all()
+
+
+def test_deletions_and_insertions_at_the_weakest_similarity():
+    rng = random.Random(8)
+    items = [(k, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(60)}" for _ in range(60))) for k in range(60)]
+    own = dec.Items(items, 0.8)
+    for insert in (False, True):
+        missed = 0
+        for i, t in items:
+            words, tail = dec.plain_words(t), [b"tail%d" % k for k in range(70)]
+            if insert:
+                for k in range(12):
+                    words.insert(rng.randrange(len(words) + 1), b"new%d" % k)
+            else:
+                for p in sorted(rng.sample(range(60), 12), reverse=True):
+                    del words[p]
+            missed += i not in {own.items[k][0] for k, *_ in own.matches(tail + words + tail)}
+        assert missed <= 2, (insert, missed)
+
+
 def test_against_brute_force():
     rng = random.Random(4)
     items = [(k, " ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(n))) for k, n in enumerate((1, 2, 3, 5, 6, 9, 12, 15))]
