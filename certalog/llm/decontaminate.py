@@ -147,7 +147,7 @@ class Items:
         return self.verified(ids, out)
 
     def verified(self, ids: np.ndarray, candidates: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-        """The best place in each stretch of candidate windows of an item, if close enough by exact edit distance."""
+        """The best place in each stretch of candidate windows of an item, if close enough by exact edit distance, then those before and after it."""
         out, by_item = [], {}
         for item, p in candidates:
             by_item.setdefault(item, []).append(p)
@@ -162,12 +162,16 @@ class Items:
                     upto += 1
                 lo, hi = max(0, starts[at] - d), min(len(ids), starts[upto] + n + d)
                 at = upto + 1
-                if np.isin(x, ids[lo:hi]).sum() < n - d:  # each word that isn't there costs an edit
-                    continue
-                distance, end = closest(x, ids[lo:hi])
-                if distance <= d:
-                    back, length = closest(x[::-1], ids[lo : lo + end][::-1], anchored=True)
-                    out.append((item, lo + end - length, lo + end, distance))
+                left = [(lo, hi)]
+                while left:
+                    lo, hi = left.pop()
+                    if np.isin(x, ids[lo:hi]).sum() < n - d:  # each word that isn't there costs an edit
+                        continue
+                    distance, end = closest(x, ids[lo:hi])
+                    if distance <= d:
+                        back, length = closest(x[::-1], ids[lo : lo + end][::-1], anchored=True)
+                        out.append((item, lo + end - length, lo + end, distance))
+                        left += [(lo, lo + end - length), (lo + end, hi)]
         return out
 
 

@@ -81,6 +81,13 @@ def test_deletions_and_insertions_at_the_weakest_similarity():
         assert missed <= 2, (insert, missed)
 
 
+def test_items_back_to_back():
+    item = "one two three four five six seven eight nine ten"
+    own = dec.Items([(1, item)], 0.8)
+    words = dec.plain_words(f"head {item} {item} one two three changed five six seven eight nine ten {item} tail")
+    assert sorted(own.matches(words)) == [(0, 1, 11, 0), (0, 11, 21, 0), (0, 21, 31, 1), (0, 31, 41, 0)]
+
+
 def test_against_brute_force():
     rng = random.Random(4)
     items = [(k, " ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(n))) for k, n in enumerate((1, 2, 3, 5, 6, 9, 12, 15))]
