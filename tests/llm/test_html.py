@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -28,6 +29,66 @@ def test_tree_fits_its_table():
     assert all(pages.label(TREE, r[:-1]) == r[-1] for r in pages.LABELLED)
 
 
+def used(tree):
+    return set() if isinstance(tree, int) else {pages.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+
+def test_tree_splits_on_words_and_neighbours():
+    assert {"words", "links", "words_before", "words_after", "links_before", "away", "place"} <= used(TREE)
+
+
+PROSE = [
+    "The harbour was quiet when the first boats came in, and nobody on the quay had yet heard what the crews would tell them later.",
+    "Short one.",
+    "It took the town a full week to agree on what had been seen out there, as each of the crews told the story in its own way and order.",
+    "By spring most people had stopped asking, and the charts that the mate had drawn were put away in the attic of the customs house.",
+]
+MENU = "<ul><li><a href=/>Home</a></li><li><a href=/news>News</a></li><li><a href=/about>About us</a></li></ul>"
+PARAGRAPHS = "".join(f"<p>{p}</p>" for p in PROSE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        # layout classes on the page, the article or around it
+        "<html><body class='single right-sidebar'><div class=menu>%(menu)s</div><article>%(text)s</article></body></html>",
+        "<body>%(menu)s<article class='post type-post category-news tag-foo'>%(text)s</article><footer>Imprint</footer></body>",
+        "<body>%(menu)s<article class='post has-comments'>%(text)s</article></body>",
+        "<body>%(menu)s<div class=page-search><article>%(text)s</article></div></body>",
+        "<body class=search><main class='no-comments header'>%(text)s</main><div class=sidebar>About this site and its many friends</div></body>",
+        # a form around the whole page
+        "<body><form id=aspnet action=/>%(menu)s<article>%(text)s</article><input type=submit></form></body>",
+        # no article element: words and links decide
+        "<body><div id=top>%(menu)s</div><div id=content>%(text)s</div><div>%(menu)s</div></body>",
+        "<table><tr><td>%(menu)s</td><td>%(text)s</td></tr></table>",
+        "<div class=wrap><div class='ad'>Buy our fine goods today, they are cheaper than ever before and go fast.</div>%(text)s</div>",
+        # readers' comments as articles of their own, related pages, a cookie notice
+        "<article>%(text)s<ul class=related><li><a href=/1>One more</a></li></ul></article><section id=comments><article>%(text)s</article></section>",
+        "<div class='cookie-banner top'>We use cookies and so on, for many reasons that are long to tell.</div><article>%(text)s</article>",
+        "<main>%(text)s<h3>Related</h3><aside>%(menu)s</aside></main>".replace("<h3>Related</h3>", ""),
+        # broken markup
+        "<nav>%(menu)s<article><svg width=1/>%(text)s</article>",
+        "<article>%(text)s</article><div title=\"never closed>",
+        "<article><img alt='it\"s' src=x>%(text)s<!-- open",
+    ],
+)
+def test_templates(page):
+    assert pages.main_text(page % {"menu": MENU, "text": PARAGRAPHS}, TREE) == "\n".join(PROSE)
+
+
+@pytest.mark.parametrize("unit", ['<a b="', '<a b=">', "<a b='\">", "</div>", "<div>", "<nav>x", "<!", "<!--", "<", "&amp", "<script>", "<p class=ad>x", "<a b=x' "])
+def test_hostile_markup_takes_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    start = time.process_time()
+    pages.main_text(page, TREE)
+    assert time.process_time() - start < 10
+
+
+def test_text_kept_in_an_article():
+    page = "<article><header><h1>Title here</h1></header><noscript>Scripts are off.</noscript><object>Fallback</object><p>End</p></article>"
+    assert pages.main_text(page, TREE) == "Title here\nScripts are off.\nFallback\nEnd"
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
