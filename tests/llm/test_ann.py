@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from certalog.llm import ann
 
@@ -33,6 +34,39 @@ def test_recall(spark):
     assert hits / (10 * len(want)) >= 0.97
 
 
+@pytest.mark.parametrize(
+    "kind, change",
+    [
+        ("float", lambda v: v + 10_000),
+        ("float", lambda v: v * 1e20),
+        ("float", lambda v: v * 1e-20),
+        ("float", lambda v: v * np.logspace(-6, 6, 8)),
+        ("double", lambda v: v + 1e9),
+        ("double", lambda v: v * 1e200),
+        ("double", lambda v: v * 1e-200),
+    ],
+)
+def test_recall_far_from_the_origin(spark, kind, change):
+    size = np.float32 if kind == "float" else np.float64
+    v = change(np.random.default_rng(9).normal(size=(1500, 8))).astype(size)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), f"vec_id long, embedding array<{kind}>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 25 = 0"), shard=500).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits, wide = 0, v.astype(np.longdouble)
+    for q, found in got.items():
+        exact = np.sqrt(((wide - wide[q]) ** 2).sum(axis=1))
+        exact[q] = np.inf
+        hits += sum(exact[d] <= np.sort(exact)[9] * (1 + 1e-12) for d, _ in found)
+        assert len({d for d, _ in found}) == 10 and all(abs(s - exact[d]) <= 1e-12 * exact[d] for d, s in found)
+    assert len(got) == 60 and hits >= 0.9 * 600
+
+
+def test_shards_grow_then_multiply():
+    counts = [ann.shard_count(64, n, ann.SHARD) for n in (1, 1024, 5000, 50_000, 500_000, 5_000_000)]
+    assert counts == [1, 1, 5, 8, 8, 77]
+
+
 def test_copies_nulls_and_ties(spark):
     rng = np.random.default_rng(3)
     rows = [(d, rng.normal(size=4).astype(np.float32).tolist()) for d in range(1, 60)]
