@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,22 +18,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local session gets one of its own; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that written() makes inside go at the end, with all that is left of them."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.pop()
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, *by: str) -> DataFrame:
     """df as a table in the shared folder, by the values of some columns, read again: a cut lineage that survives lost executors.
 
     The shuffle files behind it go once it is written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -44,11 +67,24 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by written() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by written() that no later plan reads."""
+    for df in tables:
+        remove(df.sparkSession, df._written)
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, by: list[str], count: str, total: int, parts: int = 256, least: int = 4096) -> DataFrame:
+    """Inner join of rows with keys, a written table of one row a key, where count says how many of the total rows have the key.
+
+    A key of more than a parts-th of all rows would fill a task: of those there are fewer than parts, so they are broadcast and
+    their rows stay where they are. All others are shuffled, with the keys as hash tables.
+    """
+    bound = max(total // parts, least)
+    hot = keys.where(F.col(count) > bound)
+    if hot.isEmpty():
+        return rows.join(keys.hint("shuffle_hash"), by)
+    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(keys.where(F.col(count) <= bound).hint("shuffle_hash"), by)
+    return rows.join(F.broadcast(hot), by).unionByName(cold)
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -63,36 +99,36 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected graph: (node, component), component being the smallest node.
+    """Connected components of an undirected graph: (node, component), a written table; component is the smallest node.
 
-    Alternating large-star and small-star rounds, each a map-side combined minimum and an equi-join, written to
-    the shared folder, until a round changes nothing. A node's neighbours are never gathered, so a component may hold
-    any share of the nodes. Nulls are ignored; nodes without edges don't appear.
+    Alternating large-star and small-star rounds, each a map-side combined minimum and an equi-join, written to the shared folder,
+    until a round changes nothing. A node's neighbours are never gathered, and the few nodes that hold a large share of the
+    edges are joined without a shuffle, so a component may hold any share of the nodes. Nulls are ignored; nodes without edges don't
+    appear.
     """
-    now = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
-    seen = None
-    while True:
+    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    total, seen = now.count(), None
+    while total:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = join_counted(both.where("v > u"), low, ["u"], "n", 2 * total)
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        floor = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = (
-            large.join(floor, "u")
+            join_counted(large, floor, ["u"], "n", 2 * total)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
         then = written(small)
-        state = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        drop_written(now)
-        now = then
+        state = tuple(then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        drop_written(now, low, large, floor)
+        now, total = then, state[0]
         if state == seen:
             break
         seen = state
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    drop_written(now)
+    return out
