@@ -8,28 +8,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certalog.llm.common import arrow_map, components, written
+from certalog.llm.buckets import connected, members, node, units
+from certalog.llm.common import arrow_map, components, drop_written, join_counted, table, written
+from certalog.llm.tokens import mix
 
 BITS = 64
 #: Lanes compared at once, and the most rows of a bucket that one unit of work holds.
 LANES, UNIT = 1024, 8192
+#: Near copies by exact similarity: words of a shingle, least Jaccard similarity of the shingle sets, differing bits beyond which a pair
+#: isn't looked at (texts at the threshold differ in 10 bits, give or take 3), bands and min-hashes of a band that give the keys.
+WIDTH, SIMILARITY, RADIUS, BANDS, ROWS = 5, 0.8, 22, 8, 3
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """SimHash of one text: a bit is 1 if set in over half the shingle hashes; 0 for a text without words."""
-    words = (text or "").encode().lower().split()
+    return over_half(shingle_hashes((text or "").encode().lower().split(), width, seed))
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle of width words, in order; of the whole sequence if it is shorter; none of no words."""
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     joined = b" ".join(words)
     starts = [0, *ends[:-1].tolist()]
     stops = (ends - 1).tolist()
-    hashed, digest = [], xxhash.xxh64_intdigest
-    if len(words) <= width:
-        hashed.append(digest(joined, seed))
-    else:
-        hashed = [digest(joined[s:e], seed) for s, e in zip(starts, stops[width - 1 :])]
-    return over_half(np.array(hashed, dtype="<u8"))
+    digest = xxhash.xxh64_intdigest
+    hashed = [digest(joined, seed)] if len(words) <= width else [digest(joined[s:e], seed) for s, e in zip(starts, stops[width - 1 :])]
+    return np.array(hashed, dtype="<u8")
 
 
 def over_half(hashed: np.ndarray) -> int:
@@ -218,24 +224,189 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fp, component_id): documents linked at radius or fewer differing bits, directly or through others.
 
-    component_id is the smallest id reachable. Texts without words (null, blank) have fingerprint 0 and link to each
-    other like any others. Equal fingerprints are one node; rows that repeat an id share its component through their
+    component_id is the smallest id reachable, null ids left out of the choice: a component of rows without an id has none.
+    Texts without words (null, blank) have fingerprint 0 and link to each other like any others. Equal fingerprints are one node; rows that repeat an id share its component through their
     fingerprints. An empty table gives an empty result. Other columns of docs are left out.
     """
     fps = written(fingerprints(docs, id_col, text_col, width, seed))
-    nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("first_id")))
+    nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")))
     found = components(near_links(nodes.select("fp"), radius))
-    lead = (
+    lead = written(
         nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
-        .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+        .select("fp", "first_id", "n", F.coalesce("component", "fp").alias("component"))
     )
     least = lead.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return fps.join(lead.join(least, "component").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    named = written(lead.join(least, "component").select("fp", "n", "component_id"))
+    drop_written(nodes, found, lead)
+    return join_counted(fps, named, ["fp"], "n", fps.count()).select(id_col, "fp", "component_id")
 
 
-def op8_simhash(spark, sf_dir: str) -> DataFrame:
-    from certalog.llm.common import table
+def prints(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """(doc_id, th, k1, k2, fp, b0, b1, ...): each row's text hash, key of its word sequence, fingerprint, and bands of min-hashes."""
+    at = np.random.default_rng(seed).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+    def run(batch: pa.RecordBatch):
+        out = np.zeros((3 + BANDS, batch.num_rows), dtype=np.uint64)
+        for k, text in enumerate(batch.column(2)):
+            words = (text.as_py() or "").encode().lower().split()
+            whole = b" ".join(words)
+            hashed = shingle_hashes(words, width, seed)
+            out[:3, k] = xxhash.xxh64_intdigest(whole, seed + 1), xxhash.xxh64_intdigest(whole, seed + 2), over_half(hashed)
+            least = np.array([(hashed ^ c).min() for c in at]) if len(hashed) else np.zeros(len(at), np.uint64)
+            bands = np.arange(BANDS, dtype=np.uint64)
+            for r in range(ROWS):
+                bands = mix(bands + least[r::ROWS])
+            out[3:, k] = bands
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in out]], names=names)
+
+    names = ["doc_id", "th", "k1", "k2", "fp", *[f"b{k}" for k in range(BANDS)]]
+    kind = dict(docs.dtypes)["doc_id"]
+    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+
+
+def print_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
+    """(k, k1, k2, n, fp, s): the sorted set of shingle hashes of each wanted text, which is told by one of its rows (at, t)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    there = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("th") == F.col("t")))
+
+    def run(batch: pa.RecordBatch):
+        sets = [np.unique(shingle_hashes((t.as_py() or "").encode().lower().split(), width, seed)).view(np.int64) for t in batch.column(0)]
+        cut = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=["k1", "k2", "n", "fp", "s"])
+
+    each = arrow_map(there.select("text", "k1", "k2", "n", "fp"), run, "k1 long, k2 long, n long, fp long, s array<long>")
+    return each.select(node().alias("k"), "*").dropDuplicates(["k"])
+
+
+def across_planes(labelled: DataFrame, sets: DataFrame, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """(k, h): links between members of a bucket that are in different components; a written table.
 
+    The fingerprints of a unit's own rows are bit planes; the others come against them some at a time. Pairs within radius are
+    verified by their sets, one pair for each two components that are not yet connected in the unit.
+    """
+    own, other, size = units(labelled, sets, "fp", "s")
+    by = ["band", "bi", "bj"]
+    mine = own.select(*by, F.lit(False).alias("other"), F.lit(False).alias("led"), "k", "c", "fp", "s")
+    rows = mine.unionByName(other.select(*by, F.lit(True).alias("other"), "led", F.col("h").alias("k"), F.col("hc").alias("c"), F.col("hfp").alias("fp"), F.col("hs").alias("s")))
+    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        unit, held = None, None
+        for batch in batches:
+            edges = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            new = np.flatnonzero(np.r_[True, np.any([e[1:] != e[:-1] for e in edges], axis=0)]) if batch.num_rows else []
+            links = []
+            for lo, hi in zip(new, [*new[1:], batch.num_rows]):
+                part = batch.slice(lo, hi - lo)
+                key = tuple(e[lo] for e in edges[:3])
+                if key != unit:
+                    unit, held = key, Unit(similarity, radius)
+                if edges[3][lo]:
+                    links += held.meet(part)
+                else:
+                    held.take(part)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.decimal128(38, 0)) for c in (0, 1)], names=["k", "h"])
+
+    placed = rows.repartition(parts, *by).sortWithinPartitions(*by, "other")
+    out = written(placed.mapInArrow(run, "k decimal(38,0), h decimal(38,0)"))
+    drop_written(size)
+    return out
+
+
+class Unit:
+    """The own rows of one unit of work, and which components they connect."""
+
+    def __init__(self, similarity: float, radius: int):
+        self.similarity, self.radius = similarity, radius
+        self.k: list = []
+        self.c: list = []
+        self.sets: list[np.ndarray] = []
+        self.fps = np.zeros(0, dtype=np.uint64)
+        self.root: dict = {}
+
+    def take(self, part: pa.RecordBatch) -> None:
+        self.k += part.column("k").to_pylist()
+        self.c += part.column("c").to_pylist()
+        self.sets += [x.values.to_numpy() for x in part.column("s")]
+        self.fps = np.append(self.fps, part.column("fp").to_numpy().view(np.uint64))
+        self.planes = planes_of(self.fps)
+
+    def find(self, c):
+        while self.root.get(c, c) != c:
+            c = self.root[c]
+        return c
+
+    def meet(self, part: pa.RecordBatch) -> list[tuple]:
+        """(k, h) that connect two components, for some of the other rows."""
+        if not self.k:
+            return []
+        links = []
+        fps, k, c, led = part.column("fp").to_numpy().view(np.uint64), part.column("k").to_pylist(), part.column("c").to_pylist(), part.column("led").to_pylist()
+        for at in range(0, len(fps), LANES):
+            for i, j in within(fps[at : at + LANES], self.planes, len(self.fps), self.radius).tolist():
+                i += at
+                if not (led[i] or self.k[j] < k[i]):
+                    continue
+                a, b = self.find(self.c[j]), self.find(c[i])
+                if a != b and jaccard_at_least(self.sets[j], part.column("s")[i].values.to_numpy(), self.similarity):
+                    self.root[a] = b
+                    links.append((self.k[j], k[i]))
+        return links
+
+
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
+def copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, seed: int = 42) -> DataFrame:
+    """(doc_id, th, stays, several): the documents, by id and text hash, of each group of near copies; a written table.
+
+    Documents are linked if their sets of shingles of width words have the Jaccard similarity, directly or through others; equal word
+    sequences (ASCII in lower case) always are. Pairs to look at share a band of min-hashes; the fingerprints of a bucket are
+    compared as bit planes and what is within RADIUS bits is verified by its sets. Of each group the document with the smallest id stays
+    (of several texts with that id the one with the smallest hash; null comes first); several says that it has equal rows.
+    """
+    made = written(prints(docs, width, seed))
+    first = [F.min(c).alias(c) for c in ("fp", *[f"b{k}" for k in range(BANDS)])]
+    texts = written(made.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min_by("doc_id", "th").alias("at"), F.min("th").alias("t"), *first))
+    count, total = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = members(texts.select("k1", "k2", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), count, BANDS)
+    wanted = texts.join(found.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "n", "fp", "at", "t")
+    sets = written(print_sets(docs, wanted, width, seed))
+    whole = connected(found, sets, similarity, across_planes)
+    linked = whole.join(sets, F.col("node") == F.col("k")).select("k1", "k2", "n", F.col("component").alias("c"))
+    alone = texts.where("n > 1").select("k1", "k2", "n", node().alias("c")).join(linked, ["k1", "k2"], "left_anti")
+    several = written(linked.unionByName(alone))
+    groups = written(join_counted(made.select("doc_id", "th", "k1", "k2"), several, ["k1", "k2"], "n", total).groupBy("doc_id", "th", "c").agg(F.count("*").alias("rows")))
+    lead = groups.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.*", F.lit(True).alias("stays"), F.lit(0).cast("long").alias("rows"))
+    both = groups.select("doc_id", "th", F.lit(False).alias("stays"), "rows").unionByName(lead)
+    out = written(both.groupBy("doc_id", "th").agg(F.bool_or("stays").alias("stays"), (F.sum("rows") > 1).alias("several")))
+    drop_written(made, texts, found, sets, whole, several, groups)
+    return out
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """The rows of docs but for near copies: one of each group (see copies) stays, with all its columns.
+
+    Of equal rows of the staying document one stays, whichever. Null and blank texts are copies of each other; a null doc_id is an id like any
+    other and the smallest; other columns don't count; an empty table gives an empty result.
+    """
+    named = copies(docs, similarity, width).withColumnsRenamed({"doc_id": "copy_id", "th": "copy_th"})
+    same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_th"))
+    out = docs.join(named.where("not stays or several").hint("shuffle_hash"), same, "left_anti")
+    again = named.where("stays and several")
+    if not again.isEmpty():
+        rows = docs.withColumn("_th", F.xxhash64("text")).join(again.select("copy_id", "copy_th"), same, "left_semi")
+        out = out.unionByName(rows.dropDuplicates(["doc_id", "_th"]).drop("_th"))
+    return out
+
+
+def op8_simhash(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return near_duplicates(docs).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

@@ -85,3 +85,87 @@ def test_near_copies_over_several_blocks(spark, monkeypatch):
                     seen.add(y)
                     todo.append(y)
     assert seen == fps
+
+
+def word_sets(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate({k: " " for k in (9, 10, 11, 12, 13)}).split(" ")
+    words = [w for w in words if w]
+    return " ".join(words), {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared) if a or b else 1.0
+
+
+def brute_keep(rows):
+    """The (doc_id, text) rows that stay, by all pairs."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    told = [word_sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if told[i][0] == told[j][0] or jaccard(told[i][1], told[j][1]) >= 0.8:
+                root[find(i)] = find(j)
+    seen, kept = set(), []
+    for i in order:
+        if find(i) not in seen:
+            seen.add(find(i))
+            kept.append(rows[i])
+    return kept
+
+
+def test_keep_one_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 4000]
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(120)]
+    family = [words]
+    while len(family) < 60:
+        child = list(family[rng.integers(len(family))])
+        for _ in range(2):
+            child[rng.integers(120)] = f"x{rng.integers(10**6)}"
+        family.append(child)
+    rows += [(9000 + k, " ".join(w)) for k, w in enumerate(family)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(d for d, _ in brute_keep(rows))
+
+
+def test_keep_one_of_odd_rows(spark):
+    long = " ".join(f"a{k}" for k in range(30_000))
+    rows = [(1, "one two three"), (1, "one two three"), (1, "something else"), (2, "ONE two  three"), (None, "x y z"), (None, "x y z"), (3, "x y z"), (4, None), (5, ""), (6, " \n"), (7, long), (8, long + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one(df).collect()), key=lambda r: (r[0], str(r[1])))
+    assert got == [(0, "x y z"), (1, "one two three"), (1, "something else"), (4, None), (7, long)]
+    assert simhash.keep_one(df.limit(0)).collect() == []
+
+
+def test_recall_of_near_copies(spark):
+    """Share of pairs of texts at the threshold or above that become one."""
+    rng, pairs = np.random.default_rng(6), []
+    while len(pairs) < 400:
+        a = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(30, 400))]
+        b = list(a)
+        for _ in range(rng.integers(1, 9)):
+            b[rng.integers(len(b))] = "new"
+        if a != b and jaccard(word_sets(" ".join(a))[1], word_sets(" ".join(b))[1]) >= 0.8:
+            pairs.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame([(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert {2 * k for k in range(len(pairs))} <= kept
+    assert sum(2 * k + 1 not in kept for k in range(len(pairs))) >= 0.98 * len(pairs)
+
+
+def test_null_ids(spark):
+    rows = [(None, "a b c d e"), (None, "q"), (4, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == [(0, 4), (0, None), (4, 4)]
