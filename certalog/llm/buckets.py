@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certalog.llm.common import components, drop_written, join_counted, written
+from certalog.llm.common import components, join_counted, written
 
 #: Rows of a bucket that one unit of work compares with as many others.
 BLOCK = 512
@@ -22,10 +22,8 @@ def node(k1: str = "k1", k2: str = "k2") -> Column:
 def members(signed: DataFrame, rows: int, bands: int) -> DataFrame:
     """(band, k, k1, k2): what shares a band with something else, from a table (k1, k2, bands) of so many rows; a written table."""
     keyed = signed.select("k1", "k2", F.explode("bands").alias("band"))
-    shared = written(keyed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"))
-    out = written(join_counted(keyed, shared, ["band"], "m", bands * rows).select("band", node().alias("k"), "k1", "k2"))
-    drop_written(shared)
-    return out
+    shared = keyed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    return written(join_counted(keyed, shared, ["band"], "m", bands * rows).select("band", node().alias("k"), "k1", "k2"))
 
 
 def similar(s: str, hs: str, similarity: float) -> Column:
@@ -40,59 +38,52 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(sets.select("k", "s"), "k").join(other, "h").where(similar("s", "hs", similarity)).select("k", "h")
 
 
-def hub_pairs(found: DataFrame) -> DataFrame:
-    """(k, h): the members of each bucket with three of its own: rows in proportion to the bucket; a written table."""
-    hubs = written(
-        found.groupBy("band").agg(F.count("*").alias("m"), F.array_distinct(F.array(F.min("k"), F.max("k"), F.min_by("k", F.xxhash64("k")))).alias("hubs"))
-    )
-    pairs = join_counted(found, hubs, ["band"], "m", found.count()).select("k", F.explode("hubs").alias("h")).where("k <> h")
-    out = written(pairs.select(F.greatest("k", "h").alias("k"), F.least("k", "h").alias("h")).distinct())
-    drop_written(hubs)
-    return out
+def hub_pairs(found: DataFrame, rows: int) -> DataFrame:
+    """(k, h): the members of each bucket, so many rows, with three of its own: rows in proportion to the bucket."""
+    three = F.array_distinct(F.array(F.min("k"), F.max("k"), F.min_by("k", F.xxhash64("k"))))
+    hubs = found.groupBy("band").agg(F.count("*").alias("m"), three.alias("hubs"))
+    pairs = join_counted(found, hubs, ["band"], "m", rows).select("k", F.explode("hubs").alias("h")).where("k <> h")
+    return pairs.select(F.greatest("k", "h").alias("k"), F.least("k", "h").alias("h")).distinct()
 
 
-def units(labelled: DataFrame, sets: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Work of comparing the members of each bucket (band, k) that are in different components (c).
+def units(labelled: DataFrame, rows: int, sets: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
+    """Work of comparing the members of each bucket (band, k; so many rows) that are in different components (c).
 
-    (own, other, a table to drop once both are read): the members outside a bucket's largest component meet all of the bucket, in blocks; each
+    (own, other): the members outside a bucket's largest component meet all of the bucket, in blocks; each
     pair of blocks (band, bi, bj) is a unit. Pairs count if c <> hc and (led or k < h). A bucket of one component costs nothing.
     """
     each = labelled.groupBy("band", "c").agg(F.count("*").alias("m"))
-    size = written(
+    size = (
         each.groupBy("band")
         .agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("whole"), (F.sum("m") - F.max("m")).alias("apart"))
         .where("apart > 0")
         .select("band", "whole", F.col("top.c").alias("lead"), F.ceil(F.col("apart") / BLOCK).cast("int").alias("ni"), F.ceil(F.col("whole") / BLOCK).cast("int").alias("nj"))
     )
-    here = join_counted(labelled, size, ["band"], "whole", labelled.count()).join(sets.select("k", *kept), "k")
+    here = join_counted(labelled, size, ["band"], "whole", rows).join(sets.select("k", *kept), "k")
     dealt = lambda n: F.pmod(F.xxhash64("k"), n).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = here.where("c <> lead").select("band", dealt(F.col("ni")).alias("bi"), spread("nj").alias("bj"), "k", "c", *kept)
     led = (F.col("c") == F.col("lead")).alias("led")
     other = here.select("band", spread("ni").alias("bi"), dealt(F.col("nj")).alias("bj"), F.col("k").alias("h"), F.col("c").alias("hc"), *[F.col(x).alias(f"h{x}") for x in kept], led)
-    return own, other, size
+    return own, other
 
 
-def across(labelled: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(k, h): the links between members of a bucket that are in different components; a written table. Rows that leave the join are links, not candidates."""
-    own, other, size = units(labelled, sets, "s")
+def across(labelled: DataFrame, rows: int, sets: DataFrame, similarity: float) -> DataFrame:
+    """(k, h): the links between members of a bucket that are in different components. Rows that leave the join are links, not candidates."""
+    own, other = units(labelled, rows, sets, "s")
     apart = (F.col("c") != F.col("hc")) & (F.col("led") | (F.col("k") < F.col("h")))
-    out = written(own.join(other, ["band", "bi", "bj"]).where(apart & similar("s", "hs", similarity)).select("k", "h"))
-    drop_written(size)
-    return out
+    return own.join(other, ["band", "bi", "bj"]).where(apart & similar("s", "hs", similarity)).select("k", "h")
 
 
-def connected(found: DataFrame, sets: DataFrame, similarity: float, rest: Callable[[DataFrame, DataFrame, float], DataFrame] = across) -> DataFrame:
+def connected(found: DataFrame, sets: DataFrame, similarity: float, rest: Callable[[DataFrame, int, DataFrame, float], DataFrame] = across) -> DataFrame:
     """(node, component) of the members (band, k) that have links by exact Jaccard similarity of their sets (k, s); a written table.
 
     Members of a bucket are compared with three hubs of it, so that large groups become components at once; then all that are still in
     different components are compared. No link between two members of a bucket is lost.
     """
-    near = hub_pairs(found)
-    stars = components(alike(near, sets, similarity), "k", "h")
+    rows = found.count()
+    stars = components(alike(hub_pairs(found, rows), sets, similarity), "k", "h")
     named = stars.withColumnsRenamed({"node": "k", "component": "c"})
     labelled = written(found.select("band", "k").join(named, "k", "left").select("band", "k", F.coalesce("c", "k").alias("c")))
-    more = rest(labelled, sets, similarity)
-    whole = components(stars.select(F.col("node").alias("k"), F.col("component").alias("h")).unionByName(more), "k", "h")
-    drop_written(near, stars, labelled, more)
-    return whole
+    more = rest(labelled, rows, sets, similarity)
+    return components(stars.select(F.col("node").alias("k"), F.col("component").alias("h")).unionByName(more), "k", "h")

@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables that written() makes inside go at the end, with all that is left of them."""
+    """Tables that written() makes inside go at the end; what kept() makes stays."""
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
     _SCRATCH.append(path)
     try:
@@ -49,6 +49,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """As written(), for a result that outlives the scratch folder."""
+    inner = _SCRATCH.pop()
+    try:
+        return written(df)
+    finally:
+        _SCRATCH.append(inner)
+
+
 def written(df: DataFrame, *by: str) -> DataFrame:
     """df as a table in the shared folder, by the values of some columns, read again: a cut lineage that survives lost executors.
 
@@ -73,17 +82,23 @@ def drop_written(*tables: DataFrame) -> None:
         remove(df.sparkSession, df._written)
 
 
-def join_counted(rows: DataFrame, keys: DataFrame, by: list[str], count: str, total: int, parts: int = 256, least: int = 4096) -> DataFrame:
-    """Inner join of rows with keys, a written table of one row a key, where count says how many of the total rows have the key.
+#: Rows of a few numbers that one task can take, whatever their keys.
+NARROW = 1_000_000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, by: list[str], count: str, total: int, parts: int = 256) -> DataFrame:
+    """Inner join of narrow rows with keys, one row a key, where count says how many of the total rows have the key.
 
     A key of more than a parts-th of all rows would fill a task: of those there are fewer than parts, so they are broadcast and
-    their rows stay where they are. All others are shuffled, with the keys as hash tables.
+    their rows stay where they are. All others are shuffled, with the keys as hash tables. NARROW rows or fewer need no such care.
     """
-    bound = max(total // parts, least)
-    hot = keys.where(F.col(count) > bound)
+    if total <= NARROW:
+        return rows.join(keys.hint("shuffle_hash"), by)
+    keys = written(keys)
+    hot = keys.where(F.col(count) > total // parts)
     if hot.isEmpty():
         return rows.join(keys.hint("shuffle_hash"), by)
-    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(keys.where(F.col(count) <= bound).hint("shuffle_hash"), by)
+    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(keys.where(F.col(count) <= total // parts).hint("shuffle_hash"), by)
     return rows.join(F.broadcast(hot), by).unionByName(cold)
 
 
@@ -101,19 +116,21 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), a written table; component is the smallest node.
 
-    Alternating large-star and small-star rounds, each a map-side combined minimum and an equi-join, written to the shared folder,
-    until a round changes nothing. A node's neighbours are never gathered, and the few nodes that hold a large share of the
-    edges are joined without a shuffle, so a component may hold any share of the nodes. Nulls are ignored; nodes without edges don't
-    appear.
+    Alternating large-star and small-star rounds, each a minimum and an equi-join by node, written to the shared folder, until a
+    round changes nothing. A node's neighbours are never gathered, and beyond NARROW edges minima are combined map-side and the few nodes
+    that hold a large share of the edges are joined without a shuffle, so a component may hold any share of the nodes. Nulls are
+    ignored; nodes without edges don't appear.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     total, seen = now.count(), None
     while total:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        large = join_counted(both.where("v > u"), low, ["u"], "n", 2 * total)
-        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        floor = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        together = 2 * total <= NARROW  # then one shuffle serves the minimum and the join
+        both = both.repartition("u") if together else both
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both.where("v > u"), low, ["u"], "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = large.repartition("u").distinct() if together else written(large.distinct())
+        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
             join_counted(large, floor, ["u"], "n", 2 * total)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -123,7 +140,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         then = written(small)
         state = tuple(then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        drop_written(now, low, large, floor)
+        drop_written(now)
         now, total = then, state[0]
         if state == seen:
             break

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certalog.llm.buckets import connected, members, node, units
-from certalog.llm.common import arrow_map, components, drop_written, join_counted, table, written
+from certalog.llm.common import arrow_map, components, join_counted, kept, scratch, table, written
 from certalog.llm.tokens import mix
 
 BITS = 64
@@ -229,15 +229,15 @@ def near_duplicates(
     fingerprints. An empty table gives an empty result. Other columns of docs are left out.
     """
     fps = written(fingerprints(docs, id_col, text_col, width, seed))
-    nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")))
-    found = components(near_links(nodes.select("fp"), radius))
-    lead = written(
-        nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
-        .select("fp", "first_id", "n", F.coalesce("component", "fp").alias("component"))
-    )
-    least = lead.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = written(lead.join(least, "component").select("fp", "n", "component_id"))
-    drop_written(nodes, found, lead)
+    with scratch(docs.sparkSession):
+        nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")))
+        found = components(near_links(nodes.select("fp"), radius))
+        lead = written(
+            nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
+            .select("fp", "first_id", "n", F.coalesce("component", "fp").alias("component"))
+        )
+        least = lead.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        named = kept(lead.join(least, "component").select("fp", "n", "component_id"))
     return join_counted(fps, named, ["fp"], "n", fps.count()).select(id_col, "fp", "component_id")
 
 
@@ -279,16 +279,16 @@ def print_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> Dat
     return each.select(node().alias("k"), "*").dropDuplicates(["k"])
 
 
-def across_planes(labelled: DataFrame, sets: DataFrame, similarity: float, radius: int = RADIUS) -> DataFrame:
-    """(k, h): links between members of a bucket that are in different components; a written table.
+def across_planes(labelled: DataFrame, rows: int, sets: DataFrame, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """(k, h): links between members of a bucket that are in different components.
 
     The fingerprints of a unit's own rows are bit planes; the others come against them some at a time. Pairs within radius are
     verified by their sets, one pair for each two components that are not yet connected in the unit.
     """
-    own, other, size = units(labelled, sets, "fp", "s")
+    own, other = units(labelled, rows, sets, "fp", "s")
     by = ["band", "bi", "bj"]
     mine = own.select(*by, F.lit(False).alias("other"), F.lit(False).alias("led"), "k", "c", "fp", "s")
-    rows = mine.unionByName(other.select(*by, F.lit(True).alias("other"), "led", F.col("h").alias("k"), F.col("hc").alias("c"), F.col("hfp").alias("fp"), F.col("hs").alias("s")))
+    every = mine.unionByName(other.select(*by, F.lit(True).alias("other"), "led", F.col("h").alias("k"), F.col("hc").alias("c"), F.col("hfp").alias("fp"), F.col("hs").alias("s")))
     parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -308,10 +308,8 @@ def across_planes(labelled: DataFrame, sets: DataFrame, similarity: float, radiu
                     held.take(part)
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.decimal128(38, 0)) for c in (0, 1)], names=["k", "h"])
 
-    placed = rows.repartition(parts, *by).sortWithinPartitions(*by, "other")
-    out = written(placed.mapInArrow(run, "k decimal(38,0), h decimal(38,0)"))
-    drop_written(size)
-    return out
+    placed = every.repartition(parts, *by).sortWithinPartitions(*by, "other")
+    return placed.mapInArrow(run, "k decimal(38,0), h decimal(38,0)")
 
 
 class Unit:
@@ -371,23 +369,22 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     compared as bit planes and what is within RADIUS bits is verified by its sets. Of each group the document with the smallest id stays
     (of several texts with that id the one with the smallest hash; null comes first); several says that it has equal rows.
     """
-    made = written(prints(docs, width, seed))
-    first = [F.min(c).alias(c) for c in ("fp", *[f"b{k}" for k in range(BANDS)])]
-    texts = written(made.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min_by("doc_id", "th").alias("at"), F.min("th").alias("t"), *first))
-    count, total = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    found = members(texts.select("k1", "k2", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), count, BANDS)
-    wanted = texts.join(found.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "n", "fp", "at", "t")
-    sets = written(print_sets(docs, wanted, width, seed))
-    whole = connected(found, sets, similarity, across_planes)
-    linked = whole.join(sets, F.col("node") == F.col("k")).select("k1", "k2", "n", F.col("component").alias("c"))
-    alone = texts.where("n > 1").select("k1", "k2", "n", node().alias("c")).join(linked, ["k1", "k2"], "left_anti")
-    several = written(linked.unionByName(alone))
-    groups = written(join_counted(made.select("doc_id", "th", "k1", "k2"), several, ["k1", "k2"], "n", total).groupBy("doc_id", "th", "c").agg(F.count("*").alias("rows")))
-    lead = groups.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.*", F.lit(True).alias("stays"), F.lit(0).cast("long").alias("rows"))
-    both = groups.select("doc_id", "th", F.lit(False).alias("stays"), "rows").unionByName(lead)
-    out = written(both.groupBy("doc_id", "th").agg(F.bool_or("stays").alias("stays"), (F.sum("rows") > 1).alias("several")))
-    drop_written(made, texts, found, sets, whole, several, groups)
-    return out
+    with scratch(docs.sparkSession):
+        made = written(prints(docs, width, seed))
+        first = [F.min(c).alias(c) for c in ("fp", *[f"b{k}" for k in range(BANDS)])]
+        texts = written(made.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min_by("doc_id", "th").alias("at"), F.min("th").alias("t"), *first))
+        count, total = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        found = members(texts.select("k1", "k2", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands")), count, BANDS)
+        wanted = texts.join(found.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "n", "fp", "at", "t")
+        sets = written(print_sets(docs, wanted, width, seed))
+        whole = connected(found, sets, similarity, across_planes)
+        linked = whole.join(sets, F.col("node") == F.col("k")).select("k1", "k2", "n", F.col("component").alias("c"))
+        alone = texts.where("n > 1").select("k1", "k2", "n", node().alias("c")).join(linked, ["k1", "k2"], "left_anti")
+        rows = join_counted(made.select("doc_id", "th", "k1", "k2"), linked.unionByName(alone), ["k1", "k2"], "n", total)
+        groups = written(rows.groupBy("doc_id", "th", "c").agg(F.count("*").alias("rows")))
+        lead = groups.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.*", F.lit(True).alias("stays"), F.lit(0).cast("long").alias("rows"))
+        both = groups.select("doc_id", "th", F.lit(False).alias("stays"), "rows").unionByName(lead)
+        return kept(both.groupBy("doc_id", "th").agg(F.bool_or("stays").alias("stays"), (F.sum("rows") > 1).alias("several")))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
