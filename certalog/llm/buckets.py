@@ -12,6 +12,8 @@ from certalog.llm.common import components, join_counted, written
 
 #: Rows of a bucket that one unit of work compares with as many others.
 BLOCK = 512
+#: Members of a bucket that all others are compared with first.
+HUBS = 8
 
 
 def node(k1: str = "k1", k2: str = "k2") -> Column:
@@ -39,9 +41,9 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def hub_pairs(found: DataFrame, rows: int) -> DataFrame:
-    """(k, h): the members of each bucket, so many rows, with three of its own: rows in proportion to the bucket."""
-    three = F.array_distinct(F.array(F.min("k"), F.max("k"), F.min_by("k", F.xxhash64("k"))))
-    hubs = found.groupBy("band").agg(F.count("*").alias("m"), three.alias("hubs"))
+    """(k, h): the members of each bucket, so many rows, with HUBS of its own: rows in proportion to the bucket."""
+    own = F.array_distinct(F.array(*[F.min_by("k", F.xxhash64(F.lit(i), F.col("k"))) for i in range(HUBS)]))
+    hubs = found.groupBy("band").agg(F.count("*").alias("m"), own.alias("hubs"))
     pairs = join_counted(found, hubs, ["band"], "m", rows).select("k", F.explode("hubs").alias("h")).where("k <> h")
     return pairs.select(F.greatest("k", "h").alias("k"), F.least("k", "h").alias("h")).distinct()
 
@@ -78,7 +80,7 @@ def across(labelled: DataFrame, rows: int, sets: DataFrame, similarity: float) -
 def connected(found: DataFrame, sets: DataFrame, similarity: float, rest: Callable[[DataFrame, int, DataFrame, float], DataFrame] = across) -> DataFrame:
     """(node, component) of the members (band, k) that have links by exact Jaccard similarity of their sets (k, s); a written table.
 
-    Members of a bucket are compared with three hubs of it, so that large groups become components at once; then all that are still in
+    Members of a bucket are compared with some hubs of it, so that large groups become components at once; then all that are still in
     different components are compared. No link between two members of a bucket is lost.
     """
     rows = found.count()

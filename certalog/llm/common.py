@@ -87,19 +87,17 @@ NARROW = 1_000_000
 
 
 def join_counted(rows: DataFrame, keys: DataFrame, by: list[str], count: str, total: int, parts: int = 256) -> DataFrame:
-    """Inner join of narrow rows with keys, one row a key, where count says how many of the total rows have the key.
+    """Inner join of rows with keys, one row a key, where count says how many of the total rows have the key.
 
-    A key of more than a parts-th of all rows would fill a task: of those there are fewer than parts, so they are broadcast and
-    their rows stay where they are. All others are shuffled, with the keys as hash tables. NARROW rows or fewer need no such care.
+    A key of more than a parts-th of all rows would fill a task. Of those there are fewer than parts, so they are told to all tasks: their
+    rows are salted before the shuffle and the key is repeated for each salt. The keys are the hash tables of the join.
     """
-    if total <= NARROW:
-        return rows.join(keys.hint("shuffle_hash"), by)
     keys = written(keys)
-    hot = keys.where(F.col(count) > total // parts)
-    if hot.isEmpty():
-        return rows.join(keys.hint("shuffle_hash"), by)
-    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(keys.where(F.col(count) <= total // parts).hint("shuffle_hash"), by)
-    return rows.join(F.broadcast(hot), by).unionByName(cold)
+    often = F.col(count) > max(total // parts, parts)
+    hot = F.broadcast(keys.where(often).select(*by, F.lit(parts).alias("_salts")))  # fewer than parts rows
+    salted = rows.join(hot, by, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int")))
+    spread = keys.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.drop("_salts").join(spread.hint("shuffle_hash"), [*by, "_salt"]).drop("_salt")
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -118,7 +116,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star rounds, each a minimum and an equi-join by node, written to the shared folder, until a
     round changes nothing. A node's neighbours are never gathered, and beyond NARROW edges minima are combined map-side and the few nodes
-    that hold a large share of the edges are joined without a shuffle, so a component may hold any share of the nodes. Nulls are
+    that hold a large share of the edges are salted, so a component may hold any share of the nodes. Nulls are
     ignored; nodes without edges don't appear.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
@@ -128,11 +126,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         together = 2 * total <= NARROW  # then one shuffle serves the minimum and the join
         both = both.repartition("u") if together else both
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_counted(both.where("v > u"), low, ["u"], "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        meet = (lambda rows, keys: rows.join(keys, "u")) if together else (lambda rows, keys: join_counted(rows, keys, ["u"], "n", 2 * total))
+        large = meet(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = large.repartition("u").distinct() if together else written(large.distinct())
         floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            join_counted(large, floor, ["u"], "n", 2 * total)
+            meet(large, floor)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
