@@ -5,12 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CJK = "一-鿿"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often and however deeply later steps use them: the optimiser doesn't merge
+    projections across the generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _wide() -> tuple[str, str]:
     """Full-width forms of the ASCII signs and the ideographic space, with what they stand for."""
     return "".join(chr(0xFF01 + k) for k in range(94)) + "　", "".join(chr(0x21 + k) for k in range(94)) + " "
@@ -21,15 +27,28 @@ def half_width(c: Column) -> Column:
     return F.translate(c, *_wide())
 
 
+#: What begins a certificate number: up to six Han characters, the last one this (fixed value).
+_ANCHOR = f"[{CJK}]{{1,6}}械"
+
+
 def registration_key(c: Column) -> Column:
     """Registration number as a key; null if nothing is left.
 
-    The first part before a separator (comma, semicolon, bar, backslash or a lowercase s, as the separators are spelled at the
-    source), half-width, in capitals, letters, digits and Han characters only. Of two certificate numbers run together the first stays.
+    The part before the first separator (comma, semicolon, bar, backslash or a lowercase s, as the separators are spelled at the
+    source), half-width, in capitals, letters, digits and Han characters only. Of several numbers run together the first stays if it has six digits
+    and 120 characters at most; a key of more than 120 characters gives its first such number, or null.
     """
-    first = F.get(F.filter(F.split(F.trim(c), r"[，,;；|\\s]+"), lambda x: x != ""), 0)
+    first = F.get(F.split(F.trim(c), r"[，,;；|\\s]+"), 0)
     clean = F.regexp_replace(F.upper(F.regexp_replace(half_width(first), r"\s+", "")), f"[^0-9A-Z{CJK}]+", "")
-    return F.nullif(clean, F.lit(""))
+    parts = F.regexp_extract_all(clean, F.lit(f"({_ANCHOR}.*?)(?={_ANCHOR}|$)"), F.lit(1))
+    good = F.filter(parts, lambda x: (F.length(x) <= 120) & (F.length(F.regexp_replace(x, "[^0-9]", "")) >= 6))
+    whole = F.when(F.length(clean) <= 120, clean)
+    own = F.get(parts, 0)
+    return (
+        F.when(clean == "", None)
+        .when((F.size(parts) >= 2) & F.exists(F.slice(good, 1, 1), lambda x: x == own), own)
+        .otherwise(F.coalesce(whole, F.get(good, 0)))
+    )
 
 
 def loose_key(c: Column) -> Column:
@@ -44,14 +63,16 @@ def company_key(c: Column, suffixes: Sequence[str]) -> Column:
     return F.regexp_replace(plain, f"(?<=.)(?:{ends})+$", "")
 
 
+def keyword_pattern(words: Sequence[str]) -> str:
+    """Pattern of a text in lower case that has one of the words: those of ASCII letters, digits and hyphens as whole tokens, others anywhere."""
+    token = lambda w: rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])" if re.fullmatch(r"[a-z0-9\\-]+", w) else re.escape(w)
+    return "|".join(token(w.lower()) for w in words)
+
+
 def keyword_hits(c: Column, words: Sequence[str]) -> Column:
-    """Array of the words that a text has: ASCII words as whole tokens, others anywhere."""
+    """Array of the words that a text has, by keyword_pattern."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    each = []
-    for w in words:
-        found = low.rlike(rf"(?<![a-z0-9]){re.escape(w.lower())}(?![a-z0-9])") if w.isascii() else low.contains(w)
-        each.append(F.when(found, F.lit(w)))
-    return F.array_compact(F.array(*each))
+    return F.array_compact(F.array(*[F.when(low.rlike(keyword_pattern([w])), F.lit(w)) for w in words]))
 
 
 def first_text(*columns: Column) -> Column:

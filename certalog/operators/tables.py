@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,17 +27,14 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], policy: str
     null values of target are filled. Keys are compared null-safe.
     """
     names = target.columns
-    if policy == "absent":
-        return target.unionByName(source.join(target.select(*keys), list(keys), "left_anti").select(*names))
-    if policy == "overwrite":
-        return target.join(source.select(*keys), list(keys), "left_anti").select(*names).unionByName(source.select(*names))
+    same = lambda a, b: reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+    if policy in ("absent", "overwrite"):
+        first, second = (target, source) if policy == "absent" else (source, target)
+        rest = second.alias("x").join(first.select(*keys).alias("y"), same("x", "y"), "left_anti")
+        return first.select(*names).unionByName(rest.select(*names))
     t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
-    on = None
-    for k in keys:
-        one = F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}"))
-        on = one if on is None else on & one
     first, second = ("s", "t") if policy == "coalesce" else ("t", "s")
-    return t.join(s, on, "full").select(*[F.coalesce(f"{first}.{c}", f"{second}.{c}").alias(c) for c in names])
+    return t.join(s, same("t", "s"), "full").select(*[F.coalesce(f"{first}.{c}", f"{second}.{c}").alias(c) for c in names])
 
 
 def replace_part(target: DataFrame, source: DataFrame, part: Sequence[str]) -> DataFrame:

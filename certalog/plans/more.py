@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certalog.functions import text as fn
 from certalog.operators import tables
 from certalog.plans.binding import ASOF, DAY, SQL, changes, companies, products, registrations
-from certalog.plans.scores import SIGNAL_SQL, registration_signal
+from certalog.plans.scores import DIST, SIGNAL_SQL, distribution, registration_signal
 from certalog.session import table
 
 
@@ -19,7 +19,7 @@ def by_day(e: DataFrame) -> DataFrame:
 def backfilled(spark, d) -> DataFrame:
     """Metrics of each of the 14 days to the day, zero where nothing happened: the days are generated once and joined."""
     days = spark.range(1).select(F.explode(F.sequence(F.date_sub(F.lit(DAY), 13), F.lit(DAY))).alias("day"))
-    e = by_day(changes(spark, d).where("kind = 'cancel' and k > 50"))
+    e = by_day(changes(spark, d).where("kind = 'cancel'"))
     return F.broadcast(days).join(e, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("entities", F.lit(0)).alias("entities"))
 
 
@@ -30,13 +30,14 @@ def changes_of_products(spark, d) -> DataFrame:
 
 
 def normalised_lookup(spark, d) -> DataFrame:
-    """Registrations found by number, as written or by loose key: two equi-joins, the exact one first."""
-    asked = registrations(spark, d).where("registration_id % 5 = 0").select(
+    """Registrations found by number, as written or by loose key, the newest of a key: two equi-joins, the exact one first."""
+    asked = registrations(spark, d).select(
         "registration_id", F.when(F.col("registration_id") % 2 == 0, F.col("registration_no")).otherwise(F.concat(F.lit("reg-"), F.substring("registration_no", 4, 10))).alias("asked")
     )
-    r = registrations(spark, d).select(F.col("registration_no").alias("no"), F.col("registration_id").alias("found"))
-    exact = asked.join(r, F.col("asked") == F.col("no"), "left").withColumnRenamed("found", "exact").drop("no")
-    loose = r.select(fn.loose_key(F.col("no")).alias("key"), F.col("found").alias("loose"))
+    r = registrations(spark, d).select(F.col("registration_no").alias("no"), F.col("registration_id").alias("found"), "created_date")
+    exact = asked.join(r.drop("created_date"), F.col("asked") == F.col("no"), "left").withColumnRenamed("found", "exact").drop("no")
+    keyed = tables.latest(r.withColumn("key", fn.loose_key(F.col("no"))), ["key"], [F.col("created_date").desc_nulls_last(), F.col("found").desc()])
+    loose = keyed.select("key", F.col("found").alias("loose"))
     return exact.join(loose, fn.loose_key(F.col("asked")) == F.col("key"), "left").select("registration_id", "asked", F.coalesce("exact", "loose").alias("found"), F.col("exact").isNotNull().alias("is_exact"))
 
 
@@ -48,11 +49,14 @@ def keyword_matches(spark, d) -> DataFrame:
 
 
 def batch_signals(spark, d) -> DataFrame:
-    """Signals for a list of numbers, in the order asked, repeats kept, unknown ones with the default."""
-    asked = registrations(spark, d).where("registration_id % 1000 < 3").select(F.col("registration_id").alias("asked"))
-    asked = asked.unionByName(asked.where("asked % 2 = 0")).unionByName(asked.select((-F.col("asked")).alias("asked")))
-    s = registration_signal(spark, d).select(F.col("registration_id").alias("asked"), "level", "score")
-    out = asked.join(s, "asked", "left").select("asked", F.coalesce("level", F.lit("medium")).alias("level"), F.coalesce("score", F.lit(0)).alias("score"))
+    """Signals for a list of numbers, repeats kept, unknown ones with the default; only the numbers asked are computed.
+
+    The list is every owner's newest registration, those of even number twice, and as many that don't exist.
+    """
+    newest = registrations(spark, d).groupBy("owner_id").agg(F.max("registration_id").alias("asked")).select("asked")
+    asked = newest.unionByName(newest.where("asked % 2 = 0")).unionByName(newest.select((-1 - F.col("asked")).alias("asked")))
+    s = registration_signal(spark, d, newest.withColumnRenamed("asked", "registration_id")).select(F.col("registration_id").alias("asked"), "level", "score")
+    out = asked.join(s, "asked", "left").select("asked", F.coalesce("level", F.lit("medium")).alias("level"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return tables.numbered(out, ["asked"], [F.col("score").asc()], "copy")
 
 
@@ -61,13 +65,8 @@ def keyset_page(spark, d) -> DataFrame:
 
 
 def source_shares(spark, d) -> DataFrame:
-    """Share of each kind of change by entity group, as one line of text; the largest first, ties by name."""
-    n = changes(spark, d).groupBy(F.pmod("entity_id", F.lit(10)).alias("bucket"), "kind").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("bucket"))
-    n = n.withColumn("permille", F.floor(F.col("n") * 1000 / total).cast("int"))
-    item = F.struct((-F.col("n")).alias("o"), "kind", "permille")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(x["kind"], F.lit(":"), x["permille"].cast("string"))), ", ")
-    return n.groupBy("bucket").agg(line.alias("shares"))
+    """Share of each kind of change by day, as one line of text; the largest first, ties by name."""
+    return distribution(changes(spark, d).groupBy("day", "kind").agg(F.count("*").alias("n")), ["day"], "kind", "n")
 
 
 def merged_lists(spark, d) -> DataFrame:
@@ -109,8 +108,8 @@ def pending(spark, d) -> DataFrame:
 
 
 def variants(spark, d) -> DataFrame:
-    """One registration's page: its products, newest first, for every registration of an owner group."""
-    r = registrations(spark, d).where("owner_id % 50 = 7").select("registration_id", "registration_no")
+    """One registration's page: its products, newest first, for every registration."""
+    r = registrations(spark, d).select("registration_id", "registration_no")
     order = [F.col("updated_date").desc_nulls_last(), *[F.col(c).asc() for c in ("line", "part_id", "company_id", "quantity")]]
     return tables.numbered(r.join(products(spark, d), "registration_id"), ["registration_id"], order, "place").select("registration_no", "place", "part_id", "company_id", "updated_date")
 
@@ -138,20 +137,20 @@ def expired_unrenewed(spark, d) -> DataFrame:
 
 _COPY = "row_number() over (partition by asked order by score)"
 QUERIES = {
-    "q18_backfilled": (backfilled, f"{SQL}, c as (select day, count(*) n, count(distinct entity_id) entities from changes where kind = 'cancel' and k > 50 group by 1), r as (select cast(unnest(generate_series(e - interval 13 day, e, interval 1 day)) as date) as day from today) select r.day, coalesce(n, 0) n, coalesce(entities, 0) entities from r left join c using (day)"),
+    "q18_backfilled": (backfilled, f"{SQL}, c as (select day, count(*) n, count(distinct entity_id) entities from changes where kind = 'cancel' group by 1), r as (select cast(unnest(generate_series(e - interval 13 day, e, interval 1 day)) as date) as day from today) select r.day, coalesce(n, 0) n, coalesce(entities, 0) entities from r left join c using (day)"),
     "q21_changes_of_products": (changes_of_products, f"{SQL} select kind, category, count(*) n from changes join (select distinct registration_id, category from products where is_ivd) on entity_id = registration_id group by 1, 2"),
-    "jn13_normalised_lookup": (normalised_lookup, f"{SQL}, a as (select registration_id, case when registration_id % 2 = 0 then registration_no else 'reg-' || substr(registration_no, 4, 10) end asked from registrations where registration_id % 5 = 0) select a.registration_id, asked, coalesce(x.registration_id, y.registration_id) as found, x.registration_id is not null is_exact from a left join registrations x on asked = x.registration_no left join registrations y on regexp_replace(upper(asked), '[^0-9A-Z]+', '', 'g') = y.registration_no"),
+    "jn13_normalised_lookup": (normalised_lookup, f"{SQL}, a as (select registration_id, case when registration_id % 2 = 0 then registration_no else 'reg-' || substr(registration_no, 4, 10) end asked from registrations) select a.registration_id, asked, coalesce(x.registration_id, y.registration_id) as found, x.registration_id is not null is_exact from a left join registrations x on asked = x.registration_no left join registrations y on regexp_replace(upper(asked), '[^0-9A-Z]+', '', 'g') = y.registration_no"),
     "jn15_keyword_matches": (keyword_matches, "select term, p_brand, count(*) n from part join (select unnest(['blue', 'metal', 'rose', 'dim']) term) on regexp_matches(lower(p_name), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') group by 1, 2"),
-    "q14_batch_signals": (batch_signals, f"with z as ({SIGNAL_SQL}), a as (select o_orderkey asked from orders where o_orderkey % 1000 < 3), b as (select asked from a union all select asked from a where asked % 2 = 0 union all select -asked from a), c as (select asked, coalesce(level, 'medium') as level, coalesce(score, 0) score from b left join z on asked = registration_id) select asked, level, score, cast({_COPY} as integer) copy from c"),
+    "q14_batch_signals": (batch_signals, f"{SIGNAL_SQL}, z as (select * from signal), a as (select max(registration_id) asked from registrations group by owner_id), b as (select asked from a union all select asked from a where asked % 2 = 0 union all select -1 - asked from a), c as (select asked, coalesce(level, 'medium') as level, coalesce(score, 0.0::double) score from b left join z on asked = registration_id) select asked, level, score, cast({_COPY} as integer) copy from c"),
     "tk3_keyset_page": (keyset_page, f"{SQL} select registration_no, status from registrations where registration_no > 'REG0000000100' order by 1 limit 100"),
-    "ag18_source_shares": (source_shares, f"{SQL}, n as (select entity_id % 10 bucket, kind, count(*) n from changes group by 1, 2), p as (select *, cast(floor(n * 1000 / sum(n) over (partition by bucket)) as integer) permille from n) select bucket, string_agg(kind || ':' || permille, ', ' order by n desc, kind) shares from p group by 1"),
+    "ag18_source_shares": (source_shares, f"{SQL}, n as (select day, kind, count(*) n from changes group by 1, 2) " + DIST("day", "n", "kind", "n")),
     "set4_merged_lists": (merged_lists, f"{SQL}, a as (select entity_id, list_sort(list(distinct kind)) l from changes where k < 50 group by 1), b as (select entity_id, list_sort(list(distinct kind)) l from changes where k >= 50 group by 1), j as (select coalesce(a.entity_id, b.entity_id) entity_id, coalesce(a.l, []) a, coalesce(b.l, []) b from a full join b on a.entity_id = b.entity_id) select entity_id, array_to_string(list_concat(a, list_filter(b, lambda x: not list_contains(a, x))), ',') merged, array_to_string(list_filter(a, lambda x: not list_contains(b, x)), ',') only_a, list_has_any(a, b) as overlap from j"),
     "q35_anchor_gate": (anchor_gate, "with t as (select regexp_extract(url, '/(\\d+)', 1) a, regexp_extract(url, 'page=(\\d+)', 1) b from pages) select case when a = '' and b = '' then 'missing' when length(a) < 2 then 'unusable' when b <> '' and a <> b then 'conflict' else 'ok' end code, count(*) n from t group by 1"),
     "q53_data_quality": (data_quality, "with w as (select source, length(text) n, len(regexp_extract_all(text, '[A-Za-z]')) letters, md5(text) h from documents) select source, count(*) total, count(*) filter (where n < 100) short, count(*) filter (where letters * 2 < n) few_letters, count(*) - count(distinct h) copies, cast(sum(n) as bigint) chars from w group by 1"),
     "f19_payload_hashes": (payload_hashes, "select sha256('{\"event_type\":\"' || event_type || '\",\"k\":' || json_extract_string(props, '$.k') || '}') payload_hash, count(*) n, min(event_id) first_id from events group by 1"),
     "q58_pending": (pending, "select source, lang, count(*) pending, count(*) filter (where n_chars >= 2000) long from documents where doc_id not in (select doc_id from labels) group by 1, 2"),
-    "q24_variants": (variants, f"{SQL} select registration_no, cast(row_number() over (partition by registration_id order by updated_date desc nulls last, line, part_id, company_id, quantity) as integer) place, part_id, company_id, updated_date from registrations join products using (registration_id) where owner_id % 50 = 7"),
+    "q24_variants": (variants, f"{SQL} select registration_no, cast(row_number() over (partition by registration_id order by updated_date desc nulls last, line, part_id, company_id, quantity) as integer) place, part_id, company_id, updated_date from registrations join products using (registration_id)"),
     "w7_param_winners": (param_winners, f"{SQL}, v as (select *, 'quantity' code, quantity as value from products union all select *, 'line', cast(line as double) from products) select part_id, code, value, registration_id from (select *, row_number() over (partition by part_id, code order by updated_date desc nulls last, registration_id desc, line desc, company_id desc, value desc) rn from v) where rn = 1"),
     "prj3_supplier_bands": (supplier_bands, f"{SQL} select company_id, case when balance >= 7000 then 'pro' when balance >= 3000 then 'plus' when balance >= 0 then 'basic' else 'none' end as level, case when balance >= 3000 then company end company from companies"),
-    "q61_expired_unrenewed": (expired_unrenewed, f"{SQL} select strftime(expiry_date, '%Y-%m') as month, count(*) n from registrations r, today where expiry_date < d and coalesce(status <> 'cancelled', true) and not exists (select 1 from changes where kind = 'renew' and entity_id = r.registration_id) group by 1"),
+    "ag15_expired_months": (expired_unrenewed, f"{SQL} select strftime(expiry_date, '%Y-%m') as month, count(*) n from registrations r, today where expiry_date < d and coalesce(status <> 'cancelled', true) and not exists (select 1 from changes where kind = 'renew' and entity_id = r.registration_id) group by 1"),
 }

@@ -10,8 +10,6 @@ from certalog.operators import policy, tables
 from certalog.plans.binding import ASOF, SQL, changes, products, registrations
 from certalog.session import table
 
-#: Keyword ladder of the classifier over part names (fixed values for the given tables).
-EXCLUDE, STRONG, CONTEXT = ("black", "smoke"), ("almond", "azure", "steel"), ("red", "blue", "green")
 SEVERITY = {"status": "HIGH", "expiry_date": "HIGH", "approval_date": "MED"}
 
 
@@ -27,17 +25,6 @@ def company_names(spark, d) -> DataFrame:
     return table(spark, d, "supplier").groupBy(key.alias("company_key")).agg(F.count("*").alias("n"))
 
 
-def classified(spark, d) -> DataFrame:
-    """Parts by a keyword ladder: excluded words, strong words, context words with a type, else out."""
-    t = table(spark, d, "part")
-    ex, st, co = (fn.keyword_hits(F.col("p_name"), w) for w in (EXCLUDE, STRONG, CONTEXT))
-    t = t.select("p_partkey", "p_type", F.array_join(ex, ",").alias("ex"), F.array_join(st, ",").alias("st"), F.array_join(co, ",").alias("co"))
-    rule = F.when(F.col("ex") != "", "exclude").when(F.col("st") != "", "strong").when((F.col("co") != "") & F.lower("p_type").contains("a"), "context").otherwise("none")
-    t = t.withColumn("rule", rule)
-    confidence = F.when(F.col("rule") == "exclude", 0.9).when(F.col("rule") == "strong", 0.85).when(F.col("rule") == "context", 0.6).otherwise(0.3)
-    return t.select("p_partkey", "rule", F.col("rule").isin("strong", "context").alias("is_ivd"), F.concat_ws(",", *[F.nullif(c, F.lit("")) for c in ("ex", "st", "co")]).alias("hits"), confidence.cast("double").alias("confidence"))
-
-
 def newest_registration(spark, d) -> DataFrame:
     return tables.latest(registrations(spark, d), ["owner_id"], [F.col("created_date").desc(), F.col("registration_id").desc()]).select(
         "owner_id", "registration_id", "approval_date", "status"
@@ -57,7 +44,7 @@ def replaced_days(spark, d) -> DataFrame:
     """Daily counts where the days of cancels are recomputed: delete the part, insert anew."""
     e = changes(spark, d)
     old = e.groupBy("day", "kind").agg(F.count("*").alias("n"))
-    new = e.where("kind = 'cancel' and day >= '2024-01-15'").groupBy("day", "kind").agg(F.count_distinct("entity_id").alias("n"))
+    new = e.where("kind = 'cancel' and day >= '2000-12-27'").groupBy("day", "kind").agg(F.count_distinct("entity_id").alias("n"))
     return tables.replace_part(old, new, ["day", "kind"])
 
 
@@ -71,7 +58,7 @@ def resolved(spark, d) -> DataFrame:
     """The field value that each entity's observations end with, by grade, priority and time."""
     e = changes(spark, d).select(
         "entity_id", F.col("kind").alias("value"), F.element_at(F.array(*[F.lit(g) for g in "ABCD"]), F.pmod("event_id", F.lit(4)).cast("int") + 1).alias("grade"),
-        F.pmod(F.col("event_id"), F.lit(3)).cast("int").alias("priority"), F.date_diff("day", F.lit("2024-01-01")).cast("long").alias("observed_at"), F.col("event_id").alias("seq"),
+        F.pmod(F.col("event_id"), F.lit(3)).cast("int").alias("priority"), F.date_diff("day", F.lit("2000-12-13")).cast("long").alias("observed_at"), F.col("event_id").alias("seq"),
     )
     return policy.resolve(e, ["entity_id"])
 
@@ -151,21 +138,19 @@ _PICK = "select owner_id, registration_id, approval_date, status from (select *,
 _MERGE = f"{SQL}, t as ({_PICK.format('<')}), s as ({_PICK.format('>=')})"
 _BOTH = "select coalesce(t.owner_id, s.owner_id) owner_id, " + "{}" + " from t full join s on t.owner_id = s.owner_id"
 _COLUMNS = ("registration_id", "approval_date", "status")
-_HITS = lambda words: "concat_ws(',', " + ", ".join(f"case when regexp_matches(lower(p_name), '(^|[^a-z0-9]){w}([^a-z0-9]|$)') then '{w}' end" for w in words) + ")"
 
 QUERIES = {
     "f1_registration_keys": (url_keys, "select page_id, nullif(regexp_replace(upper(list_filter(string_split_regex(trim(url), '[，,;；|\\\\s]+'), lambda x: x <> '')[1]), '[^0-9A-Z一-鿿]+', '', 'g'), '') reg_key, regexp_replace(upper(url), '[^0-9A-Z一-鿿]+', '', 'g') loose_key from pages".replace("[，,;；|\\\\s]+", "[，,;；|\\\\s]+")),
     "f3_company_names": (company_names, "select regexp_replace(regexp_replace(upper(s_name), '[^0-9A-Z]+', '', 'g'), '(000|00|0)+$', '') company_key, count(*) n from supplier group by 1"),
-    "q33_classified": (classified, f"with h as (select p_partkey, p_type, {_HITS(EXCLUDE)} ex, {_HITS(STRONG)} st, {_HITS(CONTEXT)} co from part), r as (select *, case when ex <> '' then 'exclude' when st <> '' then 'strong' when co <> '' and contains(lower(p_type), 'a') then 'context' else 'none' end as rule from h) select p_partkey, rule, rule in ('strong', 'context') is_ivd, concat_ws(',', nullif(ex, ''), nullif(st, ''), nullif(co, '')) hits, cast(case rule when 'exclude' then 0.9 when 'strong' then 0.85 when 'context' then 0.6 else 0.3 end as double) confidence from r"),
     "up1_overwrite": (lambda s, d: merged(s, d, "overwrite"), f"{_MERGE} select * from s union all select * from t where owner_id not in (select owner_id from s)"),
     "up2_coalesce": (lambda s, d: merged(s, d, "coalesce"), f"{_MERGE} " + _BOTH.format(", ".join(f"coalesce(s.{c}, t.{c}) {c}" for c in _COLUMNS))),
     "up3_absent": (lambda s, d: merged(s, d, "absent"), f"{_MERGE} select * from t union all select * from s where owner_id not in (select owner_id from t)"),
     "up8_fill": (lambda s, d: merged(s, d, "fill"), f"{_MERGE} " + _BOTH.format(", ".join(f"coalesce(t.{c}, s.{c}) {c}" for c in _COLUMNS))),
-    "up5_replaced_days": (replaced_days, f"{SQL} select day, kind, case when kind = 'cancel' and day >= '2024-01-15' then count(distinct entity_id) else count(*) end n from changes group by 1, 2"),
+    "up5_replaced_days": (replaced_days, f"{SQL} select day, kind, case when kind = 'cancel' and day >= '2000-12-27' then count(distinct entity_id) else count(*) end n from changes group by 1, 2"),
     "up10_archived": (archived, f"{SQL} select case when is_ivd then 'kept' else 'archived' end part, count(*) n from products group by 1"),
     "up21_newest_registration": (newest_registration, f"{SQL} select owner_id, registration_id, approval_date, status from (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations) where rn = 1"),
     "q27_resolved": (resolved, f"""{SQL.replace('with', 'with recursive', 1)},
-o as (select entity_id, kind as value, 4 - event_id % 4 g, -(event_id % 3) p, date_diff('day', date '2024-01-01', day) t,
+o as (select entity_id, kind as value, 4 - event_id % 4 g, -(event_id % 3) p, date_diff('day', date '2000-12-13', day) t,
   row_number() over (partition by entity_id order by day, event_id) rn from changes),
 f as (select distinct entity_id, 0::bigint rn, null::varchar as value, null::bigint g, null::bigint p, null::bigint t, 0 applied, 0 kept, 0 conflicts from o
   union all

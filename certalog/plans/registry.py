@@ -1,7 +1,7 @@
 """Every query of the engine with the SQL that states the same result."""
 
-from certalog.plans import more, records, reports, scores
+from certalog.plans import ingest, more, reads, records, reports, scores
 
-_ALL = {**scores.QUERIES, **reports.QUERIES, **records.QUERIES, **more.QUERIES}
+_ALL = {**scores.QUERIES, **reports.QUERIES, **records.QUERIES, **more.QUERIES, **ingest.QUERIES, **reads.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certalog.operators.tables import join_either, latest, numbered, profile
-from certalog.plans.binding import ASOF, DAY, SQL, changes, companies, products, registrations
+from certalog.plans.binding import ASOF, DAY, SQL, changes, companies, lines, products, registrations
 from certalog.session import table
 
 
 def search(spark, d, q: str = "%al%", prefix: str = "standard", page: int = 2, size: int = 25) -> DataFrame:
     """A page of the products in scope whose name or company matches and whose category has a prefix; wildcards are the user's."""
     c = companies(spark, d)
-    hit = products(spark, d).where("is_ivd").join(F.broadcast(c), "company_id", "left")  # companies: the dimension of a search
+    hit = products(spark, d).where("is_ivd").join(c, "company_id", "left")
     hit = hit.where((F.col("name").ilike(q) | F.col("company").ilike(q)) & F.col("category").ilike(f"{prefix}%"))
     order = [F.col("updated_date").desc_nulls_first(), *[F.col(x).asc() for x in ("registration_id", "line", "part_id", "company_id", "quantity")]]
     return hit.orderBy(*order).offset((page - 1) * size).limit(size).select("registration_id", "line", "part_id", "name", "company", "category")
@@ -45,12 +45,12 @@ def ranked_days(spark, d) -> DataFrame:
 def expiring(spark, d) -> DataFrame:
     """Registrations that end within 90 days, with their products; null status drops out."""
     r = registrations(spark, d).where(F.col("expiry_date").between(F.lit(ASOF), F.date_add(F.lit(ASOF), 90)) & (F.col("status") != "cancelled"))
-    n = products(spark, d).groupBy("registration_id").agg(F.count("*").alias("n_products"))
+    n = lines(spark, d).groupBy("registration_id").agg(F.count("*").alias("n_products"))
     return r.join(n, "registration_id", "left").select("registration_no", "expiry_date", F.coalesce("n_products", F.lit(0)).alias("n_products"))
 
 
 def company_tracking(spark, d) -> DataFrame:
-    p = products(spark, d).join(registrations(spark, d).select("registration_id", "status", "expiry_date"), "registration_id")
+    p = lines(spark, d).join(registrations(spark, d).select("registration_id", "status", "expiry_date"), "registration_id")
     late = F.coalesce(F.col("expiry_date") < F.lit(ASOF), F.lit(False))
     gone = F.coalesce(F.col("status") == "cancelled", F.lit(False))
     g = p.groupBy("company_id").agg(F.count("*").alias("total"), F.count_if(late & ~gone).alias("expired"), F.count_if(gone).alias("cancelled"), F.count_if(~late & ~gone).alias("active"), F.max("updated_date").alias("last_update"))
@@ -64,16 +64,16 @@ def category_weeks(spark, d) -> DataFrame:
 
 def di_distribution(spark, d) -> DataFrame:
     """Spread of the number of products of a registration: interpolated and nearest-rank percentiles."""
-    n = products(spark, d).groupBy("registration_id").agg(F.count("*").alias("n"))
+    n = lines(spark, d).groupBy("registration_id").agg(F.count("*").alias("n"))
     return n.agg(
         F.count("*").alias("registrations"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total"),
         *[F.percentile("n", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)],
-        F.expr("approx_percentile(n, 0.9, 1000000)").alias("near_p90"),
+        F.expr("percentile_disc(0.9) within group (order by n)").cast("long").alias("near_p90"),
     )
 
 
 def outliers(spark, d, least: int = 6) -> DataFrame:
-    return products(spark, d).groupBy("registration_id").agg(F.count("*").alias("n"), F.count_distinct("company_id").alias("companies")).where((F.col("n") > least) & (F.col("companies") > 1)).orderBy(F.col("n").desc(), "registration_id").limit(100)
+    return lines(spark, d).groupBy("registration_id").agg(F.count("*").alias("n"), F.count_distinct("company_id").alias("companies")).where((F.col("n") > least) & (F.col("companies") > 1)).orderBy(F.col("n").desc(), "registration_id").limit(100)
 
 
 def column_profile(spark, d) -> DataFrame:
@@ -82,22 +82,23 @@ def column_profile(spark, d) -> DataFrame:
 
 def registration_index(spark, d) -> DataFrame:
     """Devices and any in-scope flag of the registrations touched lately, counted over all their devices."""
-    touched = products(spark, d).where(F.col("updated_date") >= F.date_sub(F.lit(ASOF), 30)).select("registration_id").distinct()
-    return products(spark, d).join(touched, "registration_id", "left_semi").groupBy("registration_id").agg(F.count("*").alias("di_count"), F.bool_or("is_ivd").alias("has_cert"))
+    touched = lines(spark, d).where(F.col("updated_date") >= F.date_sub(F.lit(ASOF), 30)).select("registration_id").distinct()
+    return lines(spark, d).join(touched, "registration_id", "left_semi").groupBy("registration_id").agg(F.count("*").alias("di_count"), F.bool_or("is_ivd").alias("has_cert"))
 
 
 def anchored_products(spark, d) -> DataFrame:
-    """Products of a registration by id or, failing that, by owner's number: a union of equi-joins."""
-    r = registrations(spark, d).where(F.col("registration_id") % 97 == 0).select(F.col("registration_id").alias("rid"), "owner_id")
-    p = products(spark, d).select("registration_id", "line", "part_id", "company_id", "quantity")
-    return join_either(r, p, [("rid", "registration_id"), ("owner_id", "part_id")], ["registration_id", "line", "part_id", "company_id", "quantity"], ["rid"])
+    """Products of each registration by id or by its owner's number, each once: a union of equi-joins, counted."""
+    r = registrations(spark, d).select(F.col("registration_id").alias("rid"), "owner_id")
+    key = ["registration_id", "line", "part_id", "company_id", "quantity"]
+    both = join_either(r, lines(spark, d).select(*key), [("rid", "registration_id"), ("owner_id", "part_id")], key, ["rid"])
+    return both.groupBy("rid").agg(F.count("*").alias("n"), F.count_if(F.col("rid") == F.col("registration_id")).alias("by_id"), F.max("line").alias("last_line"))
 
 
 def unregistered(spark, d) -> DataFrame:
     """Owners without any registration, and registrations without a product in scope: anti joins."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     owners = c.join(registrations(spark, d), F.col("id") == F.col("owner_id"), "left_anti").select(F.lit("owner").alias("kind"), "id")
-    scope = products(spark, d).where("is_ivd")
+    scope = lines(spark, d).where("is_ivd")
     bare = registrations(spark, d).join(scope, "registration_id", "left_anti").select(F.lit("registration").alias("kind"), F.col("registration_id").alias("id"))
     return owners.unionByName(bare)
 
@@ -115,7 +116,7 @@ def latest_changes(spark, d) -> DataFrame:
 def dominant_products(spark, d) -> DataFrame:
     """The dominant product of each registration, in scope or not: newest first with unknown dates first, then the largest keys."""
     order = [F.col("updated_date").desc_nulls_first(), *[F.col(c).desc() for c in ("line", "part_id", "company_id", "quantity")]]
-    return latest(products(spark, d), ["registration_id"], order).select("registration_id", "part_id", "company_id", "is_ivd")
+    return latest(lines(spark, d), ["registration_id"], order).select("registration_id", "part_id", "company_id", "is_ivd")
 
 
 def backlog(spark, d) -> DataFrame:
@@ -183,7 +184,13 @@ QUERIES = {
     "ag11_outliers": (outliers, f"{SQL} select registration_id, count(*) n, count(distinct company_id) companies from products group by 1 having count(*) > 6 and count(distinct company_id) > 1 order by n desc, registration_id limit 100"),
     "ag16_column_profile": (column_profile, f"{SQL} " + " union all ".join(f"select '{c}' field, count(*) total, count({c}) filled, cast(count(*) - count({c}) as double) / count(*) empty_rate from registrations" for c in ("registration_no", "approval_date", "expiry_date", "status", "owner_id"))),
     "q39_registration_index": (registration_index, f"{SQL} select registration_id, count(*) di_count, bool_or(is_ivd) has_cert from products where registration_id in (select registration_id from products, today where updated_date >= d - 30) group by 1"),
-    "jn10_either_key": (anchored_products, f"{SQL} select distinct r.registration_id rid, r.owner_id, p.registration_id, line, part_id, company_id, quantity from registrations r join products p on r.registration_id = p.registration_id or r.owner_id = p.part_id where r.registration_id % 97 = 0"),
+    "jn10_either_key": (
+        anchored_products,
+        f"""{SQL}, k as (select distinct registration_id, line, part_id, company_id, quantity from products),
+u as (select r.registration_id rid, k.* from registrations r join k on r.registration_id = k.registration_id
+  union select r.registration_id, k.* from registrations r join k on r.owner_id = k.part_id)
+select rid, count(*) n, count(*) filter (where rid = registration_id) by_id, max(line) last_line from u group by 1""",
+    ),
     "jn17_unregistered": (unregistered, f"{SQL} select 'owner' kind, c_custkey id from customer where not exists (select 1 from registrations where owner_id = c_custkey) union all select 'registration', registration_id from registrations r where not exists (select 1 from products p where p.registration_id = r.registration_id and is_ivd)"),
     "w6_sequences": (sequences, f"{SQL} select event_id, entity_id, kind, cast(row_number() over (partition by entity_id order by ts nulls last, event_id) as integer) event_seq from changes"),
     "w3_latest_changes": (latest_changes, f"{SQL} select entity_id, kind, event_id, k from (select *, row_number() over (partition by entity_id, kind order by ts desc nulls last, event_id desc) rn from changes) where rn = 1"),
