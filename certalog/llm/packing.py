@@ -21,17 +21,28 @@ def cost(capacity: int) -> float:
     return capacity * (1 + capacity / 16384)
 
 
+def opening(n: int, left: np.ndarray, sizes: Sequence[int]) -> int:
+    """The size at which to open a bin for a piece of n tokens: that of the least cost for each token that it is likely to hold.
+
+    left[k] is how many tokens the pieces of length k still to come have. A bin can be filled up with those that fit its room, as far
+    as they reach; of equal sizes the smaller opens.
+    """
+    fill = lambda c: n + min(c - n, int(left[: c - n + 1].sum()))
+    return min((c for c in sizes if c >= n), key=lambda c: (cost(c) / fill(c), c))
+
+
 def best_fit(lengths: Sequence[int], sizes: Sequence[int]) -> tuple[list[int], list[int]]:
-    """(bin of each piece, capacity of each bin) for pieces in this order and bins opened at the cheapest of sizes.
+    """(bin of each piece, capacity of each bin) for pieces in this order.
 
     A piece goes to the bin with the least room that holds it; bins of equal room in order of opening, last first. If
-    none does, the size with the least cost for each token of room opens, of those that hold the piece.
+    none does, a bin opens at the least-cost size.
     """
     room_bins: dict[int, list[int]] = {}
     rooms = 0  # bit r: some bin has room r
     where, capacity = [], []
-    by_cost = sorted(sizes, key=lambda c: (cost(c) / c, -c))
+    left = np.bincount(np.array(lengths, dtype=np.int64), lengths, minlength=max(sizes) + 1).astype(np.int64)
     for n in lengths:
+        left[n] -= n
         fits = rooms >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -40,12 +51,12 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int]) -> tuple[list[int], l
             if not bins:
                 rooms ^= 1 << room
         else:
-            room = next(c for c in by_cost if c >= n)
+            room = opening(n, left, sizes)
             k = len(capacity)
             capacity.append(room)
-        left = room - n
-        room_bins.setdefault(left, []).append(k)
-        rooms |= 1 << left
+        rest = room - n
+        room_bins.setdefault(rest, []).append(k)
+        rooms |= 1 << rest
         where.append(k)
     return where, capacity
 

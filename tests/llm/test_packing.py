@@ -8,12 +8,13 @@ from certalog.llm import packing
 def slow_best_fit(lengths, sizes):
     bins = []  # [capacity, room]
     where = []
-    for n in lengths:
+    for i, n in enumerate(lengths):
         fit = [k for k, (_, room) in enumerate(bins) if room >= n]
         if fit:
             k = min(fit, key=lambda k: bins[k][1])
         else:
-            c = min((c for c in sizes if c >= n), key=lambda c: (packing.cost(c) / c, -c))
+            fill = lambda c: n + min(c - n, sum(x for x in lengths[i + 1 :] if x <= c - n))  # noqa: E731, B023
+            c = min((c for c in sizes if c >= n), key=lambda c: (packing.cost(c) / fill(c), c))
             k = len(bins)
             bins.append([c, c])
         bins[k][1] -= n
@@ -32,6 +33,12 @@ def test_best_fit_leaves_the_same_rooms(lengths, sizes):
     assert sorted((np.array(capacity) - used).astype(int).tolist()) == rooms
 
 
+def test_opens_the_least_cost_size():
+    assert packing.best_fit([300, 200, 12], (512, 1024, 2048, 4096))[1] == [512]
+    assert packing.best_fit([300, 300, 300], (512, 1024, 2048, 4096))[1] == [1024]  # three of 512 would hold 300 each
+    assert packing.best_fit([500], (512, 4096))[1] == [512]
+
+
 def check(rows, expected, sizes=packing.CAPACITIES):
     """Every token once, no bin overfull, no overlap, no smaller size would do."""
     got, bins = {}, {}
