@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
+import tarfile
 import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Device records; identifiers are text so that leading zeros stay.
@@ -42,19 +44,125 @@ def part_files(df: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def staged(spark: SparkSession, path: str) -> DataFrame:
-    """CSV and JSON files below a folder as rows of text columns; columns that a file lacks are null."""
+    """CSV, JSON and device XML files below a folder as rows of text columns; columns that a file lacks are null.
+
+    JSON files hold a list of records, one record, or records under the name rows; CSV files may begin with a byte-order mark. XML
+    gives its flat elements only. Kinds that the folder doesn't have are left out; a folder of none gives no rows and no columns.
+    """
+    under = lambda kind: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}")
     found = []
-    for kind, options in (("csv", {"header": True}), ("json", {"multiLine": True, "primitivesAsString": True})):
-        reader = spark.read.format(kind).options(**options).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}")
-        df = reader.load(path)
-        if df.columns:
-            found.append(df)
-    out = found[0]
+    for kind in ("csv", "json", "xml"):
+        if under(kind).format("binaryFile").load(path).select("path").isEmpty():
+            continue
+        if kind == "csv":
+            df = under(kind).option("header", True).csv(path)
+            df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+        elif kind == "json":
+            df = under(kind).option("multiLine", True).option("primitivesAsString", True).json(path)
+            if dict(df.dtypes).get("rows", "").startswith("array<struct"):
+                inner = df.where("rows is not null").select(F.explode("rows").alias("r")).select("r.*")
+                rest = df.where("rows is null").drop("rows")
+                df = inner.unionByName(rest, allowMissingColumns=True) if rest.columns else inner
+        else:
+            raw = under(kind).format("xml").option("rowTag", "device").schema(DEVICE).load(path)
+            df = raw.select(*[c for c, kind_ in raw.dtypes if kind_ == "string"])
+        found.append(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]))
+    out = spark.createDataFrame([], "") if not found else found[0]
     for df in found[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
 
 
+def loose_devices(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record): device records of XML files that a strict parser refuses, as maps of their flat elements by lower-case names.
+
+    What lies between a device's tags is read element by element; packings and storages are left out.
+    """
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path)
+    each = files.select(F.input_file_name().alias("path"), F.explode(F.regexp_extract_all("value", F.lit(r"(?is)<device\b[^>]*>(.*?)(?=</device\s*>|<device\b|\z)"), F.lit(1))).alias("body"))
+    flat = F.regexp_replace("body", r"(?is)<(packinglist|storagelist)\b.*?(</\1\s*>|\z)", "")
+    names = F.regexp_extract_all(flat, F.lit(r"<([A-Za-z]\w*)\s*>([^<]*)"), F.lit(1))
+    values = F.regexp_extract_all(flat, F.lit(r"<([A-Za-z]\w*)\s*>([^<]*)"), F.lit(2))
+    entries = F.filter(F.arrays_zip(F.transform(names, lambda n: F.lower(n)).alias("k"), F.transform(values, lambda v: F.trim(v)).alias("v")), lambda x: x["v"] != "")
+    first = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, x: F.when(F.map_contains_key(m, x["k"]), m).otherwise(F.map_concat(m, F.create_map(x["k"], x["v"]))))
+    return each.select("path", first.alias("record"))
+
+
+#: How deep archives within archives are opened.
+DEPTH = 4
+
+
+def members(content: bytes, name: str, depth: int = DEPTH):
+    """(name, bytes) of the files of an archive, told by its content, archives in it opened in turn; of no archive itself."""
+    if depth and content[:4] in (b"PK\x03\x04", b"PK\x05\x06") and not name.endswith(".xlsx"):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for n in sorted(z.namelist()):
+                if not n.endswith("/"):
+                    yield from members(z.read(n), f"{name}!{n}", depth - 1)
+        return
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content)) as t:
+            files = sorted((m.name, t.extractfile(m).read()) for m in t if m.isfile()) if depth else None
+    except tarfile.TarError:
+        files = None
+    if files is None:
+        yield name, content
+    else:
+        for n, data in files:
+            yield from members(data, f"{name}!{n}", depth - 1)
+
+
+def archived_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member, content): the files of every archive below a folder, however nested; a file that is no archive is its own member."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for member, data in members(content, name.rsplit("/", 1)[-1]):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([member]), pa.array([data], pa.binary())], names=["path", "member", "content"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, member string, content binary")
+
+
+def archived_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(member, row): the rows of the CSV files in archives, as maps by their header; bytes that are no UTF-8 are left out."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [[(k, v) for k, v in r.items() if k is not None] for r in csv.DictReader(io.StringIO(content.decode("utf-8-sig", "ignore")))]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["member", "row"])
+
+    files = archived_files(spark, path).where(F.lower("member").endswith(".csv"))
+    return files.select("member", "content").mapInArrow(run, "member string, row map<string,string>")
+
+
+def table_query(spark: SparkSession, url: str, query: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, fetch: int = 5000, **options: str) -> DataFrame:
+    """Rows of a query at a database, fetched some at a time; split by a key's bounds where they are given."""
+    reader = spark.read.format("jdbc").option("url", url).option("fetchsize", fetch).options(**options)
+    if key is None or bounds is None:
+        return reader.option("query", query).load()
+    low, high = bounds
+    return reader.option("dbtable", f"({query}) q").option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts).load()
+
+
+def recent(df: DataFrame, hours: int, asof) -> DataFrame:
+    """Rows updated in the hours before a time. The table must say when it was updated, which device and which registration a row is of."""
+    missing = [" or ".join(names) for names in (("updated_at",), ("udi_di", "di"), ("reg_no", "registry_no")) if not set(names) & set(df.columns)]
+    if missing:
+        raise ValueError(f"the source lacks {', '.join(missing)}")
+    return df.where((F.col("updated_at") >= F.lit(asof) - F.expr(f"interval {int(hours)} hours")) & (F.col("updated_at") <= F.lit(asof)))
+
+
+def hints(c: Column) -> Column:
+    """(reg_no, approved, expires): the first certificate number and the first two dates of a page's text."""
+    dates = F.regexp_extract_all(c, F.lit(r"(20\d\d-\d{1,2}-\d{1,2})"), F.lit(1))
+    day = lambda i: F.try_to_date(F.get(dates, i), "yyyy-M-d")
+    number = F.nullif(F.regexp_extract(c, r"([\u4e00-\u9fff]{1,2}械(?:注准|注进|注许|备)\s*\d{6,})", 1), F.lit(""))
+    return F.struct(number.alias("reg_no"), day(0).alias("approved"), day(1).alias("expires"))
+
+
 def sheet_rows(content: bytes) -> list[dict[str, str]]:
     """Rows of the first sheet of one workbook, by the header in its first row."""
     space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -92,8 +200,13 @@ def sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def package_links(pages: DataFrame) -> DataFrame:
-    """(url, md5): the package links of pages with the checksum that follows, the last of each name, newest name first."""
-    links = F.regexp_extract_all("html", F.lit(r"(?is)href=[\"']([^\"']+\.zip)[\"'](?:(?!href=).)*?([0-9a-f]{32})"), F.lit(1))
-    sums = F.regexp_extract_all("html", F.lit(r"(?is)href=[\"']([^\"']+\.zip)[\"'](?:(?!href=).)*?([0-9a-f]{32})"), F.lit(2))
-    each = pages.select(F.posexplode(F.arrays_zip(links.alias("url"), sums.alias("md5"))).alias("pos", "x"))
-    return each.groupBy("x.url").agg(F.max_by("x.md5", "pos").alias("md5")).orderBy(F.col("url").desc())
+    """(name, url, md5): the package links of pages with the checksum that follows, the last one of each file name, newest name first.
+
+    Pages come in the order of their page_id where they have one.
+    """
+    pattern = F.lit(r"(?is)href=[\"']([^\"']+\.zip)[\"'](?:(?!href=).)*?([0-9a-f]{32})")
+    links, sums = (F.regexp_extract_all("html", pattern, F.lit(k)) for k in (1, 2))
+    page = F.col("page_id") if "page_id" in pages.columns else F.lit(0)
+    each = pages.select(page.alias("page"), F.posexplode(F.arrays_zip(links.alias("url"), sums.alias("md5"))).alias("pos", "x"))
+    named = each.select(F.regexp_extract("x.url", r"([^/]+)$", 1).alias("name"), F.struct("page", "pos").alias("at"), "x.url", "x.md5")
+    return named.groupBy("name").agg(F.max_by("url", "at").alias("url"), F.max_by("md5", "at").alias("md5")).orderBy(F.col("name").desc())

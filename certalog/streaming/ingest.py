@@ -33,7 +33,11 @@ def latest_state(events: DataFrame, target: str, checkpoint: str):
         merged = batch
         if there.exists(spark._jvm.org.apache.hadoop.fs.Path(old)):
             merged = spark.read.parquet(old).unionByName(batch)
+        elif number:
+            raise FileNotFoundError(f"{old}, the state before batch {number}, is gone")
         newest = latest(merged, ["user_id"], [F.col("ts").desc_nulls_last(), F.col("event_id").desc()])
         newest.write.mode("overwrite").parquet(f"{target}/v{number}")
+        if number > 1:  # the version before stays, for a batch that runs again
+            there.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{number - 2}"), True)
 
     return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
