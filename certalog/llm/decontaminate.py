@@ -18,6 +18,8 @@ from certalog.llm.tokens import mix
 SIMILARITY, WALKS, SAMPLE = 0.8, 64, 2
 #: Bytes of items searched for in one pass over the documents.
 PASS_BYTES = 8 << 20
+#: Bytes of the walks that are held at a time; the longer the longest item, the fewer windows walk together.
+WALK_BYTES = 64 << 20
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 PAD = -2
 
@@ -131,8 +133,9 @@ class Items:
             return []
         starts = np.unique(np.concatenate(list(near.values())))
         out = []
-        for a in range(0, len(starts), 512):
-            part = starts[a : a + 512]
+        many = min(512, max(1, WALK_BYTES // (4 * WALKS * self.steps)))
+        for a in range(0, len(starts), many):
+            part = starts[a : a + many]
             far = self.walk(ids, part)
             for n, own in near.items():
                 mine = np.flatnonzero(np.isin(part, own, assume_unique=True))

@@ -123,3 +123,13 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.item_id) for r in dec.leaks(docs, items, pass_bytes=20).collect()) == sorted((r.doc_id or 0, r.item_id) for r in got)
     assert sorted(r.doc_id for r in dec.without_leaks(docs, items).collect()) == [1, 2, 5]
     assert dec.leaks(docs, items.limit(0)).collect() == [] == dec.leaks(docs.limit(0), items).collect()
+
+
+def test_long_items_walk_in_bounded_memory():
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    own = dec.Items([(7, " ".join(words))], 0.8)
+    text = ["before"] * 20 + changed(words, rng, 60) + ["after"] * 20
+    found = own.matches([w.encode() for w in " ".join(text).lower().split()])
+    assert [f[0] for f in found] == [0] and found[0][3] <= 60
+    assert own.steps * dec.WALKS * 4 * max(1, dec.WALK_BYTES // (4 * dec.WALKS * own.steps)) <= dec.WALK_BYTES

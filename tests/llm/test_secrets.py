@@ -55,3 +55,30 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
     assert not re.search("Python|Pandas|Arrow", secrets.scan(df)._jdf.queryExecution().toString())
+
+
+def test_markov_spans_by_a_plain_scorer_and_their_rates(spark):
+    """The spans that the models add are those of a plain scorer; nearly all random strings are caught, hardly any identifier."""
+    import random
+    import re
+
+    rng = random.Random(11)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    tokens = ["".join(rng.choice(signs) for _ in range(rng.randint(24, 48))) for _ in range(200)]
+    tokens = [t if re.search("[0-9]", t) else t + "7" for t in tokens]
+    parts = ["user", "name", "total", "value", "index", "file", "path", "data", "config", "server", "request", "count", "table", "result"]
+    names = ["_".join(rng.sample(parts, rng.randint(4, 6))) + str(rng.randint(0, 99)) for _ in range(500)]
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(10**6 + k, f"see {t} there") for k, t in enumerate(tokens + names)]
+    docs = train.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    ratio = secrets.fit(secrets.with_base(docs))
+    got = {r.doc_id: [(x.start, x.end) for x in r.markov] for r in secrets.scan(docs).where(f"doc_id >= {10**6}").select("doc_id", "markov").collect()}
+    for d, text in rows:
+        m = re.search(r"[A-Za-z0-9+/_=-]{16,}", text)
+        plain = re.sub("[^A-Za-z0-9]", "-", m[0])
+        score = sum(ratio.get(plain[i : i + 2], 0.0) for i in range(len(plain) - 1)) / (len(plain) - 1)
+        base = re.search(r"[0-9a-f]{24,}", m[0])
+        assert got[d] == ([(m.start(), m.end())] if score >= secrets.SCORE and re.search("[0-9]", m[0]) and not base else []), text
+    caught = sum(bool(got[10**6 + k]) for k in range(len(tokens)))
+    wrong = sum(bool(got[10**6 + len(tokens) + k]) for k in range(len(names)))
+    assert caught >= 0.98 * len(tokens) and wrong <= 0.03 * len(names), (caught, wrong)
