@@ -245,18 +245,17 @@ def pending_queue(spark, d) -> DataFrame:
     Closed before the run are the entries of devices with an odd last digit.
     """
     seen = outcomes(spark, d).where("outcome = 'pending'").groupBy("source_key").agg(F.max("reason").alias("reason"), F.count("*").alias("n"))
-    before = seen.where(F.right("source_key", F.lit(1)).isin("1", "3", "5", "7", "9"))
-    state = seen.join(before.select("source_key", F.lit(True).alias("was")), "source_key", "left")
-    return state.select("source_key", "reason", "n", F.when(F.col("was"), "reopened").otherwise("open").alias("state"))
+    closed = F.right("source_key", F.lit(1)).isin("1", "3", "5", "7", "9")
+    return seen.withColumn("state", F.when(closed, "reopened").otherwise("open"))
 
 
 def contract_observations(spark, d) -> DataFrame:
-    """Observations of registration fields: status and expiry of every product line, with grade, priority and time."""
+    """Observations of registration fields: status and expiry of every product line, with grade, priority and year."""
     p = lines(spark, d)
     grade = F.element_at(F.array(*[F.lit(g) for g in "ABCD"]), F.pmod("company_id", F.lit(4)).cast("int") + 1)
     value = F.create_map(F.lit("status"), F.when(F.col("is_ivd"), "active").otherwise("cancelled"), F.lit("expiry_date"), F.date_add("updated_date", 1825).cast("string"))
     seq = F.struct("line", "part_id", "company_id", "quantity")
-    return p.select("registration_id", F.explode(value).alias("field", "value"), grade.alias("grade"), (F.col("line") % 3).alias("priority"), F.datediff("updated_date", F.lit(ASOF)).cast("long").alias("observed_at"), seq.alias("seq"))
+    return p.select("registration_id", F.explode(value).alias("field", "value"), grade.alias("grade"), (F.col("line") % 3).alias("priority"), F.year("updated_date").cast("long").alias("observed_at"), seq.alias("seq"))
 
 
 def contract_fields(spark, d) -> DataFrame:
@@ -266,7 +265,7 @@ def contract_fields(spark, d) -> DataFrame:
 
 CONTRACT_SQL = f"""{SQL.replace('with', 'with recursive', 1)},
 obs as (select registration_id, unnest(['status', 'expiry_date']) as field, unnest([case when is_ivd then 'active' else 'cancelled' end, cast(updated_date + 1825 as varchar)]) as value,
-  4 - company_id % 4 g, -(line % 3) p, date_diff('day', d, updated_date) t, line, part_id, company_id, quantity from products, today),
+  4 - company_id % 4 g, -(line % 3) p, year(updated_date) t, line, part_id, company_id, quantity from products, today),
 o as (select *, row_number() over (partition by registration_id, field order by t, line, part_id, company_id, quantity) rn from obs),
 f as (select distinct registration_id, field, 0::bigint rn, null::varchar as value, null::bigint g, null::bigint p, null::bigint t, 0 applied, 0 kept, 0 conflicts from o
   union all
