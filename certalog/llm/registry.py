@@ -8,6 +8,7 @@ from certalog.llm.packing import op4_packing
 from certalog.llm.quality import op3_quality
 from certalog.llm.secrets import op5_secrets
 from certalog.llm.simhash import op8_simhash
+from certalog.llm.sketches import op11_fingerprints
 from certalog.llm.substrings import op2_substrings
 from certalog.llm.toxicity import op7_toxicity
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_lines": op9_lines,
     "op10_nearest": op10_nearest,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 ORACLE = {
