@@ -5,6 +5,7 @@ from certalog.llm.decontaminate import op1_decontamination
 from certalog.llm.html import op6_html
 from certalog.llm.lines import op9_lines
 from certalog.llm.packing import op4_packing
+from certalog.llm.periods import op12_runs
 from certalog.llm.quality import op3_quality
 from certalog.llm.secrets import op5_secrets
 from certalog.llm.simhash import op8_simhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_lines": op9_lines,
     "op10_nearest": op10_nearest,
     "op11_fingerprints": op11_fingerprints,
+    "op12_runs": op12_runs,
 }
 
 ORACLE = {
