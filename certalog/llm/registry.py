@@ -12,6 +12,7 @@ from certalog.llm.simhash import op8_simhash
 from certalog.llm.sketches import op11_fingerprints
 from certalog.llm.substrings import op2_substrings
 from certalog.llm.toxicity import op7_toxicity
+from certalog.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_nearest": op10_nearest,
     "op11_fingerprints": op11_fingerprints,
     "op12_runs": op12_runs,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE = {
