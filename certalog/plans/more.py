@@ -41,13 +41,6 @@ def normalised_lookup(spark, d) -> DataFrame:
     return exact.join(loose, fn.loose_key(F.col("asked")) == F.col("key"), "left").select("registration_id", "asked", F.coalesce("exact", "loose").alias("found"), F.col("exact").isNotNull().alias("is_exact"))
 
 
-def keyword_matches(spark, d) -> DataFrame:
-    """Part names that hold a brand-new word list's terms: a list of fixed size, so one test a term within the scan."""
-    terms = ["blue", "metal", "rose", "dim"]
-    hits = fn.keyword_hits(F.col("p_name"), terms)
-    return table(spark, d, "part").select(F.explode(hits).alias("term"), "p_brand").groupBy("term", "p_brand").agg(F.count("*").alias("n"))
-
-
 def batch_signals(spark, d) -> DataFrame:
     """Signals for a list of numbers, repeats kept, unknown ones with the default; only the numbers asked are computed.
 
@@ -140,7 +133,6 @@ QUERIES = {
     "q18_backfilled": (backfilled, f"{SQL}, c as (select day, count(*) n, count(distinct entity_id) entities from changes where kind = 'cancel' group by 1), r as (select cast(unnest(generate_series(e - interval 13 day, e, interval 1 day)) as date) as day from today) select r.day, coalesce(n, 0) n, coalesce(entities, 0) entities from r left join c using (day)"),
     "q21_changes_of_products": (changes_of_products, f"{SQL} select kind, category, count(*) n from changes join (select distinct registration_id, category from products where is_ivd) on entity_id = registration_id group by 1, 2"),
     "jn13_normalised_lookup": (normalised_lookup, f"{SQL}, a as (select registration_id, case when registration_id % 2 = 0 then registration_no else 'reg-' || substr(registration_no, 4, 10) end asked from registrations) select a.registration_id, asked, coalesce(x.registration_id, y.registration_id) as found, x.registration_id is not null is_exact from a left join registrations x on asked = x.registration_no left join registrations y on regexp_replace(upper(asked), '[^0-9A-Z]+', '', 'g') = y.registration_no"),
-    "jn15_keyword_matches": (keyword_matches, "select term, p_brand, count(*) n from part join (select unnest(['blue', 'metal', 'rose', 'dim']) term) on regexp_matches(lower(p_name), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') group by 1, 2"),
     "q14_batch_signals": (batch_signals, f"{SIGNAL_SQL}, z as (select * from signal), a as (select max(registration_id) asked from registrations group by owner_id), b as (select asked from a union all select asked from a where asked % 2 = 0 union all select -1 - asked from a), c as (select asked, coalesce(level, 'medium') as level, coalesce(score, 0.0::double) score from b left join z on asked = registration_id) select asked, level, score, cast({_COPY} as integer) copy from c"),
     "tk3_keyset_page": (keyset_page, f"{SQL} select registration_no, status from registrations where registration_no > 'REG0000000100' order by 1 limit 100"),
     "ag18_source_shares": (source_shares, f"{SQL}, n as (select day, kind, count(*) n from changes group by 1, 2) " + DIST("day", "n", "kind", "n")),

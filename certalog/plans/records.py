@@ -95,20 +95,6 @@ def snapshots(spark, d) -> DataFrame:
     return e.select("entity_id", "day", F.when(F.col("day") == F.col("first"), "INITIAL").when(F.datediff("day", "before") > 3, "RENEWAL").otherwise("CHANGE").alias("version"))
 
 
-def similar_names(spark, d) -> DataFrame:
-    """For each distinct part name the three most similar others by trigrams.
-
-    Names meet where they share a trigram; the score is the set similarity.
-    """
-    names = table(spark, d, "part").select("p_name").distinct().withColumn("t", tables.trigrams(F.col("p_name")))
-    a = names.select("p_name", "t", F.explode("t").alias("x"))
-    b = names.select(F.col("p_name").alias("other"), F.col("t").alias("u"), F.explode("t").alias("x"))
-    met = a.join(b, "x").where("p_name <> other").groupBy("p_name", "other").agg(F.count("*").alias("shared"), F.first(F.size("t")).alias("m"), F.first(F.size("u")).alias("n"))
-    score = F.col("shared") / (F.col("m") + F.col("n") - F.col("shared"))
-    ranked = met.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("p_name").orderBy(F.col("score").desc(), "other")))
-    return ranked.where("rank <= 3").select("p_name", "rank", "other", "score")
-
-
 def page_lines(spark, d) -> DataFrame:
     """Visible text of pages without scripts and styles: its words, and links."""
     t = table(spark, d, "pages")
@@ -164,7 +150,6 @@ select entity_id, value, applied, kept, conflicts from f where rn = (select max(
     "q36_field_diffs": (field_diffs, f"{SQL}, r as (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations), o as (select * from r where rn = 2), n as (select * from r where rn = 1), f as (" + " union all ".join(f"select o.owner_id, '{c}' field, cast(o.{c} as varchar) as old, cast(n.{c} as varchar) as new from o join n using (owner_id)" for c in ("status", "expiry_date", "approval_date", "registration_no")) + ") select *, case when field = 'status' and new = 'cancelled' then 'CANCEL' when field = 'expiry_date' then 'RENEW' else 'MODIFY' end change_type, case when field in ('status', 'expiry_date') then 'HIGH' when field = 'approval_date' then 'MED' else 'LOW' end severity from f where old is distinct from new"),
     "q47_lifecycle": (lifecycle, f"{SQL}, c as (select entity_id registration_id, kind event_type, day event_date, row_number() over (partition by entity_id, day order by case kind when 'cancel' then 0 when 'renew' then 1 else 2 end) rn from (select distinct entity_id, kind, day from changes where kind <> 'approve')), v as (select registration_id, 'approve' event_type, approval_date event_date from registrations where approval_date is not null union select registration_id, event_type, event_date from c where rn = 1 union select registration_id, 'expire', expiry_date from registrations, today where expiry_date <= d) select *, sha256(concat_ws('|', cast(registration_id as varchar), event_type, cast(event_date as varchar))) dedupe, cast(row_number() over (partition by registration_id order by event_date, event_type) as integer) event_seq from v"),
     "q46_versions": (snapshots, f"{SQL}, v as (select distinct entity_id, day from changes), w as (select *, min(day) over (partition by entity_id) f, lag(day) over (partition by entity_id order by day) b from v) select entity_id, day, case when day = f then 'INITIAL' when day - b > 3 then 'RENEWAL' else 'CHANGE' end as version from w"),
-    "jn14_similar_names": (similar_names, "with n as (select distinct p_name from part), g as (select distinct p_name, substr(p, i, 3) x from (select p_name, '  ' || w || ' ' p from (select p_name, unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) w from n) where w <> ''), range(1, 40) r(i) where i + 2 <= length(p)), z as (select p_name, count(*) c from g group by 1), m as (select a.p_name, b.p_name other, count(*) s from g a join g b using (x) where a.p_name <> b.p_name group by 1, 2), k as (select m.p_name, other, cast(s as double) / (z1.c + z2.c - s) score from m join z z1 on m.p_name = z1.p_name join z z2 on other = z2.p_name), r as (select *, row_number() over (partition by p_name order by score desc, other) rank from k) select p_name, cast(rank as integer) rank, other, score from r where rank <= 3"),
     "src9_page_text": (page_lines, "with t as (select page_id, html, regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') p from pages) select page_id, cast(len(regexp_extract_all(html, '<a ')) as bigint) links, cast(len(regexp_extract_all(p, '[a-z]+')) as bigint) words, md5(html) md5 from t"),
     "snk1_hashed_documents": (hashed_documents, "select sha256(text) sha256, min(doc_id) doc_id, count(*) n from documents group by 1"),
     "f14_extracted": (extracted, r"select doc_id, try_cast(regexp_extract(text, '(\d+(?:\.\d+)?)\s*(%|mm|ml|kg)', 1) as double) as value, regexp_extract(text, '(\d+(?:\.\d+)?)\s*(%|mm|ml|kg)', 2) unit from documents where regexp_matches(text, '(\d+(?:\.\d+)?)\s*(%|mm|ml|kg)')"),
