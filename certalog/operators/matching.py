@@ -7,13 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certalog.operators.tables import trigrams
+from certalog.operators.tables import set_similarity, trigrams
 
 
 def _rarest_first(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(s, t): each text's trigrams, those of few texts first."""
+    """(s, o): each text's trigrams with whether the other side has them too, those of few texts first."""
     each = texts.select("s", F.explode("t").alias("g")).join(counts, "g")
-    return each.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("t"))
+    return each.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("n", "g", "shared"))).alias("o"))
 
 
 def similar_texts(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -21,27 +21,28 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
     left and right have one column of texts; repeats count once, nulls and texts without trigrams match nothing. Two such texts share
     a trigram among the rarest few of each (prefix filter): all but least of a text's trigrams and one more. Only those are joined,
-    so pairs that have just common trigrams make no row; sizes that differ too much are left out in the same join, and a pair
-    that shares several rare trigrams comes up at the first alone.
+    so pairs that have just common trigrams make no row; sizes that differ too much, and places after which too few trigrams are left,
+    are left out in the same join. The trigrams themselves are fetched for the pairs that remain.
     """
     if not 0 < least < 1:
         raise ValueError("least lies between 0 and 1")
-    sides = [df.select(F.col(df.columns[0]).alias("s")).where("s is not null").distinct().withColumn("t", trigrams(F.col("s"))).where(F.size("t") > 0) for df in (left, right)]
-    counts = sides[0].select(F.explode("t").alias("g")).unionAll(sides[1].select(F.explode("t").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
-    few = lambda t: F.slice(t, 1, (F.size(t) - F.ceil(F.size(t) * least - 1e-9) + 1).cast("int"))
-    ranked = [_rarest_first(s, counts).withColumn("p", few(F.col("t"))) for s in sides]
-    a = ranked[0].select(F.col("s").alias("a"), F.col("t").alias("t_a"), F.col("p").alias("p_a"), F.explode("p").alias("g"))
-    b = ranked[1].select(F.col("s").alias("b"), F.col("t").alias("t_b"), F.col("p").alias("p_b"), F.explode("p").alias("h"))
-    m, n = F.size("t_a"), F.size("t_b")
-    near = (F.col("g") == F.col("h")) & (m * least <= n) & (n * least <= m) & (F.get(F.array_intersect("p_a", "p_b"), F.lit(0)) == F.col("g"))
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    return a.join(b, near).select("a", "b", (shared / (m + n - shared)).alias("score")).where(F.col("score") > least)
+    sides = [df.select(F.col(df.columns[0]).alias("s")).where("s is not null").distinct().withColumn("t", trigrams(F.col("s"))) for df in (left, right)]
+    each = [s.select(F.explode("t").alias("g"), F.lit(k).alias("side")) for k, s in enumerate(sides)]
+    counts = each[0].unionAll(each[1]).groupBy("g").agg(F.count("*").alias("n"), (F.min("side") < F.max("side")).alias("shared"))
+    few = F.slice("o", 1, (F.size("o") - F.ceil(F.size("o") * least - 1e-9) + 1).cast("int"))
+    ranked = [_rarest_first(s, counts).select("s", F.size("o").alias("m"), F.posexplode(few).alias("i", "x")).where("x.shared") for s in sides]
+    a = ranked[0].select(F.col("s").alias("a"), "m", "i", F.col("x.g").alias("g"))
+    b = ranked[1].select(F.col("s").alias("b"), F.col("m").alias("n"), F.col("i").alias("j"), F.col("x.g").alias("g"))
+    m, n = F.col("m"), F.col("n")
+    enough = F.least(m - F.col("i"), n - F.col("j")) >= (m + n) * (least / (1 + least)) - 1e-9  # even if all that come after are shared
+    near = a.join(b, "g").where((m * least <= n) & (n * least <= m) & enough).select("a", "b").distinct()
+    near = near.join(sides[0].withColumnsRenamed({"s": "a", "t": "t_a"}), "a").join(sides[1].withColumnsRenamed({"s": "b", "t": "t_b"}), "b")
+    return near.select("a", "b", set_similarity(F.col("t_a"), F.col("t_b")).alias("score")).where(F.col("score") > least)
 
 
 def _grams(c: Column, size: int) -> Column:
     """The different stretches of size characters; none of shorter texts."""
-    spots = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(spots, lambda k: F.substring(c, k, size)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def contained_terms(texts: DataFrame, terms: DataFrame, size: int = 3) -> DataFrame:
@@ -56,8 +57,8 @@ def contained_terms(texts: DataFrame, terms: DataFrame, size: int = 3) -> DataFr
     body = texts.select(F.col(texts.columns[0]).alias("id"), F.col(texts.columns[1]).alias("text")).where("text is not null")
     has = lambda s: body.select("id", F.explode(_grams(F.col("text"), s)).alias("g"))
     met = has(size)
-    for short in range(1, size):
-        met = met.unionAll(has(short))
+    for short in t.where(F.length("term") < size).select(F.length("term").alias("n")).distinct().collect():  # fewer than size
+        met = met.unionAll(has(short.n))
     met = met.join(known, "g", "left_semi")
     counts = met.groupBy("g").agg(F.count("*").alias("n"))
     pick = own.join(counts, "g", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).select("term", F.col("r.g").alias("g")).where("r.n > 0")

@@ -80,9 +80,9 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def trigrams(text: Column) -> Column:
     """Set of the trigrams of a text's words, each padded by two blanks before and one after, in lower case."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    each = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, 3)))
-    return F.array_distinct(F.flatten(each))
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    padded = F.concat(F.lit("  "), F.replace(words, F.lit(" "), F.lit(" \n  ")), F.lit(" "))
+    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?=([^\n]{3}))"), F.lit(1))))
 
 
 def set_similarity(a: Column, b: Column) -> Column:

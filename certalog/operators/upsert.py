@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +12,26 @@ from pyspark.sql import functions as F
 TRACKED = ("status", "expiry_date", "approved_date", "company_id", "registration_id", "name", "reg_no", "udi_di", "class_name")
 
 
-def _attached(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _attached(records: list[dict], products: list[dict]) -> list[tuple[str, str]]:
     """(udi_di, product_id) of one registration: which records, in order, take over a product without device.
 
     A record looks at the newest product of its number that is still there, else of the registration; one that has a device stays another's.
     """
-    out, rest = [], right.sort_values(["updated_at", "product_id"], ascending=[False, False], na_position="last").to_dict("records")
-    for r in left.sort_values("seq").to_dict("records"):
+    out, rest = [], sorted(products, key=lambda p: (p["updated_at"] is not None, p["updated_at"] or "", p["product_id"]), reverse=True)
+    for r in sorted(records, key=lambda r: r["seq"]):
         there = [p for p in rest if p["touched"] is None or p["touched"] > r["seq"]]
         same = [p for p in there if p["reg_no"] == r["reg_no"]]
         newest = same[0] if same else None if r["busy"] else there[0] if there else None
         if newest is not None and newest["udi_di"] is None:
             out.append((r["udi_di"], newest["product_id"]))
             rest.remove(newest)
-    return pd.DataFrame(out, columns=["udi_di", "product_id"])
+    return out
+
+
+def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = [x for records, products in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in _attached(records, products)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.string()) for k in (0, 1)], names=["udi_di", "product_id"])
 
 
 def find_products(existing: DataFrame, records: DataFrame) -> DataFrame:
@@ -55,9 +63,10 @@ def find_products(existing: DataFrame, records: DataFrame) -> DataFrame:
     bare = old.where("udi_di is null").select("registration_id").distinct()
     free = r.where("_first and _known is null and not _here").select("registration_id", "seq", "udi_di", "reg_no", F.col("_near").alias("busy")).join(bare, "registration_id", "left_semi")
     touched = records.groupBy("udi_di").agg(F.min("seq").alias("touched"))
+    mine = free.groupBy("registration_id").agg(F.collect_list(F.struct("seq", "udi_di", "reg_no", "busy")).alias("records"))
     theirs = old.join(bare, "registration_id", "left_semi").join(touched, "udi_di", "left")
-    kind = dict(records.dtypes)["udi_di"]
-    taken = free.groupBy("registration_id").cogroup(theirs.groupBy("registration_id")).applyInPandas(_attached, f"udi_di {kind}, product_id string")
+    theirs = theirs.groupBy("registration_id").agg(F.collect_list(F.struct("product_id", "udi_di", "reg_no", "updated_at", "touched")).alias("products"))
+    taken = mine.join(theirs, "registration_id").select("records", "products").mapInArrow(_attach, "udi_di string, product_id string")
     return r.drop("_until", "_first", "_here", "_near", "_registration_id", "_reg_no").join(taken, "udi_di", "left").withColumn("product_id", F.coalesce("_known", "product_id")).drop("_known")
 
 

@@ -9,6 +9,7 @@ from certalog.operators import tables
 from certalog.operators.upsert import TRACKED, upsert_products
 from certalog.plans.binding import registrations
 from certalog.plans.ingest import OUTCOME_SQL, outcomes
+from certalog.session import staged
 
 _STATE = "status, cast(expiry_date as varchar) expiry_date, cast(approved_date as varchar) approved_date, company_id, registration_id, name, number as reg_no, udi_di"
 
@@ -23,10 +24,10 @@ def records(spark, d) -> DataFrame:
     ).distinct()
 
 
-def known_products(spark, d) -> DataFrame:
+def known_products(spark, d, rows: DataFrame) -> DataFrame:
     """Products before the run: of each device of even number its newest row of an even line, every fifth from a source that ranks above the
     run, and one without device for every third registration."""
-    r = records(spark, d).where("line % 2 = 0 and part_id % 2 = 0 and udi_di not like 'reg:%'")
+    r = rows.where("line % 2 = 0 and part_id % 2 = 0 and udi_di not like 'reg:%'")
     own = tables.latest(r, ["udi_di"], [F.desc("seq")]).select(F.concat(F.lit("di"), "udi_di").alias("product_id"), F.lit("2000").alias("updated_at"), (F.col("part_id") % 10 == 0).alias("locked"), *TRACKED)
     bare = registrations(spark, d).where("registration_id % 3 = 0")
     empty = lambda f: F.lit(None).cast(dict(own.dtypes)[f]).alias(f)
@@ -36,7 +37,8 @@ def known_products(spark, d) -> DataFrame:
 
 def product_upsert(spark, d) -> DataFrame:
     """What the rows of odd lines do to the products, row by row."""
-    return upsert_products(known_products(spark, d), records(spark, d).where("line % 2 = 1").drop("line", "part_id"))
+    rows = staged(records(spark, d))
+    return upsert_products(known_products(spark, d, rows), rows.where("line % 2 = 1").drop("line", "part_id"))
 
 
 _BEFORE = ", ".join(f"case when locked then o_{f} else coalesce(last_value({f} ignore nulls) over (partition by product order by seq rows between unbounded preceding and 1 preceding), o_{f}) end b_{f}" for f in TRACKED)
