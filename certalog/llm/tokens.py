@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text hashed together; the arrays at work stay in cache.
 CHUNK = 1 << 19
+#: Bytes of spans that a polynomial hashes.
+SHORT = 64
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -44,10 +47,16 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each buf[start:end] (uint8)."""
+    """A 64-bit hash of each buf[start:end] (uint8).
+
+    Short spans by a polynomial, all at once. Modulo 2 ** 64 there are long texts that collide under any base, so longer ones have their XXH3.
+    """
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[buf] * powers(BASE, len(buf)), out=total[1:])
-    return mix((total[end] - total[start]) * powers(INVERSE, len(buf) + 1)[start] + (end - start).astype(np.uint64))
+    out = mix((total[end] - total[start]) * powers(INVERSE, len(buf) + 1)[start] + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(buf[start[k] : end[k]])
+    return out
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from certalog.llm import substrings
 
@@ -67,3 +68,12 @@ def test_keys_depend_on_the_window_alone():
             start, key, _ = substrings.window_keys(words, np.zeros(len(words), dtype=np.int64))
             keys.add(int(key[start == len(left)][0]))
         assert len(keys) == 1
+
+
+@pytest.mark.parametrize("length", [64, 1024, 4096])
+def test_long_words_that_collide_in_a_polynomial(spark, length):
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(length))
+    common = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{common} {thue}"), (2, f"{common} {thue.translate(str.maketrans('ab', 'ba'))}"), (3, f"{common} {thue}")]
+    got = {r.doc_id: r.n_removed for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
