@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,14 +18,38 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _wide() -> tuple[str, str]:
-    """Full-width forms of the ASCII signs and the ideographic space, with what they stand for."""
-    return "".join(chr(0xFF01 + k) for k in range(94)) + "　", "".join(chr(0x21 + k) for k in range(94)) + " "
+def _forms() -> tuple[dict[str, str], dict[str, str], list[str]]:
+    """Characters whose compatibility form (NFKC) has other letters, digits, Han characters or blanks: those of one and of several, and
+    pairs of an ASCII letter and a mark that make one character, which keys don't keep."""
+    one, several = {}, {}
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        form = unicodedata.normalize("NFKC", c)
+        if form != c and (re.search(f"[0-9A-Za-zı{CJK}\\s]", form) or len(form) == 1 and ord(form) < 0x80):
+            (one if len(form) == 1 else several)[c] = form
+    letters = [chr(k) for k in (*range(65, 91), *range(97, 123))]
+    pairs = []
+    for code in range(0x300, 0x370):
+        bases = "".join(x for x in letters if len(unicodedata.normalize("NFC", x + chr(code))) == 1)
+        if bases:
+            pairs.append(f"[{bases}]{chr(code)}")
+    return one, several, pairs
+
+
+_ONE, _SEVERAL, _PAIRS = _forms()
 
 
 def half_width(c: Column) -> Column:
-    """Compatibility form of full-width ASCII, the case that keys have."""
-    return F.translate(c, *_wide())
+    """Compatibility form of a text, as far as it bears on letters, digits, Han characters, ASCII signs and blanks.
+
+    Full-width and enclosed characters, Roman numerals, units, fractions and the like become what they stand for; a letter with
+    a mark of its own that makes one character goes with the mark. Only texts that have a form of several characters are looked at by character.
+    """
+    table = F.create_map(*[F.lit(x) for p in _SEVERAL.items() for x in p])
+    plain = F.translate(c, "".join(_ONE), "".join(_ONE.values()))
+    spread = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    whole = F.when(plain.rlike(f"[{''.join(_SEVERAL)}]"), spread).otherwise(plain)
+    return F.regexp_replace(whole, "|".join(_PAIRS), "")
 
 
 #: What begins a certificate number: up to six Han characters, the last one this (fixed value).
@@ -56,11 +81,25 @@ def loose_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), f"[^0-9A-Z{CJK}]+", "")
 
 
-def company_key(c: Column, suffixes: Sequence[str]) -> Column:
-    """Company name without its legal forms, taken off the end again and again while something is left."""
-    plain = F.regexp_replace(F.upper(half_width(c)), f"[^0-9A-Z{CJK}]+", "")
-    ends = "|".join(sorted(map(re.escape, suffixes), key=len, reverse=True))
-    return F.regexp_replace(plain, f"(?<=.)(?:{ends})+$", "")
+#: Signs that are taken off both ends of company names (fixed values).
+EDGES = "()[]{}<>，,。.;；:：/\\|·"
+
+
+def company_key(c: Column, suffixes: Sequence[str], replacements: dict[str, str] | None = None) -> Column:
+    """Company name without its legal forms, taken off the end again and again, the longest first, while something is left; null for no name.
+
+    The compatibility form without white space and without signs at its ends; a whole name that has a replacement becomes that. After each
+    legal form signs at the ends go too. Of what is left the letters, digits and Han characters stay, in capitals.
+    """
+    signs = f"[{re.escape(EDGES)}]"
+    trimmed = lambda x: F.regexp_replace(x, f"^{signs}+|{signs}+$", "")
+    plain = trimmed(F.regexp_replace(half_width(F.trim(c)), r"\s+", ""))
+    if replacements:
+        plain = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in replacements.items() for x in p]), plain), plain)
+    ends = "|".join(sorted((re.escape(x) for x in suffixes if x), key=len, reverse=True))
+    # a form is taken off where something stands before it; signs may stand between forms
+    short = F.regexp_replace(plain, f"(?<=.)(?:(?:{ends}){signs}*)+$", "") if ends else plain
+    return F.nullif(F.regexp_replace(F.upper(trimmed(short)), f"[^0-9A-Z{CJK}]+", ""), F.lit(""))
 
 
 def keyword_pattern(words: Sequence[str]) -> str:

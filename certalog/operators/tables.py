@@ -48,6 +48,33 @@ def archive(df: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(~flag), df.where(flag)
 
 
+def checked_archive(target: DataFrame, archived: DataFrame, before: DataFrame) -> DataFrame:
+    """One row of (before, kept, archived, sound): sound if every row of before stands in exactly one of the two written tables, as often.
+
+    The tables are compared by their counts and by the sums of their rows' hashes, which no order changes.
+    """
+    names = before.columns
+    tell = lambda df, n: df.select(*names).agg(F.count("*").alias(n), F.coalesce(F.sum(F.xxhash64(*names).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias(f"h_{n}"))
+    row = tell(before, "before").crossJoin(tell(target, "kept")).crossJoin(tell(archived, "archived"))  # one row each
+    same = (F.col("before") == F.col("kept") + F.col("archived")) & (F.col("h_before") == F.col("h_kept") + F.col("h_archived"))
+    return row.select("before", "kept", "archived", same.alias("sound"))
+
+
+def archive_into(target: DataFrame, gone: Column, kept_path: str, archive_path: str) -> None:
+    """Write target's rows where gone is true to archive_path, then the others to kept_path, and read both again: ValueError if rows are missing,
+    doubled or others. Nothing is published before that; both folders go if it fails."""
+    spark = target.sparkSession
+    kept, archived = archive(target, gone)
+    archived.write.mode("errorifexists").parquet(archive_path)
+    kept.write.mode("errorifexists").parquet(kept_path)
+    found = checked_archive(spark.read.parquet(kept_path), spark.read.parquet(archive_path), target).first()
+    if not found.sound:
+        for p in (kept_path, archive_path):
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        raise ValueError(f"archive of {found.before} rows left {found.kept} and took {found.archived}")
+
+
 def join_either(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], right_id: Sequence[str], left_id: Sequence[str]) -> DataFrame:
     """Inner join where any of the pairs of columns is equal, each (left, right) pair once: a union of equi-joins."""
     out = None

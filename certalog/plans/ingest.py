@@ -17,18 +17,20 @@ NOUNS = {
 }
 ADJECTIVES = {"hot": "qPCR", "cold": "NGS", "red": "elisa", "old": "核酸扩增"}
 CODES = {"ECONOMY": "22", "SMALL": "6840-1", "MEDIUM": "07", "PROMO": "21", "LARGE": "14"}
-#: The other source names of the fields that rows come with (fixed values).
+#: The source names of each field, the first that has text counts (fixed values).
 ALIASES = {
-    "name": ("product_name", "产品名称"),
-    "reg_no": ("registration_no", "注册证编号"),
-    "udi_di": ("udi_di", "zxxsdycpbs"),
-    "status": ("status", "状态"),
-    "approved_date": ("approval_date", "批准日期"),
-    "expiry_date": ("expiry_date", "有效期至"),
-    "company_name": ("manufacturer", "注册人名称"),
-    "company_country": ("country", "国家地区"),
-    "class_name": ("flbm", "管理类别"),
+    "name": ("name", "product_name", "产品名称", "产品名", "cpmctymc", "spmc"),
+    "reg_no": ("reg_no", "registration_no", "注册证编号", "注册号", "zczbhhzbapzbh"),
+    "udi_di": ("udi_di", "UDI_DI", "primary_di", "产品标识DI", "zxxsdycpbs"),
+    "status": ("status", "registration_status", "状态", "reg_status", "versionStauts"),
+    "approved_date": ("approved_date", "approval_date", "批准日期", "批准时间", "cpbsfbrq"),
+    "expiry_date": ("expiry_date", "expire_date", "有效期至", "失效日期", "tsrq"),
+    "company_name": ("company_name", "manufacturer", "注册人名称", "生产企业名称", "ylqxzcrbarmc"),
+    "company_country": ("company_country", "country", "国家地区"),
+    "class_name": ("class", "class_name", "管理类别", "类别", "flbm", "cplb"),
 }
+#: Those that differ as columns do, whose names are met without regard to case.
+COLUMNS = {f: tuple({n.lower(): n for n in reversed(names)}[k] for k in dict.fromkeys(n.lower() for n in names)) for f, names in ALIASES.items()}
 LAST_YEAR = ASOF.year + 2
 _KEY = ("registration_id", "line", "part_id", "company_id", "quantity")
 
@@ -41,7 +43,7 @@ def _mapped(c: Column, names: dict[str, str], default: str) -> Column:
 
 
 def raw_rows(spark, d) -> DataFrame:
-    """One raw row an order line, under one or the other source name of each field, with what sources get wrong."""
+    """One raw row an order line, under a source name of each field that goes by the line, with what sources get wrong."""
     p = table(spark, d, "part").select(
         F.col("p_partkey").alias("part_id"), "p_type",
         F.concat(_mapped(F.split("p_name", " ")[0], ADJECTIVES, ""), _mapped(F.split("p_name", " ")[1], NOUNS, "器械")).alias("device"),
@@ -58,10 +60,9 @@ def raw_rows(spark, d) -> DataFrame:
         "name": name, "reg_no": number, "udi_di": di, "status": status, "approved_date": F.date_format("approval_date", "yyyy/MM/dd"),
         "expiry_date": F.col("expiry_date").cast("string"), "company_name": F.col("company"), "company_country": F.col("country"), "class_name": _mapped(F.col("p_type"), CODES, ""),
     }
-    even = F.col("line") % 2 == 0
-    cells = [F.when(even if k == 0 else ~even, values[f].cast("string")).alias(n) for f, names in ALIASES.items() for k, n in enumerate(names)]
+    cells = [F.when(F.col("line") % len(names) == k, values[f].cast("string")).alias(f"_raw_{n}") for f, names in COLUMNS.items() for k, n in enumerate(names)]
     registry = F.when(q % 11 == 0, F.lit("国械注准20200001")).when(q % 3 == 0, F.col("registration_no")).alias("registry_no")
-    return rows.select(*_KEY, *cells, registry)
+    return rows.select(*_KEY, *cells, registry).withColumnsRenamed({f"_raw_{n}": n for names in COLUMNS.values() for n in names})
 
 
 def _case(c: str, names: dict[str, str], default: str) -> str:
@@ -91,9 +92,9 @@ record as (select registration_id, line, part_id, company_id, quantity, {", ".jo
 
 def records(raw: DataFrame) -> DataFrame:
     """Rows as records: the first source name that has text, dates read, status told, and what is wrong with the row (error, null if nothing)."""
-    there = set(raw.columns)
-    text = {f: first_text(*[F.col(n) for n in names if n in there]) for f, names in ALIASES.items()}
-    told = {n for names in ALIASES.values() for n in names}
+    there = {c.lower() for c in raw.columns}
+    text = {f: first_text(*[F.col(n) for n in names if n.lower() in there]) for f, names in COLUMNS.items()}
+    told = {n for names in COLUMNS.values() for n in names}
     made = once(raw, **{f"_{f}": c for f, c in text.items()}).drop(*told)
     expiry = fields.record_date(F.col("_expiry_date"), LAST_YEAR + 10)
     error = (

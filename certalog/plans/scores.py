@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from certalog.functions import fields as fn
 from certalog.functions.text import bin_score, ladder
 from certalog.operators.tables import latest
+from certalog.operators.matching import best_rounded
 from certalog.plans.binding import ASOF, SQL, changes, companies, lines, products, registrations, snapshots
 
 #: Scores by the first upper end that holds the value (fixed values: days to expiry, renewals, competitors, newcomers).
@@ -90,12 +91,12 @@ def risk_top(spark, d, n: int = 50) -> DataFrame:
 
 
 def risk_map(spark, d, n: int = 200) -> DataFrame:
-    by = [F.coalesce("methodology", F.lit("unknown")).alias("methodology"), F.coalesce("category", F.lit("unknown")).alias("category")]
-    each = risk_score(spark, d).groupBy(*by).agg(
+    """Scores by methodology and category, null a group of its own: how many, how many high, mean norm and most new products."""
+    each = risk_score(spark, d).groupBy("methodology", "category").agg(
         F.count("*").alias("total_count"), F.count_if(F.col("risk_level").isin("HIGH", "CRITICAL")).alias("high_count"),
-        (F.sum("lri_total") / F.count("*")).alias("avg_total"), F.max("gp_new_12m").alias("max_gp"),
+        best_rounded(F.coalesce(F.avg("lri_norm"), F.lit(0.0)), 9).alias("avg_norm"), F.coalesce(F.max("gp_new_12m"), F.lit(0)).alias("max_gp"),
     )
-    return each.orderBy(*[F.col(c).desc() for c in ("high_count", "avg_total", "total_count")], "category", "methodology").limit(n)
+    return each.orderBy(*[F.col(c).desc() for c in ("high_count", "avg_norm", "total_count")], F.asc_nulls_last("category"), F.asc_nulls_last("methodology")).limit(n)
 
 
 def risk_distribution(spark, d) -> DataFrame:
@@ -185,11 +186,17 @@ signal as (select registration_id, days, density, renewed, case s when 0 then 'l
 
 
 def distribution(counts: DataFrame, keys: list[str], label: str, n: str) -> DataFrame:
-    """(keys, dist): the shares of the labels as 'label:12.3%', largest first, ties by label, joined by ', '."""
-    share = F.col(n) * 100 / F.sum(n).over(Window.partitionBy(*keys))
-    item = F.struct((-F.col(n)).alias("o"), F.col(label).alias("label"), F.format_string("%.1f", share).alias("p"))
-    told = F.transform(F.array_sort(F.collect_list("item")), lambda x: F.concat(x["label"], F.lit(":"), x["p"], F.lit("%")))
-    return counts.withColumn("item", item).groupBy(*keys).agg(F.array_join(told, ", ").alias("dist"))
+    """(keys, dist): the shares of the labels as 'label:12.3%', largest first, ties by label, joined by ', '; 'missing:100%' if nothing is counted.
+
+    Halves of a tenth go to the even neighbour, as the shares' own doubles lie.
+    """
+    total = F.sum(n).over(Window.partitionBy(*keys))
+    tenths = F.rint(F.col(n) / total * 100 * 10).cast("long")
+    told_share = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    item = F.struct((-F.col(n)).alias("o"), F.col(label).alias("label"), told_share.alias("p"))
+    told = F.transform(F.array_sort(F.collect_list(F.when(F.col("_t") > 0, F.col("item")))), lambda x: F.concat(x["label"], F.lit(":"), x["p"], F.lit("%")))
+    each = counts.withColumns({"_t": total}).withColumn("item", F.when(F.col("_t") > 0, item))
+    return each.groupBy(*keys).agg(F.coalesce(F.nullif(F.array_join(told, ", "), F.lit("")), F.lit("missing:100%")).alias("dist"))
 
 
 def track_signal(spark, d) -> DataFrame:
@@ -219,7 +226,8 @@ def company_signal(spark, d) -> DataFrame:
     return wide.select("company_id", "new", "tracks", "cancels", F.round((F.col("new") - F.col("cancels")) / 12, 4).alias("slope"), level.alias("level"), score.alias("score"))
 
 
-DIST = lambda keys, n, label, source: f"select {keys}, string_agg({label} || ':' || printf('%.1f', 100.0::double * {n} / t) || '%', ', ' order by {n} desc, {label}) dist from (select *, sum({n}) over (partition by {keys}) t from {source}) group by {keys}"
+_TENTHS = "cast(round_even({n} / t * 100 * 10, 0) as bigint)"
+DIST = lambda keys, n, label, source: f"select {keys}, coalesce(string_agg({label} || ':' || ({_TENTHS.format(n=n)} // 10) || '.' || ({_TENTHS.format(n=n)} % 10) || '%', ', ' order by {n} desc, {label}) filter (where t > 0), 'missing:100%') dist from (select *, sum({n}) over (partition by {keys}) t from {source}) group by {keys}"
 TRACK_SQL = f"""{RISK_SQL} {START_SQL},
 w as (select dim.category, s.source, coalesce(s.start_date between d - 365 and d, false) fresh, c.country from dim join starts s using (registration_id)
   left join companies c on dim.company_id = c.company_id, today where (status is null or status = 'active') and dim.category is not null),
@@ -261,7 +269,7 @@ def top_growth(spark, d, n: int = 20) -> DataFrame:
 QUERIES = {
     "q1_risk_score": (risk_score, f"{RISK_SQL} select * from score"),
     "q3_risk_top": (risk_top, f"{RISK_SQL} select registration_id, lri_norm, risk_level, methodology, category from score where methodology is not null order by lri_norm desc nulls last, registration_id limit 50"),
-    "q4_risk_map": (risk_map, f"{RISK_SQL} select coalesce(methodology, 'unknown') methodology, coalesce(category, 'unknown') category, count(*) total_count, count(*) filter (where risk_level in ('HIGH', 'CRITICAL')) high_count, cast(sum(lri_total) as double) / count(*) avg_total, max(gp_new_12m) max_gp from score group by 1, 2 order by high_count desc, avg_total desc, total_count desc, category, methodology limit 200"),
+    "q4_risk_map": (risk_map, f"{RISK_SQL} select methodology, category, count(*) total_count, count(*) filter (where risk_level in ('HIGH', 'CRITICAL')) high_count, round_even(coalesce(avg(lri_norm), 0) * 1e9, 0) / 1e9 avg_norm, coalesce(max(gp_new_12m), 0) max_gp from score group by 1, 2 order by high_count desc, avg_norm desc, total_count desc, category nulls last, methodology nulls last limit 200"),
     "q17_risk_distribution": (risk_distribution, f"{RISK_SQL} select risk_level, count(*) n from score group by 1"),
     "q7_start_dates": (start_dates, f"{SQL} {START_SQL} select * from starts"),
     "q8_start_sources": (lambda s, d: start_dates(s, d).groupBy("source").agg(F.count("*").alias("n")), f"{SQL} {START_SQL} select source, count(*) n from starts group by 1"),

@@ -46,11 +46,15 @@ def restored(spark, d) -> DataFrame:
 
 
 def archive_counts(spark, d) -> DataFrame:
-    """Whether an archive run is sound: what was archived and what was deleted must be the same rows."""
+    """Whether an archive run is sound: the rows of the tables that it leaves and fills, against those before, by count and content.
+
+    What is left is told by the scope, what is taken by the return flag that the archive's source goes by.
+    """
     p = lines(spark, d)
-    kept, gone = tables.archive(p, ~F.col("is_ivd"))
-    n = p.agg(F.count("*").alias("rows")).crossJoin(kept.agg(F.count("*").alias("kept"))).crossJoin(gone.agg(F.count("*").alias("archived")))  # one row each
-    return n.select("rows", "kept", "archived", (F.col("rows") - F.col("kept") == F.col("archived")).alias("sound"))
+    flag = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("registration_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"), "l_returnflag").where("l_returnflag = 'R'")
+    taken = p.join(flag.select("registration_id", "line", "part_id").distinct(), ["registration_id", "line", "part_id"], "left_semi").select(*p.columns)
+    kept, _ = tables.archive(p, ~F.col("is_ivd"))
+    return tables.checked_archive(kept, taken, p)
 
 
 def rollback(spark, d) -> DataFrame:
@@ -235,7 +239,7 @@ QUERIES = {
     "up4_active_merge": (active_merge, f"{SQL}, o as (select * from (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations where created_date < date '{_CUT}') where rn = 1), n as (select * from (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations where created_date >= date '{_CUT}') where rn = 1) select owner_id, registration_id, status from o where status is distinct from 'active' or owner_id not in (select owner_id from n) union all select owner_id, registration_id, status from n"),
     "up6_replaced_params": (replaced_params, f"{SQL}, o as (select part_id, case when is_ivd then 'ivd' else 'other' end code, updated_date >= d late, updated_date from products, today), g as (select part_id, code, late, count(*) n, max(updated_date) newest from o group by 1, 2, 3) select part_id, code, n, newest from g where late or not exists (select 1 from g x where x.late and x.part_id = g.part_id and x.code = g.code)"),
     "up11_restored": (restored, f"{SQL}, t as (select * from products, today where is_ivd and updated_date >= d) select registration_id, line, part_id, company_id, quantity from products p where not is_ivd and not exists (select 1 from t where t.registration_id = p.registration_id) and not exists (select 1 from t where t.part_id = p.part_id)"),
-    "up10_archive_counts": (archive_counts, "select count(*) as \"rows\", count(*) filter (where l_returnflag <> 'R') kept, count(*) filter (where l_returnflag = 'R') archived, true sound from lineitem"),
+    "up10_archive_counts": (archive_counts, f"{SQL}, taken as (select p.* from lineitem p where exists (select 1 from lineitem f where f.l_returnflag = 'R' and (f.l_orderkey, f.l_linenumber, f.l_partkey) = (p.l_orderkey, p.l_linenumber, p.l_partkey))), kept as (select * from lineitem where l_returnflag <> 'R') select (select count(*) from lineitem) as \"before\", (select count(*) from kept) kept, (select count(*) from taken) archived, not exists ((select * from taken union all select * from kept) except all select * from lineitem) and (select count(*) from lineitem) = (select count(*) from kept) + (select count(*) from taken) sound"),
     "up12_rollback": (rollback, "with run as (select * from orders where o_orderpriority = '1-URGENT') select 'products' part, count(*) n from lineitem where l_orderkey in (select o_orderkey from run) union all select 'registrations', count(*) from run union all select 'owners', count(distinct o_custkey) from run where o_custkey not in (select o_custkey from orders where o_orderpriority <> '1-URGENT')"),
     "up13_merged_candidates": (merged_candidates, f"{SQL}, u as (select distinct registration_id, updated_date, company_id, is_ivd from products) select registration_id, string_agg(updated_date || ':' || company_id || ':' || cast(is_ivd as varchar), '|' order by updated_date, company_id, is_ivd) candidates, count(*) n from u group by 1"),
     "up14_reclassified": (reclassified, f"with {_RECLASS}, w as (select *, code like '22%' or code like '6840%' was from classified) select p_partkey, was, is_ivd as now, cat category from w where was <> is_ivd"),

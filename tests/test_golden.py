@@ -1,6 +1,7 @@
 """Rules of the register against known cases."""
 
 import datetime
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,73 @@ def test_merges_compare_null_keys(spark, policy, want):
     once = tables.merge(target, source, ["k"], policy)
     assert sorted([tuple(r) for r in once.collect()], key=lambda r: r[0] or 0) == want
     assert sorted([tuple(r) for r in tables.merge(once, source, ["k"], policy).collect()], key=lambda r: r[0] or 0) == want
+
+
+@pytest.mark.parametrize(
+    "text, key",
+    [
+        ("国械注准20231234Ⅱ", "国械注准20231234II"),
+        ("国械注准２０２３１２３４", "国械注准20231234"),
+        ("ⅳ①②⑩", "IV1210"),
+        ("5㎎㏄", "5MGCC"),
+        ("㈱⒜A", "株AA"),
+        ("ＡｂＣ－１", "ABC1"),
+        ("½", "12"),
+        ("ﬁx", "FIX"),
+        ("ÉX", "X"),
+        ("É1", "1"),
+        ("豈豈", "豈豈"),
+        ("a　b", "AB"),
+        ("x²", "X2"),
+        ("ſ", "S"),
+        ("𝐀𝟗", "A9"),
+    ],
+)
+def test_compatibility_forms(spark, text, key):
+    from certalog.functions.fields import norm_key
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(norm_key(F.col("t"))).first()[0] == key
+    plain = "".join(c for c in "".join(unicodedata.normalize("NFKC", text).split()).upper() if c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ" or "一" <= c <= "鿿")
+    assert plain == key
+
+
+def test_every_compatibility_form(spark):
+    from certalog.functions.fields import norm_key
+
+    rows = [(k, chr(k)) for k in range(0x20, 0x30000) if not 0xD800 <= k < 0xE000 and unicodedata.normalize("NFKC", chr(k)) != chr(k)]
+    want = {k: "".join(x for x in "".join(unicodedata.normalize("NFKC", c).split()).upper() if x in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ" or "一" <= x <= "鿿") or None for k, c in rows}
+    got = {r.k: r.key for r in spark.createDataFrame(rows, "k int, c string").select("k", norm_key(F.col("c")).alias("key")).collect()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
+def test_company_names(spark):
+    from certalog.functions.text import company_key
+
+    rows = [("（北京）Ａ医疗器械有限公司。", "北京A医疗器械"), ("Acme Co., Ltd. (Group) ", "ACME"), ("有限公司", "有限"), ("旧名", "新名"), (" · ", None), (None, None), ("X公司有限公司", "X")]
+    df = spark.createDataFrame([r[:1] for r in rows], "n string")
+    key = company_key(F.col("n"), ["有限公司", "公司", "Co.,Ltd", "(Group", "Group"], {"旧名": "新名"})
+    assert [r[0] for r in df.select(key).collect()] == [k for _, k in rows]
+
+
+def test_shares(spark):
+    from certalog.plans.scores import distribution
+
+    rows = [("a", "x", 1), ("a", "y", 7), ("b", "x", 0), ("c", "x", 1), ("c", "y", 799), ("d", "z", 1), ("d", "y", 2)]
+    got = {r.k: r.dist for r in distribution(spark.createDataFrame(rows, "k string, l string, n long"), ["k"], "l", "n").collect()}
+    assert got == {"a": "y:87.5%, x:12.5%", "b": "missing:100%", "c": "y:99.9%, x:0.1%", "d": "y:66.7%, z:33.3%"}
+
+
+def test_archive_is_checked(spark, tmp_path):
+    from certalog.operators import tables
+
+    df = spark.createDataFrame([(k, k % 3 == 0 if k % 5 else None) for k in range(60)], "k int, gone boolean")
+    tables.archive_into(df, F.col("gone"), str(tmp_path / "kept"), str(tmp_path / "gone"))
+    assert spark.read.parquet(str(tmp_path / "gone")).count() == 16 and spark.read.parquet(str(tmp_path / "kept")).count() == 44
+    kept, gone = tables.archive(df, F.col("gone"))
+    sound = lambda k, g: tables.checked_archive(k, g, df).first().sound
+    assert sound(kept, gone) and not sound(kept, gone.limit(3)) and not sound(kept.union(kept.limit(1)), gone) and not sound(kept, gone.withColumn("k", F.col("k") + 1))
+    unstable = df.withColumn("gone", F.rand() < 0.5)  # another half each time it is read
+    with pytest.raises(ValueError):
+        tables.archive_into(unstable, F.col("gone"), str(tmp_path / "k2"), str(tmp_path / "g2"))
+    assert not (tmp_path / "k2").exists() and not (tmp_path / "g2").exists()
