@@ -159,14 +159,6 @@ def first_turns(spark, d) -> DataFrame:
     return latest(t, ["conv_id"], [F.col("turn").asc(), F.col("role").asc(), F.col("text").asc()]).groupBy("role").agg(F.count("*").alias("n"))
 
 
-def digest(spark, d) -> DataFrame:
-    """Owners told of a product of their segment: the newest in scope of each registration of theirs."""
-    own = table(spark, d, "customer").select(F.col("c_custkey").alias("owner_id"), F.col("c_mktsegment").alias("target"))
-    p = latest(products(spark, d).where("is_ivd"), ["registration_id"], [F.col("updated_date").desc_nulls_last(), *[F.col(c).asc() for c in ("line", "part_id", "company_id", "quantity")]])
-    j = registrations(spark, d).join(own, "owner_id").join(p, "registration_id").where(F.contains(F.lower("category"), F.lower(F.substring("target", 1, 1))))
-    return j.groupBy("target").agg(F.count("*").alias("matches"), F.count_distinct("owner_id").alias("owners"))
-
-
 _HIT = "from products left join companies using (company_id) where is_ivd and (name ilike '%al%' or company ilike '%al%') and category ilike 'standard%'"
 _DAILY = ", daily as (select day, " + ", ".join(f"count(*) filter (where kind = '{k}') n_{k}" for k in ("approve", "renew", "cancel", "change")) + ", count(distinct entity_id) entities, count(distinct case when kind = 'cancel' then entity_id end) cancelled_entities, cast(count(*) filter (where kind = 'cancel') as double) / count(*) cancel_rate from changes group by 1)"
 _SETS = ", sets as (select entity_id, string_agg(distinct kind, ',' order by kind) kinds, count(*) n from changes group by 1)"
@@ -201,5 +193,4 @@ select rid, count(*) n, count(*) filter (where rid = registration_id) by_id, max
     "fil7_rolling_changes": (rolling_changes, f"{SQL} select entity_id, count(*) n, cast(max(ts) as date) last_day from changes, today where ts >= e - interval 72 hour and ts < e group by 1"),
     "ag21_label_coverage": (label_coverage, "with l as (select distinct doc_id, quality from labels) select source, count(*) total, count(quality) labelled, cast(count(quality) as double) / count(*) coverage from documents left join l using (doc_id) group by 1"),
     "w9_first_turns": (first_turns, "select role, count(*) n from (select *, row_number() over (partition by conv_id order by turn, role, text) rn from conversations) where rn = 1 group by 1"),
-    "q60_digest": (digest, f"{SQL}, p as (select * from (select *, row_number() over (partition by registration_id order by updated_date desc nulls last, line, part_id, company_id, quantity) rn from products where is_ivd) where rn = 1) select c_mktsegment target, count(*) matches, count(distinct owner_id) owners from registrations join customer on owner_id = c_custkey join p using (registration_id) where contains(lower(category), lower(substr(c_mktsegment, 1, 1))) group by 1"),
 }
