@@ -75,13 +75,26 @@ def archive_into(target: DataFrame, gone: Column, kept_path: str, archive_path:
         raise ValueError(f"archive of {found.before} rows left {found.kept} and took {found.archived}")
 
 
-def join_either(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], right_id: Sequence[str], left_id: Sequence[str]) -> DataFrame:
-    """Inner join where any of the pairs of columns is equal, each (left, right) pair once: a union of equi-joins."""
-    out = None
+def join_either(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Inner join where any of the pairs of columns is equal, each (left, right) pair of rows once: a union of equi-joins, each without what the ones before
+    it have, so that nothing is dealt out again to find repeats."""
+    out, before = None, []
     for a, b in pairs:
-        one = left.join(right, left[a] == right[b])
+        one = left.join(right, reduce(and_, [left[a] == right[b], *[~F.coalesce(left[x] == right[y], F.lit(False)) for x, y in before]]))
         out = one if out is None else out.union(one)
-    return out.dropDuplicates([*left_id, *right_id])
+        before.append((a, b))
+    return out
+
+
+def newest_changes(df: DataFrame, keys: Sequence[str], order: Sequence[Column], fields: Sequence[str]) -> DataFrame:
+    """(keys, field, old, new, before, after): what differs, null-safe, between the two newest rows of each key, whose fields are told whole as well.
+
+    One window: the newest row looks at the one after it in the order.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    both = df.select(*keys, F.struct(*fields).alias("after"), F.lead(F.struct(*fields)).over(w).alias("before"), F.row_number().over(w).alias("_n")).where("_n = 1 and before is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"before.{f}").cast("string").alias("old"), F.col(f"after.{f}").cast("string").alias("new")) for f in fields])).alias("d")
+    return both.select(*keys, each, "before", "after").select(*keys, "d.field", "d.old", "d.new", "before", "after").where(~F.col("old").eqNullSafe(F.col("new")))
 
 
 def changed_fields(old: DataFrame, new: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:

@@ -104,7 +104,7 @@ def named_products(spark, d) -> DataFrame:
     """Products of each registration by key or by the number they carry, each once; a product carries the number of its part's registration."""
     r = registrations(spark, d).select(F.col("registration_id").alias("rid"), F.col("registration_no").alias("rno"))
     p = lines(spark, d).select("registration_id", F.concat(F.lit("REG"), F.lpad(F.col("part_id").cast("string"), 10, "0")).alias("reg_no"), "line", "part_id", "company_id", "quantity")
-    both = tables.join_either(r, p, [("rid", "registration_id"), ("rno", "reg_no")], ["registration_id", "line", "part_id", "company_id", "quantity"], ["rid"])
+    both = tables.join_either(r, p, [("rid", "registration_id"), ("rno", "reg_no")])
     return both.groupBy("rid").agg(F.count("*").alias("n"), F.count_if(F.col("rid") == F.col("registration_id")).alias("by_key"))
 
 

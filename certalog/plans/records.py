@@ -66,9 +66,7 @@ def resolved(spark, d) -> DataFrame:
 def field_diffs(spark, d) -> DataFrame:
     """Field by field, what differs between an owner's two newest registrations, with its severity."""
     order = [F.col("created_date").desc(), F.col("registration_id").desc()]
-    r = tables.numbered(registrations(spark, d), ["owner_id"], order, "rn")
-    fields = ["status", "expiry_date", "approval_date", "registration_no"]
-    out = tables.changed_fields(r.where("rn = 2"), r.where("rn = 1"), ["owner_id"], fields)
+    out = tables.newest_changes(registrations(spark, d), ["owner_id"], order, ["status", "expiry_date", "approval_date", "registration_no"]).drop("before", "after")
     severity = F.create_map(*[F.lit(x) for p in SEVERITY.items() for x in p])
     kind = F.when(F.col("field") == "status", F.when(F.col("new") == "cancelled", "CANCEL").otherwise("MODIFY")).when(F.col("field") == "expiry_date", "RENEW").otherwise("MODIFY")
     return out.withColumns({"change_type": kind, "severity": F.coalesce(severity[F.col("field")], F.lit("LOW"))})

@@ -90,7 +90,7 @@ def anchored_products(spark, d) -> DataFrame:
     """Products of each registration by id or by its owner's number, each once: a union of equi-joins, counted."""
     r = registrations(spark, d).select(F.col("registration_id").alias("rid"), "owner_id")
     key = ["registration_id", "line", "part_id", "company_id", "quantity"]
-    both = join_either(r, lines(spark, d).select(*key), [("rid", "registration_id"), ("owner_id", "part_id")], key, ["rid"])
+    both = join_either(r, lines(spark, d).select(*key), [("rid", "registration_id"), ("owner_id", "part_id")])
     return both.groupBy("rid").agg(F.count("*").alias("n"), F.count_if(F.col("rid") == F.col("registration_id")).alias("by_id"), F.max("line").alias("last_line"))
 
 

@@ -141,9 +141,10 @@ starts as (select registration_id, case when c <= d then c end start_date, case
 def start_audit(spark, d) -> DataFrame:
     """How often each source gives the start date, the share of all registrations, and the three first numbers of each as samples."""
     s = start_dates(spark, d).join(registrations(spark, d).select("registration_id", "registration_no"), "registration_id")
-    ranked = s.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("registration_no")))
-    n = ranked.groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("registration_no")))), ",").alias("samples"))
-    return n.select("source", "n", "samples", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("rate"))
+    n = s.groupBy("source").agg(F.count("*").alias("n"))
+    first = s.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("registration_no"))).where("r <= 3")  # three a task before the exchange
+    samples = first.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("registration_no")), ",").alias("samples"))
+    return n.join(samples, "source").select("source", "n", "samples", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("rate"))
 
 
 def anchors(spark, d) -> DataFrame:

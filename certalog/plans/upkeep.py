@@ -174,13 +174,11 @@ def register_diffs(spark, d) -> DataFrame:
     order = [F.col("created_date").desc(), F.col("registration_id").desc()]
     p = tables.latest(products(spark, d), ["registration_id"], newest()).select("registration_id", F.col("name").alias("product_name"), F.col("category").alias("class"), F.col("methodology").alias("model"))
     r = registrations(spark, d).join(p, "registration_id", "left")
-    r = tables.numbered(r, ["owner_id"], order, "rn").withColumns({"filing_no": F.lit(None).cast("string"), "specification": F.concat_ws(" ", "class", "model")})
-    o, n = r.where("rn = 2"), r.where("rn = 1")
+    r = r.withColumns({"filing_no": F.lit(None).cast("string"), "specification": F.concat_ws(" ", "class", "model")})
     names = ["registration_no", "filing_no", "approval_date", "expiry_date", "status", "product_name", "class", "model", "specification"]
-    kind = o.select("owner_id", F.col("status").alias("os"), F.col("expiry_date").alias("oe")).join(n.select("owner_id", F.col("status").alias("ns"), F.col("expiry_date").alias("ne")), "owner_id")
-    kind = kind.select("owner_id", fields.register_change(F.lit(True), F.col("os"), F.col("ns"), F.col("oe"), F.col("ne")).alias("change_type"))
-    diffs = tables.changed_fields(o, n, ["owner_id"], names).withColumn("severity", fields.severity(F.col("field")))
-    return diffs.join(kind, "owner_id")
+    diffs = tables.newest_changes(r, ["owner_id"], order, names)
+    kind = fields.register_change(F.lit(True), *[F.col(c) for c in ("before.status", "after.status", "before.expiry_date", "after.expiry_date")])
+    return diffs.select("owner_id", "field", "old", "new", fields.severity(F.col("field")).alias("severity"), kind.alias("change_type"))
 
 
 def diff_report(spark, d) -> DataFrame:
