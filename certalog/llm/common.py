@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -100,6 +101,13 @@ def join_counted(rows: DataFrame, keys: DataFrame, by: list[str], count: str, to
     return salted.drop("_salts").join(spread.hint("shuffle_hash"), [*by, "_salt"]).drop("_salt")
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the machine: its Python process stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with f called on one batch at a time."""
 

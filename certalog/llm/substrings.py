@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certalog.llm import tokens
-from certalog.llm.common import drop_written, table, written
+from certalog.llm.common import drop_written, release, table, written
 from certalog.llm.tokens import mix, powers
 
 #: Words of a window, rounds of pair naming, parts in which the candidate windows are compared one after another.
@@ -143,6 +143,7 @@ def mapped(df: DataFrame, f, schema: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
+                release()  # long texts take much
 
     return df.mapInArrow(run, schema)
 
