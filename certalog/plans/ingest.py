@@ -292,6 +292,38 @@ def conflict_queue(spark, d) -> DataFrame:
     return each.select("registration_id", F.array_join("f", ",").alias("fields"), F.array_join("g", ",").alias("grades"), "candidates")
 
 
+WINDOWS = {"1d": 1, "7d": 7, "30d": 30}
+
+
+def report_conflicts(queue: DataFrame, today: Column, window: str = "7d", top_n: int = 10) -> DataFrame:
+    """(part, name, conflict_count) of the queue's entries of a window: the fields most in dispute, the sources of their candidates, and each day.
+
+    queue: field_name, created_at, candidates (array of structs with source_key). Candidates are unnested; those without source count as
+    UNKNOWN, entries without candidates for no source. Ties go by name.
+    """
+    if window not in WINDOWS:
+        raise ValueError(f"window must be one of {'/'.join(WINDOWS)}")
+    recent = queue.where(F.col("created_at") >= F.date_sub(today, WINDOWS[window]))
+    count = lambda df, part, name, top: _top(df.groupBy(name.cast("string").alias("name")).agg(F.count("*").alias("conflict_count")), top).select(F.lit(part).alias("part"), "name", "conflict_count")
+    source = F.coalesce(F.nullif(F.col("c.source_key"), F.lit("")), F.lit("UNKNOWN"))
+    sources = recent.select(F.explode("candidates").alias("c"))
+    return count(recent, "field", F.col("field_name"), top_n).unionByName(count(sources, "source", source, top_n)).unionByName(count(recent, "day", F.to_date("created_at"), None))
+
+
+def _top(df: DataFrame, n: int | None) -> DataFrame:
+    return df if n is None else df.orderBy(F.desc("conflict_count"), "name").limit(n)
+
+
+def conflict_report(spark, d) -> DataFrame:
+    """The thirty days to the day: an entry a field in dispute, since its registration came, with all that was said of it."""
+    late = contract_fields(spark, d).where("conflicts > 0").select("registration_id", "field")
+    said = contract_observations(spark, d).join(late, ["registration_id", "field"])
+    key = F.when(F.col("seq.company_id") % 5 > 0, F.concat(F.lit("S"), (F.col("seq.company_id") % 5).cast("string"))).otherwise("")
+    each = said.groupBy("registration_id", F.col("field").alias("field_name")).agg(F.collect_list(F.struct(key.alias("source_key"), "value")).alias("candidates"))
+    r = registrations(spark, d).select("registration_id", F.col("created_date").alias("created_at"))
+    return report_conflicts(each.join(r, "registration_id"), F.lit(ASOF), "30d", 3)
+
+
 _DI = "from outcomes where outcome = 'accepted' and udi_di not like 'reg:%'"
 _LAST = "row_number() over (partition by udi_di order by registration_id desc, line desc, company_id desc, quantity desc) rn"
 QUERIES = {
@@ -306,5 +338,8 @@ QUERIES = {
     "up20_pending_queue": (pending_queue, f"{OUTCOME_SQL} select source_key, max(reason) reason, count(*) n, case when right(source_key, 1) in ('1', '3', '5', '7', '9') then 'reopened' else 'open' end state from outcomes where outcome = 'pending' group by 1"),
     "q28_contract_fields": (contract_fields, f"{CONTRACT_SQL} select * from contract"),
     "q30_contract_summary": (contract_summary, f"{CONTRACT_SQL} select field, cast(sum(applied) as bigint) applied, cast(sum(kept) as bigint) kept, cast(sum(conflicts) as bigint) conflicts, count(*) filter (where conflicts > 0) disputed from contract group by 1"),
+    "q57_conflict_report": (conflict_report, f"""{CONTRACT_SQL}, late as (select c.*, created_date from contract c join registrations using (registration_id) where conflicts > 0 and created_date >= date '{ASOF}' - 30),
+      s as (select case when company_id % 5 > 0 then 'S' || (company_id % 5) else 'UNKNOWN' end as name from o join late using (registration_id, field))
+      select 'field' part, field as name, count(*) conflict_count from late group by 2 union all select * from (select 'source', name, count(*) n from s group by 2 order by n desc, name limit 3) union all select 'day', cast(created_date as varchar), count(*) from late group by 2"""),
     "ag19_conflict_queue": (conflict_queue, f"{CONTRACT_SQL} select registration_id, string_agg(distinct o.field, ',' order by o.field) fields, string_agg(distinct chr(cast(69 - g as integer)), ',' order by chr(cast(69 - g as integer))) grades, count(*) candidates from o join (select registration_id, field from contract where conflicts > 0) x using (registration_id, field) group by 1"),
 }

@@ -127,12 +127,6 @@ def backlog(spark, d) -> DataFrame:
     return a.unionByName(b).groupBy("day").agg(F.sum("applied").alias("applied"), F.sum("rejected").alias("rejected"))
 
 
-def conflict_report(spark, d) -> DataFrame:
-    """Values of the kinds that an entity has, unnested, and how many entities hold each set."""
-    sets = changes(spark, d).groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.count("*").alias("n"))
-    return sets.select(F.explode(F.split("kinds", ",")).alias("kind"), "n").groupBy("kind").agg(F.count("*").alias("entities"), F.sum("n").alias("changes"))
-
-
 def kind_shares(spark, d) -> DataFrame:
     """Entities by the set of their kinds, most frequent first."""
     sets = changes(spark, d).groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
@@ -188,7 +182,6 @@ select rid, count(*) n, count(*) filter (where rid = registration_id) by_id, max
     "w3_latest_changes": (latest_changes, f"{SQL} select entity_id, kind, event_id, k from (select *, row_number() over (partition by entity_id, kind order by ts desc nulls last, event_id desc) rn from changes) where rn = 1"),
     "w4_dominant_products": (dominant_products, f"{SQL} select registration_id, part_id, company_id, is_ivd from (select *, row_number() over (partition by registration_id order by updated_date desc nulls first, line desc, part_id desc, company_id desc, quantity desc) rn from products) where rn = 1"),
     "set1_backlog": (backlog, f"{SQL} select day, count(*) filter (where kind <> 'cancel') applied, count(*) filter (where kind = 'cancel') rejected from changes group by 1"),
-    "q57_conflict_report": (conflict_report, f"{SQL} {_SETS} select kind, count(*) entities, cast(sum(n) as bigint) changes from (select unnest(string_split(kinds, ',')) kind, n from sets) group by 1"),
     "ag20_kind_sets": (kind_shares, f"{SQL} {_SETS} select kinds, count(*) n from sets group by 1 order by n desc, kinds limit 30"),
     "fil7_rolling_changes": (rolling_changes, f"{SQL} select entity_id, count(*) n, cast(max(ts) as date) last_day from changes, today where ts >= e - interval 72 hour and ts < e group by 1"),
     "ag21_label_coverage": (label_coverage, "with l as (select distinct doc_id, quality from labels) select source, count(*) total, count(quality) labelled, cast(count(quality) as double) / count(*) coverage from documents left join l using (doc_id) group by 1"),

@@ -157,3 +157,22 @@ def test_archive_is_checked(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.archive_into(unstable, F.col("gone"), str(tmp_path / "k2"), str(tmp_path / "g2"))
     assert not (tmp_path / "k2").exists() and not (tmp_path / "g2").exists()
+
+
+def test_conflict_report(spark):
+    day = datetime.date(2026, 1, 8)
+    rows = [("status", day, [("A",), ("",)]), ("status", day, [("B",), ("A",)]), ("name", day - datetime.timedelta(7), None), ("name", day - datetime.timedelta(8), [("Z",)]), ("expiry", day, [(None,)])]
+    q = spark.createDataFrame(rows, "field_name string, created_at date, candidates array<struct<source_key:string>>")
+    got = {(r.part, r.name): r.conflict_count for r in ingest.report_conflicts(q, F.lit(day), "7d", 2).collect()}
+    assert got == {("field", "status"): 2, ("field", "expiry"): 1, ("source", "A"): 2, ("source", "UNKNOWN"): 2, ("day", "2026-01-08"): 3, ("day", "2026-01-01"): 1}
+    with pytest.raises(ValueError):
+        ingest.report_conflicts(q, F.lit(day), "2d")
+
+
+def test_rules_of_single_fields(spark):
+    df = spark.createDataFrame([("cancelled", True), ("expired", True), ("active", True), ("active", False)], "s string, c boolean")
+    assert [r[0] for r in df.select(fields.change_type(F.col("s"), F.col("c"))).collect()] == ["cancel", "expire", "update", "noop"]
+    df = spark.createDataFrame([([("a", 1.5), ("b", 2.0), ("a", 9.0)], ["x", "y" * 9], None, " 22 ")], "f array<struct<name:string,value:double>>, parts array<string>, n string, code string")
+    candidates = fields.candidates((F.lit("A"), F.col("n"), F.lit("d")), (F.lit("B"), F.col("code"), F.lit("e")), (F.lit("C"), F.lit("  "), F.lit("f")))
+    r = df.select(fields.factor(F.col("f"), "a"), fields.factor(F.col("f"), "z"), fields.text_blob(F.col("parts"), 5), fields.class_hint(F.col("n"), F.col("code")), candidates).first()
+    assert tuple(r)[:4] == (1.5, None, "x yyy", "22") and [tuple(x) for x in r[4]] == [("B", "22", "e")]
