@@ -69,9 +69,10 @@ def methodology_tree(spark, d) -> DataFrame:
 
 
 def package_graph(spark, d) -> DataFrame:
-    """How many parts each part's packages hold in all, and how deep: parts hold others of their orders' numbers; some hold each other."""
-    i = table(spark, d, "lineitem").where("l_quantity >= 49")
-    edges = i.select(F.col("l_partkey").alias("package_di"), F.col("l_suppkey").alias("child_di"))
+    """How many devices each package holds in all, and how deep: a part's package holds that of a seventh of its number, and some the first of their seven."""
+    i = table(spark, d, "lineitem")
+    child = F.when(F.col("l_linenumber") == 7, F.col("l_partkey") - F.col("l_partkey") % 7).otherwise(F.floor(F.col("l_partkey") / 7))
+    edges = i.select(F.col("l_partkey").alias("package_di"), child.alias("child_di"))
     return reached(edges, edges.select("package_di")).groupBy("root").agg(F.count("*").alias("n"), F.sum("node").alias("nodes"))
 
 
@@ -279,7 +280,7 @@ QUERIES = {
     "q62_resolved_companies": (resolved_companies, f"{COMPANY_SQL} select key, case when a.alias is not null then 'alias' when candidates = 1 then 'unique' when candidates > 1 then 'collision' else 'create' end how, coalesce(a.company_id, case when candidates = 1 then one end) company_id, n_rows, n_names, coalesce(candidates, 0) candidates from told left join al a on a.alias = key left join own using (key)"),
     "up19_rebound": (rebound, f"{COMPANY_SQL} select alias, raw.company_id as old, al.company_id as new, count(*) n from raw join al on alias = {_COMPANY_KEY.format('raw_name')} where raw.company_id <> al.company_id group by 1, 2, 3"),
     "up15_methodology_tree": (methodology_tree, TREE_SQL),
-    "up15_package_graph": (package_graph, "with recursive e as (select distinct l_partkey a, l_suppkey b from lineitem where l_quantity >= 49), r(root, node) as (select distinct a, a from e union select root, b from r join e on a = node) select root, count(*) n, cast(sum(node) as bigint) nodes from r group by 1"),
+    "up15_package_graph": (package_graph, "with recursive e as (select distinct l_partkey a, case when l_linenumber = 7 then l_partkey - l_partkey % 7 else l_partkey // 7 end b from lineitem), r(root, node) as (select distinct a, a from e union select root, b from r join e on a = node) select root, count(*) n, cast(sum(node) as bigint) nodes from r group by 1"),
     "q46_version_events": (versions, VERSION_SQL),
     "q60_digest_items": (digest_items, DIGEST_SQL),
 }
