@@ -61,3 +61,35 @@ def classify(df: DataFrame, code: Column, name: Column, model: Column, specifica
         found["hits"].alias("hits"), (~ivd & (code == "") & (found["rule"] != "global_exclude")).alias("needs_review"),
     )
     return once(df, **{out: told}).drop("_found", "_code", "_name")
+
+
+#: The older rules of scope: patterns of sure words, and of words that count together (fixed values).
+SCOPE_SURE = ("体外诊断", r"\bivd\b", r"in[\s\-]?vitro", "诊断试剂", "检测试剂", "试剂盒", "校准品", "质控品", "核酸(检|测|扩增)", "pcr", "分子诊断")
+SCOPE_INSTRUMENT = ("分析仪", "检测仪", "测定仪", "免疫分析", "化学发光", "血球", "血凝", "生化", "poct")
+SCOPE_SOFTWARE = ("医疗软件", "诊断软件", "检验软件", "l[ai]s", "算法", "软件", "平台", "系统")
+SCOPE_CONTEXT = ("诊断", "检测", "检验", "分析", "测定", "病原", "核酸", "免疫", "生化", "血液")
+SCOPE_NEGATIVE = ("骨科", "口腔", "牙科", "眼科", "注射器", "缝合", "假体", "植入", "心脏支架")
+#: A word edge next to letters and digits of any script, which Java's \\b is not.
+_EDGED = r"(?<![\p{L}\p{N}_])ivd(?![\p{L}\p{N}_])"
+
+
+def scope_text(*parts: Column) -> Column:
+    """What the older rules read: the parts that have text, in lower case, joined by ' | '."""
+    return F.lower(F.concat_ws(" | ", *[F.nullif(F.trim(p), F.lit("")) for p in parts]))
+
+
+def scope_by_words(text: Column) -> Column:
+    """(is_ivd, reason, matched) by the older rules: class code, sure words, words of instruments or software among diagnostic ones, else out of scope."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    any_of = lambda words: t.rlike("|".join(words))
+    sure = F.array_compact(F.array(*[F.when(t.rlike(_EDGED if p == r"\bivd\b" else p), F.lit(f"strong:{p}")) for p in SCOPE_SURE]))
+    told = lambda ok, why, *matched: F.struct(F.lit(ok).alias("is_ivd"), F.lit(why).alias("reason"), F.array(*[F.lit(m) for m in matched]).cast("array<string>").alias("matched"))
+    context = any_of(SCOPE_CONTEXT)
+    return (
+        F.when(t.contains("6840"), told(True, "matched_category_code_6840", "category_code:6840"))
+        .when(F.size(sure) > 0, F.struct(F.lit(True).alias("is_ivd"), F.lit("matched_strong_ivd_keyword").alias("reason"), sure.alias("matched")))
+        .when(context & any_of(SCOPE_INSTRUMENT), told(True, "matched_diag_context_plus_instrument", "diag_context", "instrument"))
+        .when(context & any_of(SCOPE_SOFTWARE), told(True, "matched_diag_context_plus_software", "diag_context", "software"))
+        .when(any_of(SCOPE_NEGATIVE), told(False, "matched_negative_non_ivd_keyword"))
+        .otherwise(told(False, "no_ivd_signal"))
+    )

@@ -132,6 +132,15 @@ def classified(spark, d) -> DataFrame:
     return v.select("p_partkey", "v.is_ivd", F.col("v.category").alias("ivd_category"), F.array_join("v.subtypes", ",").alias("subtypes"), "v.confidence", "v.rule", F.array_join("v.hits", ",").alias("hits"), "v.needs_review")
 
 
+def scoped(spark, d) -> DataFrame:
+    """Every part by the older rules of scope, which read its name, class code and brand."""
+    p = table(spark, d, "part")
+    name = F.concat(_mapped(F.split("p_name", " ")[0], ADJECTIVES, ""), _mapped(F.split("p_name", " ")[1], NOUNS, "器械"))
+    v = F.col("v")
+    read = once(p, v=classifier.scope_by_words(classifier.scope_text(name, _mapped(F.col("p_type"), CODES, ""), F.col("p_brand"))))
+    return read.select("p_partkey", v["is_ivd"].alias("is_ivd"), v["reason"].alias("reason"), F.array_join(v["matched"], ",").alias("matched"))
+
+
 def _hits(name: str, words) -> str:
     test = lambda w: f"regexp_matches({name}, '(^|[^a-z0-9]){w}([^a-z0-9]|$)')" if w.isascii() and " " not in w else f"contains({name}, '{w}')"
     return "list_filter([" + ", ".join(f"case when {test(w)} then '{w}' end" for w in words) + "], lambda x: x is not null)"
@@ -156,6 +165,16 @@ v as (select *, {pick(1, "'fallback'")} as rule, {pick(2, "null")} cat, {pick(3,
 classified as (select *, cat is not null is_ivd, {kinds} subtypes, cat is null and code = '' and rule <> 'global_exclude' needs_review from v)"""
 
 
+_WORDS = lambda words: "regexp_matches(t, '" + "|".join(words) + "')"
+_SURE = ", ".join(f"case when regexp_matches(t, '{'(^|[^_0-9a-z一-鿿])ivd($|[^_0-9a-z一-鿿])' if w.startswith(chr(92)) else w}') then 'strong:{w}' end" for w in classifier.SCOPE_SURE)
+SCOPE_SQL = f"""with x as (select p_partkey, lower(concat_ws(' | ', nullif({_DEVICE}, ''), nullif({_case("p_type", CODES, "")}, ''), p_brand)) t from part),
+y as (select *, list_filter([{_SURE}], lambda w: w is not null) s, {_WORDS(classifier.SCOPE_CONTEXT)} c, {_WORDS(classifier.SCOPE_INSTRUMENT)} i, {_WORDS(classifier.SCOPE_SOFTWARE)} f, {_WORDS(classifier.SCOPE_NEGATIVE)} n from x)
+select p_partkey, contains(t, '6840') or len(s) > 0 or c and (i or f) is_ivd,
+  case when contains(t, '6840') then 'matched_category_code_6840' when len(s) > 0 then 'matched_strong_ivd_keyword' when c and i then 'matched_diag_context_plus_instrument' when c and f then 'matched_diag_context_plus_software' when n then 'matched_negative_non_ivd_keyword' else 'no_ivd_signal' end reason,
+  case when contains(t, '6840') then 'category_code:6840' when len(s) > 0 then array_to_string(s, ',') when c and i then 'diag_context,instrument' when c and f then 'diag_context,software' else '' end matched from y
+"""
+
+
 CLASS_SQL = _class_sql(f"select p_partkey, {_case('p_type', CODES, '')} code, lower({_DEVICE}) as name from part")
 
 
@@ -329,6 +348,7 @@ _LAST = "row_number() over (partition by udi_di order by registration_id desc, l
 QUERIES = {
     "f39_mapped_records": (mapped_records, f"{MAPPED_SQL} select * exclude (registry_no) from mapped"),
     "q33_classified": (classified, f"with {CLASS_SQL} select p_partkey, is_ivd, cat ivd_category, subtypes, confidence, rule, array_to_string(hits, ',') hits, needs_review from classified"),
+    "q34_scope_by_words": (scoped, SCOPE_SQL),
     "q31_ingest": (outcomes, f"{OUTCOME_SQL} select * from outcomes"),
     "q31_ingest_counts": (ingest_counts, f"{OUTCOME_SQL} select outcome, reason, count(*) n from outcomes group by 1, 2"),
     "q73_rejected_list": (rejected_list, f"{OUTCOME_SQL} select source_key, count(*) n, max(reason) reason from outcomes where outcome in ('invalid_name', 'filtered') and source_key ilike 'di:0000001%' group by 1 order by 1 limit 50"),

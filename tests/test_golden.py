@@ -176,3 +176,16 @@ def test_rules_of_single_fields(spark):
     candidates = fields.candidates((F.lit("A"), F.col("n"), F.lit("d")), (F.lit("B"), F.col("code"), F.lit("e")), (F.lit("C"), F.lit("  "), F.lit("f")))
     r = df.select(fields.factor(F.col("f"), "a"), fields.factor(F.col("f"), "z"), fields.text_blob(F.col("parts"), 5), fields.class_hint(F.col("n"), F.col("code")), candidates).first()
     assert tuple(r)[:4] == (1.5, None, "x yyy", "22") and [tuple(x) for x in r[4]] == [("B", "22", "e")]
+
+
+@pytest.mark.parametrize(
+    "words, is_ivd, reason",
+    [
+        ("6840 类", True, "matched_category_code_6840"), ("IVD reagent", True, "matched_strong_ivd_keyword"), ("国产ivd产品", False, "no_ivd_signal"), ("In-Vitro test", True, "matched_strong_ivd_keyword"),
+        ("免疫 分析仪", True, "matched_diag_context_plus_instrument"), ("检测 平台", True, "matched_diag_context_plus_software"), ("血球", False, "no_ivd_signal"), ("一次性注射器", False, "matched_negative_non_ivd_keyword"),
+        ("", False, "no_ivd_signal"), (None, False, "no_ivd_signal"), ("qPCR 骨科", True, "matched_strong_ivd_keyword"),
+    ],
+)
+def test_older_rules_of_scope(spark, words, is_ivd, reason):
+    v = spark.createDataFrame([(words,)], "t string").select(classifier.scope_by_words(F.col("t")).alias("v")).first().v
+    assert (v.is_ivd, v.reason) == (is_ivd, reason)
