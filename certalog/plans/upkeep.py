@@ -9,7 +9,7 @@ from certalog.functions import classifier, fields
 from certalog.functions.text import once
 from certalog.operators import tables
 from certalog.plans.binding import ASOF, SQL, changes, lines, products, registrations
-from certalog.plans.ingest import CODES, MAPPED_SQL, OUTCOME_SQL, RAW_SQL, _case, _mapped, _class_sql, _DEVICE, mapped_records, outcomes, raw_rows
+from certalog.plans.ingest import COLUMNS, CODES, MAPPED_SQL, OUTCOME_SQL, RAW_SQL, _case, _mapped, _class_sql, _DEVICE, mapped_records, outcomes, raw_rows
 from certalog.plans.reads import VARIANT_SQL, ratio, variants
 from certalog.plans.scores import newest
 from certalog.session import table
@@ -230,8 +230,8 @@ b as (select o.owner_id, {", ".join(f"cast(o.{f} as varchar) o_{f}, cast(n.{f} a
   from r o join r n on o.owner_id = n.owner_id and o.rn = 2 and n.rn = 1),
 diffs as ({" union all ".join(f"select owner_id, '{f}' field, o_{f} as old, n_{f} as new, '{fields.SEVERITY[f]}' severity, change_type from b where o_{f} is distinct from n_{f}" for f in _FIELDS)})"""
 _RECLASS = _class_sql(f"select p_partkey, {_case('p_type', CODES, '')} code, lower({_DEVICE}) as name from part")
-_ALIASES = {"product_name": "name", "产品名称": "name", "registration_no": "reg_no", "注册证编号": "reg_no", "udi_di": "udi_di", "zxxsdycpbs": "udi_di", "status": "status", "状态": "status", "approval_date": "approved_date", "批准日期": "approved_date", "expiry_date": "expiry_date", "有效期至": "expiry_date", "manufacturer": "company_name", "注册人名称": "company_name", "country": "company_country", "国家地区": "company_country", "flbm": "class_name", "管理类别": "class_name"}
-_CANDIDATES = " union all ".join(f"select '{a}' field, case when line % 2 = {k % 2} then {f} end as value from record" for k, (a, f) in enumerate(_ALIASES.items())) + " union all select 'registry_no', registry_no from record"
+_PLACED = [(n, f, k, len(names)) for f, names in COLUMNS.items() for k, n in enumerate(names)]
+_CANDIDATES = " union all ".join(f"select '{n}' field, case when line % {of} = {k} then {f} end as value from record" for n, f, k, of in _PLACED) + " union all select 'registry_no', registry_no from record"
 
 QUERIES = {
     "up4_active_merge": (active_merge, f"{SQL}, o as (select * from (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations where created_date < date '{_CUT}') where rn = 1), n as (select * from (select *, row_number() over (partition by owner_id order by created_date desc, registration_id desc) rn from registrations where created_date >= date '{_CUT}') where rn = 1) select owner_id, registration_id, status from o where status is distinct from 'active' or owner_id not in (select owner_id from n) union all select owner_id, registration_id, status from n"),
