@@ -98,7 +98,7 @@ def company_key(c: Column, suffixes: Sequence[str], replacements: dict[str, str]
         plain = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in replacements.items() for x in p]), plain), plain)
     ends = "|".join(sorted((re.escape(x) for x in suffixes if x), key=len, reverse=True))
     # a form is taken off where something stands before it; signs may stand between forms
-    short = F.regexp_replace(plain, f"(?<=.)(?:(?:{ends}){signs}*)+$", "") if ends else plain
+    short = F.regexp_replace(plain, f"(?i)(?<=.)(?:(?:{ends}){signs}*)+$", "") if ends else plain
     return F.nullif(F.regexp_replace(F.upper(trimmed(short)), f"[^0-9A-Z{CJK}]+", ""), F.lit(""))
 
 
