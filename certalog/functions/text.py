@@ -49,7 +49,7 @@ def half_width(c: Column) -> Column:
     plain = F.translate(c, "".join(_ONE), "".join(_ONE.values()))
     spread = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     whole = F.when(plain.rlike(f"[{''.join(_SEVERAL)}]"), spread).otherwise(plain)
-    return F.regexp_replace(whole, "|".join(_PAIRS), "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(whole, "|".join(_PAIRS), "")).otherwise(c)
 
 
 #: What begins a certificate number: up to six Han characters, the last one this (fixed value).
