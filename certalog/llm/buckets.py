@@ -14,6 +14,8 @@ from certalog.llm.common import components, join_counted, written
 BLOCK = 512
 #: Members of a bucket that all others are compared with first.
 HUBS = 8
+#: Members of a bucket that meet one copy of a hub.
+SPREAD = 4096
 
 
 def node(k1: str = "k1", k2: str = "k2") -> Column:
@@ -35,17 +37,22 @@ def similar(s: str, hs: str, similarity: float) -> Column:
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (k, h) whose shingle sets have the similarity."""
-    other = sets.select(F.col("k").alias("h"), F.col("s").alias("hs"))
-    return pairs.join(sets.select("k", "s"), "k").join(other, "h").where(similar("s", "hs", similarity)).select("k", "h")
+    """The pairs (k, h, m) whose shingle sets have the similarity; a hub's set is repeated so that about SPREAD pairs meet each copy."""
+    salts = F.ceil(F.col("m") / SPREAD).cast("int")
+    pairs = written(pairs)
+    hubs = pairs.groupBy("h").agg(F.max("m").alias("m"))
+    copies = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    other = sets.select(F.col("k").alias("h"), F.col("s").alias("hs")).join(hubs, "h").select("h", "hs", copies)
+    mine = pairs.join(sets.select("k", "s"), "k").select("k", "h", "s", F.pmod(F.xxhash64("k"), salts).cast("int").alias("salt"))
+    return mine.join(other, ["h", "salt"]).where(similar("s", "hs", similarity)).select("k", "h")
 
 
 def hub_pairs(found: DataFrame, rows: int) -> DataFrame:
-    """(k, h): the members of each bucket, so many rows, with HUBS of its own: rows in proportion to the bucket."""
+    """(k, h, m): the members of each bucket, so many rows, with HUBS of its own, and the largest bucket that brings them together."""
     own = F.array_distinct(F.array(*[F.min_by("k", F.xxhash64(F.lit(i), F.col("k"))) for i in range(HUBS)]))
     hubs = found.groupBy("band").agg(F.count("*").alias("m"), own.alias("hubs"))
-    pairs = join_counted(found, hubs, ["band"], "m", rows).select("k", F.explode("hubs").alias("h")).where("k <> h")
-    return pairs.select(F.greatest("k", "h").alias("k"), F.least("k", "h").alias("h")).distinct()
+    pairs = join_counted(found, hubs, ["band"], "m", rows).select("k", "m", F.explode("hubs").alias("h"))
+    return pairs.where("k <> h").groupBy("k", "h").agg(F.max("m").alias("m"))
 
 
 def units(labelled: DataFrame, rows: int, sets: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:

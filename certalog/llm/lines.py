@@ -16,13 +16,20 @@ _RUN, _SIGNS = r"[0-9A-Za-z\x80-⹿]", r"[!-/:-@\[-`{-~]"
 
 
 def shingles(line: Column) -> Column:
-    """The SHINGLE characters from each word's start on, and from every seventh character on in longer words; fewer at the line's end.
+    """All runs of SHINGLE characters of the line; a shorter line is one."""
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.when(F.size(every) > 0, every).otherwise(F.array(line))
+
+
+def anchored(line: Column) -> Column:
+    """Those runs of SHINGLE characters, fewer at the line's end, that begin at a word or more than SHINGLE letters before the end of one.
 
     A word is a run of letters and digits with the signs after it, a run of signs, or one character beyond U+2E7F, where scripts go
-    without spaces. Every character of the line, spaces inside it included, is in a shingle, and an edit within a word
-    leaves the shingles of all others but the one before as they are.
+    without spaces. Every character of the line is in one. Where they begin depends on the characters next to them alone, so an edit leaves
+    all others as they are, in long words and scripts without spaces too; they stand for all shingles where candidates are looked for.
     """
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:{_RUN}{{1,{SHINGLE - 1}}}|\S){_SIGNS}*\s*"), F.lit(1))
+    word = rf"(?:{_RUN}{{1,{SHINGLE}}}(?!{_RUN})|\S){_SIGNS}*\s*"
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}})){word}"), F.lit(1))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -38,17 +45,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def signatures(lines: DataFrame) -> DataFrame:
     """(k1, k2, n, bands): for each distinct line how often it occurs and one hash for each band of ROWS min-hashes.
 
-    A min-hash is the least xor of a seeded constant with the shingles' hashes. Shingles are exploded and aggregated within
+    A min-hash is the least xor of a seeded constant with the anchored shingles' hashes, turned by some bits so that others decide which
+    is least: by the same ones a few shingles would be the least of most. Shingles are exploded and aggregated within
     generated code, copies of a line map-side, so a frequent line costs no more shuffle than a rare one.
     """
-    mins = [F.min(F.col("h").bitwiseXOR(F.xxhash64(F.lit(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    each = lines.select(*LINE, F.posexplode(shingles(F.col("line"))).alias("i", "s")).select(*LINE, "i", F.xxhash64("s").alias("h"))
+    turned = lambda r: F.shiftleft("h", r).bitwiseOR(F.shiftrightunsigned("h", 64 - r)) if r else F.col("h")
+    mins = [F.min(turned(6 * (k % 10)).bitwiseXOR(F.xxhash64(F.lit(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
+    each = lines.select(*LINE, F.posexplode(anchored(F.col("line"))).alias("i", "s")).select(*LINE, "i", F.xxhash64("s").alias("h"))
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return each.groupBy(*LINE).agg(F.count_if(F.col("i") == 0).alias("n"), *mins).select(*LINE, "n", F.array(*bands).alias("bands"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, k1, k2, n, s): occurrences and set of shingle hashes of each wanted line (k1, k2)."""
+    """(k, k1, k2, n, s): occurrences and set of the hashes of all shingles of each wanted line (k1, k2)."""
     each = occurrences(docs).select(*LINE, "line").join(wanted.hint("shuffle_hash"), list(LINE), "left_semi")
     texts = each.groupBy(*LINE).agg(F.first("line").alias("line"), F.count("*").alias("n"))
     return texts.select(node().alias("k"), *LINE, "n", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"))
@@ -79,7 +88,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with text reduced to its kept lines, and n_lines and n_removed (both long) added.
 
-    Lines are linked at Jaccard similarity of their shingle sets of similarity or more, directly or through others;
+    Lines are linked at Jaccard similarity of the sets of all their shingles of similarity or more, directly or through others;
     of each component the occurrence with the smallest (doc_id, position) stays and all others go. Lines
     without a word stay. Null texts stay null with 0 lines. Rows that repeat a doc_id with the same text are one document
     and lose the same lines; a null doc_id comes first in order. Columns named n_lines or n_removed are replaced; an empty table
