@@ -170,14 +170,43 @@ class Items:
                     lo, hi = left.pop()
                     if np.isin(x, ids[lo:hi]).sum() < n - d:  # each word that isn't there costs an edit
                         continue
-                    distance, end = closest(x, ids[lo:hi])
-                    if distance <= d:
-                        back, length = closest(x[::-1], ids[lo : lo + end][::-1], anchored=True)
-                        out.append((item, lo + end - length, lo + end, distance))
-                        left += [(lo, lo + end - length), (lo + end, hi)]
+                    found = places(x, ids[lo:hi], d)
+                    out += [(item, lo + a, lo + b, distance) for a, b, distance in found]
+                    # what lies between may hold places that the text over its edge hid
+                    edges = [lo, *(lo + e for a, b, _ in found for e in (a, b)), hi]
+                    left += [gap for gap in zip(edges[::2], edges[1::2]) if found and gap[1] - gap[0] >= n - d]
         return out
 
 
+def places(x: np.ndarray, text: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of disjoint stretches of text within most edits of x, in order; the nearest are taken first, of equal ones the first to end.
+
+    The text is passed once, however often it holds x; a stretch that reaches over one taken before it is left out.
+    """
+    last = distances(x, text)
+    ends = np.flatnonzero(last <= most) + 1
+    taken, out = np.zeros(len(text) + 1, dtype=bool), []
+    for end in ends[np.argsort(last[ends - 1], kind="stable")]:
+        if taken[end - 1]:
+            continue
+        distance, length = closest(x[::-1], text[max(0, end - len(x) - most) : end][::-1], anchored=True)
+        if length and not taken[end - length : end].any():
+            taken[end - length : end] = True
+            out.append((int(end) - length, int(end), distance))
+    return sorted(out)
+
+
+def distances(x: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each word of text the least edits between x and a stretch that ends with it."""
+    steps = np.arange(len(x) + 1)
+    column, fresh, last = steps.copy(), np.zeros_like(steps), np.zeros(len(text), dtype=np.int64)
+    for k, w in enumerate(text):
+        fresh[1:] = np.minimum(column[:-1] + (x != w), column[1:] + 1)
+        column = np.minimum.accumulate(fresh - steps) + steps
+        last[k] = column[-1]
+    return last
+
+
 def closest(x: np.ndarray, text: np.ndarray, anchored: bool = False) -> tuple[int, int]:
     """(edits, end) of the stretch of text nearest to x in words inserted, deleted and replaced; the first end of several.
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -88,6 +89,29 @@ def test_items_back_to_back():
     assert sorted(own.matches(words)) == [(0, 1, 11, 0), (0, 11, 21, 0), (0, 21, 31, 1), (0, 31, 41, 0)]
 
 
+def test_an_item_repeated_takes_linear_time():
+    own = dec.Items([(1, " ".join(f"w{k % 37}" for k in range(40)))], 0.8)
+    words = dec.plain_words((" ".join(f"w{k % 37}" for k in range(40)) + " ") * 1500)
+    start = time.process_time()
+    found = own.matches(words)
+    assert sorted(found) == [(0, 40 * k, 40 * k + 40, 0) for k in range(1500)]
+    assert time.process_time() - start < 60
+
+
+def test_places_overlap_nothing_and_leave_nothing():
+    rng = random.Random(6)
+    for _ in range(300):
+        x = np.array([rng.randrange(4) for _ in range(rng.randint(3, 9))])
+        text = np.array([rng.randrange(4) for _ in range(rng.randint(1, 40))])
+        most = len(x) // 4
+        found = dec.places(x, text, most)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        for a, b, distance in found:
+            assert dec.closest(x, text[a:b], anchored=True)[0] <= distance <= most
+        assert bool(found) == (dec.distances(x, text).min() <= most)
+        assert not found or min(f[2] for f in found) == dec.distances(x, text).min()
+
+
 def test_against_brute_force():
     rng = random.Random(4)
     items = [(k, " ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(n))) for k, n in enumerate((1, 2, 3, 5, 6, 9, 12, 15))]
