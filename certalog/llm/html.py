@@ -39,6 +39,8 @@ _AWAY_TOKEN = frozenset(
 )
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
+#: Words of a block that is text for its length alone.
+LONG = 24
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "away", "place")
 #: Labelled blocks: the features above, then 1 for main text. Words are counts and links the shares of the words that are in
 #: links, of the block and of the ones before and after it (0, 0 beyond the page's ends); away says that the block is in a menu, header,
@@ -218,7 +220,7 @@ class _Blocks:
         self.blocks: list[tuple[str, int, int, int]] = []
         self.parts: list[tuple[str, bool]] = []
         #: Elements with a mark or role: the one around, whether away by name, whether an article.
-        self.around, self.away, self.body = [-1], [False], [False]
+        self.around, self.away, self.body, self.form = [-1], [False], [False], [False]
         self.open: list[tuple[str, int]] = []
         self.counts: dict[str, int] = {}
         self.link, at = False, 0
@@ -273,6 +275,7 @@ class _Blocks:
             self.around.append(self.inside())
             self.away.append(away)
             self.body.append(body)
+            self.form.append(name == "form")
             self.open.append((name, len(self.away) - 1))
         elif name in _LOOSE:
             return
@@ -303,7 +306,8 @@ class _Blocks:
     def placed(self) -> list[tuple[bool, int]]:
         """(away, place) of each block.
 
-        The article element with the most unlinked words is the page's; what is around it is layout, whatever its name.
+        The article element with the most unlinked words is the page's; what is around it is layout, whatever its name. Without one, so
+        is a form that holds most of the page.
         """
         size = [0] * len(self.away)
         for _, words, linked, e in self.blocks:
@@ -316,6 +320,8 @@ class _Blocks:
         while e > 0:
             layout.add(e)
             e = self.around[e]
+        if not bodies:
+            layout |= {e for e in range(1, len(size)) if self.form[e] and 2 * size[e] > size[0]}
         away, body = [False], [False]
         for e in range(1, len(size)):
             away.append(away[self.around[e]] or (self.away[e] and e not in layout))
@@ -328,11 +334,14 @@ def main_text(page: str | None, tree) -> str:
     if not page:
         return ""
     found = _Blocks(page)
-    blocks = found.blocks
-    sizes = [(0, 0.0), *((words, min(1.0, linked / words)) for _, words, linked, _ in blocks), (0, 0.0)]
+    blocks, placed = found.blocks, found.placed()
+    # a page without an article whose blocks are all short: words count by the longest of them that may be text
+    own = [words for (_, words, linked, _), (away, place) in zip(blocks, placed) if place == 1 and not away and 2 * linked <= words]
+    scale = max(1.0, LONG / max(own)) if own else 1.0
+    sizes = [(0, 0.0), *((words * scale, min(1.0, linked / words)) for _, words, linked, _ in blocks), (0, 0.0)]
     kept = [
         block[0]
-        for k, (block, where) in enumerate(zip(blocks, found.placed()))
+        for k, (block, where) in enumerate(zip(blocks, placed))
         if label(tree, (*sizes[k + 1], *sizes[k], *sizes[k + 2], *where))
     ]
     return "\n".join(kept)

@@ -94,6 +94,10 @@ def test_text_kept_in_an_article():
     [
         (None, ""),
         ("", ""),
+        ("<nav><a href=/>Home</a></nav><p>Tyger Tyger, burning bright,</p><p>In the forests of the night;</p><div class=footer>Imprint</div>", "Tyger Tyger, burning bright,\nIn the forests of the night;"),
+        ("<nav><a href=/>Home</a></nav><h1>News today</h1><p>The shop is closed.</p>", "News today\nThe shop is closed."),
+        ("<body><form id=aspnetForm><ul class=menu><li>Home</li></ul><p>The shop is closed until the end of the week, for all who ask.</p><input></form>", "The shop is closed until the end of the week, for all who ask."),
+        ("<p>The shop is closed until the end of the week, for all who ask.</p><form>Your name <input></form>", "The shop is closed until the end of the week, for all who ask."),
         ("   ", ""),
         ("<p>Plain words stand here.</p>", "Plain words stand here."),
         ("<article><p>a &amp; b &lt;c&gt; &eacute;&#33;&#x3f;</p></article>", "a & b <c> é!?"),
