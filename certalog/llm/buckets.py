@@ -30,13 +30,23 @@ def members(signed: DataFrame, rows: int, bands: int) -> DataFrame:
     return written(join_counted(keyed, shared, ["band"], "m", bands * rows).select("band", node().alias("k"), "k1", "k2"))
 
 
-def similar(s: str, hs: str, similarity: float) -> Column:
-    """Whether two shingle sets have the Jaccard similarity; sizes that rule it out are looked at first."""
-    n, hn, shared = F.size(s), F.size(hs), F.size(F.array_intersect(s, hs))
-    return (F.least(n, hn) >= similarity * F.greatest(n, hn)) & (shared >= similarity * (n + hn - shared))
+def similar(s: str, hs: str, similarity: float, shingled: Callable[[Column], Column] | None = None) -> Column:
+    """Whether two shingle sets have the Jaccard similarity; sizes that rule it out are looked at first.
 
+    shingled: what makes a set of a column, if it holds texts: they are a fraction of their sets' size, so they travel in their stead.
+    """
+
+    def near(a: Column, b: Column) -> Column:
+        n, hn, shared = F.size(a), F.size(b), F.size(F.array_intersect(a, b))
+        return (F.least(n, hn) >= similarity * F.greatest(n, hn)) & (shared >= similarity * (n + hn - shared))
+
+    if shingled is None:
+        return near(F.col(s), F.col(hs))
+    both = F.array(F.struct(shingled(F.col(s)).alias("a"), shingled(F.col(hs)).alias("b")))
+    return F.transform(both, lambda p: near(p["a"], p["b"]))[0]  # each set is made once
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float, shingled: Callable[[Column], Column] | None = None) -> DataFrame:
     """The pairs (k, h, m) whose shingle sets have the similarity; a hub's set is repeated so that about SPREAD pairs meet each copy."""
     salts = F.ceil(F.col("m") / SPREAD).cast("int")
     pairs = written(pairs)
@@ -44,7 +54,7 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
     other = sets.select(F.col("k").alias("h"), F.col("s").alias("hs")).join(hubs, "h").select("h", "hs", copies)
     mine = pairs.join(sets.select("k", "s"), "k").select("k", "h", "s", F.pmod(F.xxhash64("k"), salts).cast("int").alias("salt"))
-    return mine.join(other, ["h", "salt"]).where(similar("s", "hs", similarity)).select("k", "h")
+    return mine.join(other, ["h", "salt"]).where(similar("s", "hs", similarity, shingled)).select("k", "h")
 
 
 def hub_pairs(found: DataFrame, rows: int) -> DataFrame:
@@ -77,22 +87,30 @@ def units(labelled: DataFrame, rows: int, sets: DataFrame, *kept: str) -> tuple[
     return own, other
 
 
-def across(labelled: DataFrame, rows: int, sets: DataFrame, similarity: float) -> DataFrame:
+def across(labelled: DataFrame, rows: int, sets: DataFrame, similarity: float, shingled: Callable[[Column], Column] | None = None) -> DataFrame:
     """(k, h): the links between members of a bucket that are in different components. Rows that leave the join are links, not candidates."""
     own, other = units(labelled, rows, sets, "s")
     apart = (F.col("c") != F.col("hc")) & (F.col("led") | (F.col("k") < F.col("h")))
-    return own.join(other, ["band", "bi", "bj"]).where(apart & similar("s", "hs", similarity)).select("k", "h")
+    return own.join(other, ["band", "bi", "bj"]).where(apart & similar("s", "hs", similarity, shingled)).select("k", "h")
 
 
-def connected(found: DataFrame, sets: DataFrame, similarity: float, rest: Callable[[DataFrame, int, DataFrame, float], DataFrame] = across) -> DataFrame:
+def connected(
+    found: DataFrame,
+    sets: DataFrame,
+    similarity: float,
+    rest: Callable[[DataFrame, int, DataFrame, float], DataFrame] | None = None,
+    shingled: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """(node, component) of the members (band, k) that have links by exact Jaccard similarity of their sets (k, s); a written table.
 
+    s may be a text that shingled makes a set of.
+
     Members of a bucket are compared with some hubs of it, so that large groups become components at once; then all that are still in
     different components are compared. No link between two members of a bucket is lost.
     """
     rows = found.count()
-    stars = components(alike(hub_pairs(found, rows), sets, similarity), "k", "h")
+    stars = components(alike(hub_pairs(found, rows), sets, similarity, shingled), "k", "h")
     named = stars.withColumnsRenamed({"node": "k", "component": "c"})
     labelled = written(found.select("band", "k").join(named, "k", "left").select("band", "k", F.coalesce("c", "k").alias("c")))
-    more = rest(labelled, rows, sets, similarity)
+    more = rest(labelled, rows, sets, similarity) if rest else across(labelled, rows, sets, similarity, shingled)
     return components(stars.select(F.col("node").alias("k"), F.col("component").alias("h")).unionByName(more), "k", "h")

@@ -56,11 +56,16 @@ def signatures(lines: DataFrame) -> DataFrame:
     return each.groupBy(*LINE).agg(F.count_if(F.col("i") == 0).alias("n"), *mins).select(*LINE, "n", F.array(*bands).alias("bands"))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, k1, k2, n, s): occurrences and set of the hashes of all shingles of each wanted line (k1, k2)."""
+def shingle_set(line: Column) -> Column:
+    """The hashes of all shingles of a line."""
+    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
+
+
+def wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k, k1, k2, n, s): occurrences and text of each wanted line (k1, k2)."""
     each = occurrences(docs).select(*LINE, "line").join(wanted.hint("shuffle_hash"), list(LINE), "left_semi")
     texts = each.groupBy(*LINE).agg(F.first("line").alias("line"), F.count("*").alias("n"))
-    return texts.select(node().alias("k"), *LINE, "n", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"))
+    return texts.select(node().alias("k"), *LINE, "n", F.col("line").alias("s"))
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -74,8 +79,8 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         lines, total = signed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         found = members(signed, lines, BANDS)
         copies = signed.where("n > 1").select(*LINE, "n")
-        sets = written(shingle_sets(docs, found.select(*LINE).distinct()))
-        known = connected(found, sets, similarity).join(sets, F.col("node") == F.col("k")).select(*LINE, "n", F.col("component").alias("c"))
+        sets = written(wanted_lines(docs, found.select(*LINE).distinct()))
+        known = connected(found, sets, similarity, shingled=shingle_set).join(sets, F.col("node") == F.col("k")).select(*LINE, "n", F.col("component").alias("c"))
         alone = copies.join(known, list(LINE), "left_anti").select(*LINE, "n", node().alias("c"))
         seen = occurrences(docs).select("doc_id", "th", "pos", *LINE)
         groups = written(join_counted(seen, known.unionByName(alone), list(LINE), "n", total).select("doc_id", "th", "pos", "c"))
