@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def bound(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of c, which is computed once a row, however often body names it."""
+    return F.transform(F.array(c), body)[0]
+
+
 def _forms() -> tuple[dict[str, str], dict[str, str], list[str]]:
     """Characters whose compatibility form (NFKC) has other letters, digits, Han characters or blanks: those of one and of several, and
     pairs of an ASCII letter and a mark that make one character, which keys don't keep."""
@@ -45,11 +50,12 @@ def half_width(c: Column) -> Column:
     Full-width and enclosed characters, Roman numerals, units, fractions and the like become what they stand for; a letter with
     a mark of its own that makes one character goes with the mark. Only texts that have a form of several characters are looked at by character.
     """
-    table = F.create_map(*[F.lit(x) for p in _SEVERAL.items() for x in p])
-    plain = F.translate(c, "".join(_ONE), "".join(_ONE.values()))
-    spread = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    whole = F.when(plain.rlike(f"[{''.join(_SEVERAL)}]"), spread).otherwise(plain)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(whole, "|".join(_PAIRS), "")).otherwise(c)
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in _SEVERAL.items())), F.lit("\x02"), F.lit("\x01"))  # one literal
+    several, marked = "".join(_SEVERAL), rf"(?=[A-Za-z][\x{{300}}-\x{{36F}}])(?:{'|'.join(_PAIRS)})"
+    spread = lambda t: F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    whole = lambda t: F.when(F.translate(t, several, "") != t, spread(t)).otherwise(t)
+    form = lambda x: F.regexp_replace(bound(F.translate(x, "".join(_ONE), "".join(_ONE.values())), whole), marked, "")
+    return bound(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), form(x)).otherwise(x))
 
 
 #: What begins a certificate number: up to six Han characters, the last one this (fixed value).
@@ -65,15 +71,14 @@ def registration_key(c: Column) -> Column:
     """
     first = F.get(F.split(F.trim(c), r"[，,;；|\\s]+"), 0)
     clean = F.regexp_replace(F.upper(F.regexp_replace(half_width(first), r"\s+", "")), f"[^0-9A-Z{CJK}]+", "")
-    parts = F.regexp_extract_all(clean, F.lit(f"({_ANCHOR}.*?)(?={_ANCHOR}|$)"), F.lit(1))
-    good = F.filter(parts, lambda x: (F.length(x) <= 120) & (F.length(F.regexp_replace(x, "[^0-9]", "")) >= 6))
-    whole = F.when(F.length(clean) <= 120, clean)
-    own = F.get(parts, 0)
-    return (
-        F.when(clean == "", None)
-        .when((F.size(parts) >= 2) & F.exists(F.slice(good, 1, 1), lambda x: x == own), own)
-        .otherwise(F.coalesce(whole, F.get(good, 0)))
-    )
+    fits = lambda x: (F.length(x) <= 120) & (F.length(F.regexp_replace(x, "[^0-9]", "")) >= 6)
+
+    def chosen(clean: Column, parts: Column) -> Column:
+        own, whole = F.get(parts, 0), F.when(F.length(clean) <= 120, clean)
+        return F.when((F.size(parts) >= 2) & fits(own), own).otherwise(F.coalesce(whole, F.get(F.filter(parts, fits), 0)))
+
+    numbers = lambda x: F.regexp_extract_all(x, F.lit(f"({_ANCHOR}.*?)(?={_ANCHOR}|$)"), F.lit(1))
+    return bound(clean, lambda x: F.when(x == "", None).otherwise(bound(numbers(x), lambda parts: chosen(x, parts))))
 
 
 def loose_key(c: Column) -> Column:

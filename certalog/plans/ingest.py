@@ -60,9 +60,10 @@ def raw_rows(spark, d) -> DataFrame:
         "name": name, "reg_no": number, "udi_di": di, "status": status, "approved_date": F.date_format("approval_date", "yyyy/MM/dd"),
         "expiry_date": F.col("expiry_date").cast("string"), "company_name": F.col("company"), "company_country": F.col("country"), "class_name": _mapped(F.col("p_type"), CODES, ""),
     }
-    cells = [F.when(F.col("line") % len(names) == k, values[f].cast("string")).alias(f"_raw_{n}") for f, names in COLUMNS.items() for k, n in enumerate(names)]
     registry = F.when(q % 11 == 0, F.lit("国械注准20200001")).when(q % 3 == 0, F.col("registration_no")).alias("registry_no")
-    return rows.select(*_KEY, *cells, registry).withColumnsRenamed({f"_raw_{n}": n for names in COLUMNS.values() for n in names})
+    rows = rows.select(*_KEY, registry, *[v.cast("string").alias(f"_value_{f}") for f, v in values.items()])
+    cells = [F.when(F.col("line") % len(names) == k, F.col(f"_value_{f}")).alias(f"_raw_{n}") for f, names in COLUMNS.items() for k, n in enumerate(names)]
+    return rows.select(*_KEY, *cells, "registry_no").withColumnsRenamed({f"_raw_{n}": n for names in COLUMNS.values() for n in names})
 
 
 def _case(c: str, names: dict[str, str], default: str) -> str:

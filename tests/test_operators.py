@@ -59,3 +59,10 @@ def test_scalars(spark):
         tables.set_similarity(tables.trigrams(F.lit("word")), tables.trigrams(F.col("s"))).alias("s"), text.company_key(F.lit("Acme Co Ltd"), ["CO", "LTD"]).alias("c"),
     ).first()
     assert (r.p, r.d, r.h, round(r.s, 4), r.c) == (12345.6, "2024-03-05", ["pcr"], 0.3636, "ACME")
+
+
+def test_keys_read_their_text_once(spark):
+    df = spark.createDataFrame([("国械注准２０２３３４０００１Á㎎",), ("éx1",), (None,)], "n string")
+    keys = df.select(text.registration_key(F.upper("n")).alias("k"), text.half_width(F.upper("n")).alias("h"))
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("upper(n") == 2
+    assert [r.k for r in keys.collect()] == ["国械注准2023340001MG", "X1", None]
