@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from certalog.functions.text import bound
 from certalog.operators.tables import set_similarity, trigrams
 
 
@@ -45,16 +46,35 @@ def _grams(c: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+#: Terms and their characters up to which every text is searched for all of them; beyond, texts and terms meet at rare stretches.
+FEW_TERMS, FEW_CHARACTERS = 1_000, 50_000
+
+
+def are_few(terms: DataFrame) -> bool:
+    """Whether the terms (one column) are few and short enough to go with every task."""
+    n, size = terms.agg(F.count("*"), F.coalesce(F.sum(F.length(terms.columns[0])), F.lit(0))).first()
+    return n <= FEW_TERMS and size <= FEW_CHARACTERS
+
+
 def contained_terms(texts: DataFrame, terms: DataFrame, size: int = 3) -> DataFrame:
     """(id, term): which terms stand within which texts; texts: (id, text), terms: (term); each pair once, ids are unique.
 
-    Every term is looked for by that of its stretches of size characters which fewest texts have (the whole term if it is
-    shorter): texts meet only terms whose rarest stretch they have, and are then searched. Null and empty terms stand in no text.
+    A few terms go to every text, which is searched for each, without a shuffle. Of more, every term is looked for by that of its stretches of
+    size characters which fewest texts have (the whole term if it is shorter): texts meet only terms whose rarest stretch they have, and are
+    then searched. Null and empty terms stand in no text.
     """
     t = terms.select(F.col(terms.columns[0]).alias("term")).where("term is not null and term <> ''").distinct()
+    body = texts.select(F.col(texts.columns[0]).alias("id"), F.col(texts.columns[1]).alias("text"))
+    if are_few(t):
+        every = body.join(F.broadcast(t.agg(F.collect_list("term").alias("terms"))))
+        within = lambda b: F.filter(b["terms"], lambda term: F.contains(b["text"], term))
+        return every.select("id", F.explode(bound(F.struct("text", "terms"), within)).alias("term"))
+    return _contained_by_grams(body.where("text is not null"), t, size)
+
+
+def _contained_by_grams(body: DataFrame, t: DataFrame, size: int) -> DataFrame:
     own = t.select("term", F.explode(F.when(F.length("term") < size, F.array("term")).otherwise(_grams(F.col("term"), size))).alias("g"))
     known = own.select("g").distinct()
-    body = texts.select(F.col(texts.columns[0]).alias("id"), F.col(texts.columns[1]).alias("text")).where("text is not null")
     has = lambda s: body.select("id", F.explode(_grams(F.col("text"), s)).alias("g"))
     met = has(size)
     for short in t.where(F.length("term") < size).select(F.length("term").alias("n")).distinct().collect():  # fewer than size

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certalog.functions.fields import norm_key, norm_token
-from certalog.operators.matching import best_rounded, contained_terms, similar_texts
+from certalog.functions.text import once
+from certalog.operators.matching import are_few, best_rounded, contained_terms, similar_texts
 from certalog.operators.tables import set_similarity, trigrams
 from certalog.plans.binding import SQL
 from certalog.plans.ingest import ADJECTIVES, NOUNS, _case, _mapped
@@ -48,11 +49,24 @@ def map_texts(blobs: DataFrame, nodes: DataFrame) -> DataFrame:
     Of each node the first key that the whole blob holds counts: by its params, else its raw text, else its names, else it spans them.
     """
     whole = norm_key(F.concat_ws(" ", F.coalesce("raw", F.lit("")), F.coalesce("names", F.lit("")), F.coalesce("params", F.lit(""))))
-    found = contained_terms(blobs.select("id", whole.alias("text")), ordered_keys(nodes).select("key"))
-    first = found.withColumnRenamed("term", "key").join(ordered_keys(nodes), "key").groupBy("id", "node").agg(F.min(F.struct("place", "key")).alias("f"))
-    has = lambda c: F.coalesce(F.contains(norm_key(F.col(c)), F.col("f.key")), F.lit(False))
-    confidence = F.when(has("params"), BY_PARAMS).when(has("raw"), BY_RAW).when(has("names"), BY_NAMES).otherwise(BY_ALL)
-    return first.join(blobs, "id").select("id", "node", confidence.alias("confidence"))
+    keys = ordered_keys(nodes)
+    if not are_few(keys.select("key")):
+        found = contained_terms(blobs.select("id", whole.alias("text")), keys.select("key"))
+        first = found.withColumnRenamed("term", "key").join(keys, "key").groupBy("id", "node").agg(F.min(F.struct("place", "key")).alias("f"))
+        parts = first.join(blobs, "id").select("id", "node", F.col("f.key").alias("key"), *[norm_key(F.col(c)).alias(c) for c in ("raw", "names", "params")])
+        return parts.select("id", "node", _confidence(parts, F.col("key")).alias("confidence"))
+    ordered = keys.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("keys")).agg(F.collect_list(F.struct("node", "keys")).alias("nodes"))
+    texts = once(blobs.select("id", "raw", "names", "params"), _whole=whole, **{f"_{c}": norm_key(F.col(c)) for c in ("raw", "names", "params")}).join(F.broadcast(ordered))
+    own = lambda n: F.get(F.filter(n["keys"], lambda k: F.contains("_whole", k["key"])), 0)["key"]
+    held = F.filter(F.transform("nodes", lambda n: F.struct(n["node"].alias("node"), own(n).alias("key"))), lambda x: x["key"].isNotNull())
+    hits = texts.select("id", F.col("_raw").alias("raw"), F.col("_names").alias("names"), F.col("_params").alias("params"), F.explode(held).alias("h"))
+    return hits.select("id", "h.node", _confidence(hits, F.col("h.key")).alias("confidence"))
+
+
+def _confidence(parts: DataFrame, key: Column) -> Column:
+    """By the first of params, raw and names (as keys) that has the key, else that they have it together."""
+    has = lambda c: F.coalesce(F.contains(parts[c], key), F.lit(False))
+    return F.when(has("params"), BY_PARAMS).when(has("raw"), BY_RAW).when(has("names"), BY_NAMES).otherwise(BY_ALL)
 
 
 def map_products(products: DataFrame, master: DataFrame, rules: dict = RULES) -> DataFrame:

@@ -124,3 +124,22 @@ def test_lots(spark):
     ).collect()
     assert sorted((r.lot_id, r["rank"], r.registration_id, r.confidence) for r in got) == lots(rows, products, raws, mapped)
     assert {r.lot_id for r in got} >= {102, 103}
+
+
+def test_contained_terms_few_and_many_alike(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, f"KEY{k % 7}REST{k % 3}") for k in range(60)] + [(99, None)], "id long, text string")
+    terms = spark.createDataFrame([(f"KEY{k}",) for k in range(5)] + [("RE",), ("T1",)], "term string")
+    few = matching.contained_terms(texts, terms)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "SortMergeJoin" not in plan  # texts go through no shuffle
+    monkeypatch.setattr(matching, "FEW_TERMS", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, matching.contained_terms(texts, terms).collect()))
+
+
+def test_map_texts_few_and_many_alike(spark, monkeypatch):
+    nodes = spark.createDataFrame([(k, f"node {k}", [f"w{k}", f"x{k % 3}"]) for k in range(8)], "node int, name string, synonyms array<string>")
+    rows = [(k, f"raw w{k % 9}" if k % 4 else None, f"node {k % 5}, x{k % 2}", f"w{k % 3}" if k % 5 else None) for k in range(40)]
+    blobs = spark.createDataFrame(rows, "id int, raw string, names string, params string")
+    few = sorted(map(tuple, plans.map_texts(blobs, nodes).collect()))
+    monkeypatch.setattr(matching, "FEW_TERMS", 0)
+    assert few and few == sorted(map(tuple, plans.map_texts(blobs, nodes).collect()))
