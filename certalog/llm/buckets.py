@@ -16,6 +16,10 @@ BLOCK = 512
 HUBS = 8
 #: Members of a bucket that meet one copy of a hub.
 SPREAD = 4096
+#: Numbers of 64 bits of a text's sketch; a power of two.
+WORDS = 16
+#: What members of a bucket carry to a comparison: their set, or their text and its sketch.
+CARRIED = ("s", "b", "z")
 
 
 def node(k1: str = "k1", k2: str = "k2") -> Column:
@@ -33,7 +37,8 @@ def members(signed: DataFrame, rows: int, bands: int) -> DataFrame:
 def similar(s: str, hs: str, similarity: float, shingled: Callable[[Column], Column] | None = None) -> Column:
     """Whether two shingle sets have the Jaccard similarity; sizes that rule it out are looked at first.
 
-    shingled: what makes a set of a column, if it holds texts: they are a fraction of their sets' size, so they travel in their stead.
+    shingled: what makes a set of a column, if it holds texts: they are a fraction of their sets' size, so they travel in their stead, with
+    a sketch each (b, z; see sketched). Sets of one pair differ by at least the bits in which its sketches do, so most pairs make no set.
     """
 
     def near(a: Column, b: Column) -> Column:
@@ -42,8 +47,22 @@ def similar(s: str, hs: str, similarity: float, shingled: Callable[[Column], Col
 
     if shingled is None:
         return near(F.col(s), F.col(hs))
+    apart = sum((F.bit_count(F.get("b", i).bitwiseXOR(F.get("hb", i))) for i in range(WORDS)), F.lit(0))
+    may = apart * (1 + similarity) <= (1 - similarity) * (F.col("z") + F.col("hz")) + 1e-6
     both = F.array(F.struct(shingled(F.col(s)).alias("a"), shingled(F.col(hs)).alias("b")))
-    return F.transform(both, lambda p: near(p["a"], p["b"]))[0]  # each set is made once
+    return may & F.transform(both, lambda p: near(p["a"], p["b"]))[0]  # each set is made once
+
+
+def sketched(texts: DataFrame, every: Callable[[Column], Column], most: Column) -> DataFrame:
+    """texts (k unique, s) with b, the bits that the hashes of the members of a text's set name, as WORDS numbers, and z, at least the set's size.
+
+    every: all members of the set of a text, repeats allowed. They are exploded and aggregated within generated code.
+    """
+    hashed = texts.select("k", F.explode(every(F.col("s"))).alias("x")).select("k", F.xxhash64("x").alias("x"))
+    word, bit = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+    words = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(WORDS)]
+    bits = hashed.groupBy("k").agg(*words).select("k", F.array(*[f"b{i}" for i in range(WORDS)]).alias("b"))
+    return texts.join(bits, "k").withColumn("z", most)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float, shingled: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -52,8 +71,9 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float, shingled: Callab
     pairs = written(pairs)
     hubs = pairs.groupBy("h").agg(F.max("m").alias("m"))
     copies = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
-    other = sets.select(F.col("k").alias("h"), F.col("s").alias("hs")).join(hubs, "h").select("h", "hs", copies)
-    mine = pairs.join(sets.select("k", "s"), "k").select("k", "h", "s", F.pmod(F.xxhash64("k"), salts).cast("int").alias("salt"))
+    own = CARRIED if shingled else CARRIED[:1]
+    other = sets.select(F.col("k").alias("h"), *[F.col(c).alias(f"h{c}") for c in own]).join(hubs, "h").select("h", *[f"h{c}" for c in own], copies)
+    mine = pairs.join(sets.select("k", *own), "k").select("k", "h", *own, F.pmod(F.xxhash64("k"), salts).cast("int").alias("salt"))
     return mine.join(other, ["h", "salt"]).where(similar("s", "hs", similarity, shingled)).select("k", "h")
 
 
@@ -89,7 +109,7 @@ def units(labelled: DataFrame, rows: int, sets: DataFrame, *kept: str) -> tuple[
 
 def across(labelled: DataFrame, rows: int, sets: DataFrame, similarity: float, shingled: Callable[[Column], Column] | None = None) -> DataFrame:
     """(k, h): the links between members of a bucket that are in different components. Rows that leave the join are links, not candidates."""
-    own, other = units(labelled, rows, sets, "s")
+    own, other = units(labelled, rows, sets, *(CARRIED if shingled else CARRIED[:1]))
     apart = (F.col("c") != F.col("hc")) & (F.col("led") | (F.col("k") < F.col("h")))
     return own.join(other, ["band", "bi", "bj"]).where(apart & similar("s", "hs", similarity, shingled)).select("k", "h")
 
@@ -103,7 +123,7 @@ def connected(
 ) -> DataFrame:
     """(node, component) of the members (band, k) that have links by exact Jaccard similarity of their sets (k, s); a written table.
 
-    s may be a text that shingled makes a set of.
+    s may be a text that shingled makes a set of; sets is then sketched.
 
     Members of a bucket are compared with some hubs of it, so that large groups become components at once; then all that are still in
     different components are compared. No link between two members of a bucket is lost.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certalog.llm.buckets import connected, members, node
+from certalog.llm.buckets import connected, members, node, sketched
 from certalog.llm.common import join_counted, kept, scratch, table, written
 
 #: Characters of a shingle, bands and hashes of a band, least Jaccard similarity of linked lines.
@@ -68,6 +68,11 @@ def wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select(node().alias("k"), *LINE, "n", F.col("line").alias("s"))
 
 
+def sketched_lines(texts: DataFrame) -> DataFrame:
+    """Lines with sketches of all their shingles, of which there are at most so many as characters."""
+    return sketched(texts, shingles, F.greatest(F.length("s") - SHINGLE + 1, F.lit(1)))
+
+
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, th, gone): the positions of the lines that go from each document that loses any; a written table.
 
@@ -79,7 +84,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         lines, total = signed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         found = members(signed, lines, BANDS)
         copies = signed.where("n > 1").select(*LINE, "n")
-        sets = written(wanted_lines(docs, found.select(*LINE).distinct()))
+        sets = written(sketched_lines(written(wanted_lines(docs, found.select(*LINE).distinct()))))
         known = connected(found, sets, similarity, shingled=shingle_set).join(sets, F.col("node") == F.col("k")).select(*LINE, "n", F.col("component").alias("c"))
         alone = copies.join(known, list(LINE), "left_anti").select(*LINE, "n", node().alias("c"))
         seen = occurrences(docs).select("doc_id", "th", "pos", *LINE)

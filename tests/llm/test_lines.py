@@ -201,3 +201,20 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a line\nand a line"), (2, "a line")], "doc_id long, text string")
     plan = lines.dedup(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_sketches_spare_the_sets_of_unlike_lines_and_lose_no_link(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh国") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 120))) for _ in range(60)] + ["a", "abcdefg", "国", ""]
+    texts += [t[: len(t) // 2] + rng.choice("xyz") + t[len(t) // 2 :] for t in texts[:60]]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string")
+    each = lines.sketched_lines(rows).collect()
+    assert len(each) == len(texts) and all(r.z >= len(shingle_set(r.s)) for r in each)
+    spared = 0
+    for i, a in enumerate(each):
+        for b in each[:i]:
+            far = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a.b, b.b)) * 1.8 > 0.2 * (a.z + b.z) + 1e-6
+            spared += far
+            assert not far or similarity(shingle_set(a.s), shingle_set(b.s)) < 0.8
+    assert spared > 0.9 * len(each) * (len(each) - 1) / 2
