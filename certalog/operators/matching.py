@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from certalog.functions.text import bound
+from certalog.functions.text import bound, once
 from certalog.operators.tables import set_similarity, trigrams
+from certalog.session import staged
 
 
 def _rarest_first(texts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -37,10 +41,91 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     m, n = F.col("m"), F.col("n")
     enough = F.least(m - F.col("i"), n - F.col("j")) >= (m + n) * (least / (1 + least)) - 1e-9  # even if all that come after are shared
     near = a.join(b, "g").where((m * least <= n) & (n * least <= m) & enough).select("a", "b").distinct()
-    near = near.join(sides[0].withColumnsRenamed({"s": "a", "t": "t_a"}), "a").join(sides[1].withColumnsRenamed({"s": "b", "t": "t_b"}), "b")
+    sets = [s.withColumnsRenamed({"s": c, "t": f"t_{c}"}).hint("merge") for s, c in zip(sides, "ab")]  # sets of trigrams are many times their texts' size
+    near = near.join(sets[0], "a").join(sets[1], "b")
     return near.select("a", "b", set_similarity(F.col("t_a"), F.col("t_b")).alias("score")).where(F.col("score") > least)
 
 
+#: Different trigrams of queries up to which every text is held against all of them; beyond, texts and trigrams are joined.
+FEW_GRAMS = 4_000
+#: Queries and kinds of text of one block of comparisons.
+QUERY_BLOCK, KIND_BLOCK = 2_048, 4_096
+
+
+def _kinds(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """rows (s, ids, t) as (shared, n, id): which of grams each text has, in order and as one text, and how many trigrams of its own."""
+    if grams.count() <= FEW_GRAMS:
+        every = rows.join(F.broadcast(grams.agg(F.sort_array(F.collect_list("g")).alias("all"))))
+        made = once(every, shared=F.array_join(F.array_intersect("all", "t"), "\n"), n=F.size("t")).where("shared <> ''")
+        return made.select("shared", "n", F.explode("ids").alias("id"))
+    each = rows.select("s", "ids", F.size("t").alias("n"), F.explode("t").alias("g")).join(grams, "g")
+    made = each.groupBy("s", "n").agg(F.first("ids").alias("ids"), F.array_join(F.sort_array(F.collect_set("g")), "\n").alias("shared"))
+    return made.select("shared", "n", F.explode("ids").alias("id"))
+
+
+def _best_kinds(least: float, most: int):
+    """Of a block of queries and one of kinds: of each query the most kinds of the best scores above least, ties by smaller lowest id."""
+
+    def best(queries: pa.Table, kinds: pa.Table) -> pa.Table:
+        kinds = kinds.take(pc.sort_indices(kinds["low"])) if kinds.num_rows else kinds
+        sets = [pc.split_pattern(t[c].combine_chunks(), "\n") for t, c in ((queries, "grams"), (kinds, "shared"))]
+        grams = pc.unique(sets[0].flatten())
+        held = []
+        for s in sets:
+            m = np.zeros((len(s), len(grams)), np.float32)
+            column = pc.index_in(s.flatten(), value_set=grams)
+            there = pc.is_valid(column).to_numpy(zero_copy_only=False)
+            m[pc.list_parent_indices(s).to_numpy()[there], column.drop_null().to_numpy()] = 1
+            held.append(m)
+        shared = (held[0] @ held[1].T).astype(np.float64)
+        score = shared / (queries["m"].to_numpy()[:, None] + kinds["n"].to_numpy()[None, :] - shared)
+        at, kind = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, of in enumerate(score):
+            near = np.flatnonzero(of > least)
+            if len(near) > most:
+                near = near[of[near] >= np.partition(of[near], -most)[-most]]
+            near = near[np.argsort(-of[near], kind="stable")[:most]]
+            at.append(np.full(len(near), i))
+            kind.append(near)
+        at, kind = np.concatenate(at), np.concatenate(kind)
+        return pa.table({"a": queries["a"].take(at), "shared": kinds["shared"].take(kind), "n": kinds["n"].take(kind), "score": pa.array(score[at, kind], pa.float64())})
+
+    return best
+
+
+def nearest_texts(queries: DataFrame, rows: DataFrame, least: float, first: int, repeats: int = 1) -> DataFrame:
+    """(a, id, score): of every text a of queries (one column) rows whose text's trigram set has a similarity above least, among them the
+    first ids by best score, ties by smaller id.
+
+    rows: (text, id); an id has repeats texts at most. Texts that have the same trigrams of the queries, and as many of their own, are of one
+    kind: it has one score, and its first smallest ids alone can count (so can those of a text, whose trigrams are made once). Queries and kinds are compared in blocks, of which each
+    keeps of a query first * repeats kinds, so neither pairs nor the trigrams of texts are ever listed. Nulls and texts without trigrams match nothing.
+    """
+    if not 0 < least < 1:
+        raise ValueError("least lies between 0 and 1")
+    most = first * repeats
+    q = queries.select(F.col(queries.columns[0]).alias("a")).where("a is not null").distinct()
+    q = once(q, t=trigrams(F.col("a"))).where(F.size("t") > 0)
+    r = rows.select(F.col(rows.columns[0]).alias("s"), F.col(rows.columns[1]).alias("id")).where("s is not null and id is not null")
+    r = r.withColumn("k", F.dense_rank().over(Window.partitionBy("s").orderBy("id"))).where(F.col("k") <= first).groupBy("s").agg(F.collect_set("id").alias("ids"))
+    kinds = _kinds(once(r, t=trigrams(F.col("s"))), q.select(F.explode("t").alias("g")).distinct())
+    few = kinds.withColumn("k", F.dense_rank().over(Window.partitionBy("shared", "n").orderBy("id"))).where(F.col("k") <= first).drop("k").distinct()
+    few = staged(few)
+    of_kind = staged(few.groupBy("shared", "n").agg(F.min("id").alias("low"), F.count("*").alias("ids")))
+    q = staged(q.select("a", F.array_join("t", "\n").alias("grams"), F.size("t").alias("m")))
+    blocks = [max(1, -(-df.count() // size)) for df, size in ((q, QUERY_BLOCK), (of_kind, KIND_BLOCK))]
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = q.select("*", F.pmod(F.xxhash64("a"), F.lit(blocks[0])).cast("int").alias("i"), every("j", blocks[1]))
+    right = of_kind.select("shared", "n", "low", F.pmod(F.xxhash64("shared", "n"), F.lit(blocks[1])).cast("int").alias("j"), every("i", blocks[0]))
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best_kinds(least, most), "a string, shared string, n int, score double")
+    met = met.join(of_kind, ["shared", "n"])
+    met = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "low"))).where(F.col("k") <= most)
+    upto, same = Window.partitionBy("a").orderBy(F.desc("score")), Window.partitionBy("a", "score")
+    better = F.sum("ids").over(upto) - F.sum("ids").over(same)  # of better kinds; the default frame takes in the equal ones
+    met = met.withColumn("better", better).where(F.col("better") < most).select("a", "shared", "n", "score")
+    return met.join(few, ["shared", "n"]).select("a", "id", "score")
+
+
 def _grams(c: Column, size: int) -> Column:
     """The different stretches of size characters; none of shorter texts."""
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certalog.functions.fields import norm_key, norm_token
 from certalog.functions.text import once
-from certalog.operators.matching import are_few, best_rounded, contained_terms, similar_texts
+from certalog.operators.matching import are_few, best_rounded, contained_terms, nearest_texts, similar_texts
 from certalog.operators.tables import set_similarity, trigrams
 from certalog.plans.binding import SQL
 from certalog.plans.ingest import ADJECTIVES, NOUNS, _case, _mapped
-from certalog.session import table
+from certalog.session import staged, table
 
 #: Confidence of a methodology by where its word stands, and of what is said of lots (fixed values).
 BY_PARAMS, BY_RAW, BY_NAMES, BY_ALL = 0.90, 0.75, 0.65, 0.60
@@ -96,33 +98,32 @@ def _of(names: dict, c: Column) -> Column:
     return F.create_map(*[F.lit(x) for p in names.items() for x in p])[c]
 
 
-def match_lots(lots: DataFrame, products: DataFrame, raws: DataFrame, nodes: DataFrame, mapped: DataFrame, first: int = 30, top: int = 3) -> DataFrame:
+def match_lots(lots: DataFrame, products: DataFrame, raws: DataFrame, nodes: DataFrame, mapped: DataFrame | Callable[[DataFrame], DataFrame], first: int = 30, top: int = 3) -> DataFrame:
     """The registrations that each lot most likely means: lot_id, registration_id, confidence, and what it is made of; at most top a lot.
 
     lots: lot_id, item, company_id; products: registration_id, name, company_id; raws: registration_id, raw (texts, may be null);
-    nodes: methodologies; mapped: registration_id, node. Considered are the first registrations of an item by the greater of
-    name and raw similarity (ties: smaller id) with a name above NAME_LEAST or a raw text above RAW_LEAST. Items without text match nothing.
+    nodes: methodologies; mapped: registration_id, node, or what gives them of some registration ids. Considered are the first registrations of an item by
+    the greater of name and raw similarity (ties: smaller id) with a name above NAME_LEAST or a raw text above RAW_LEAST. Items without text match nothing.
 
-    Different texts are compared, not rows: of each name its first smallest registration ids can be among the first alone, and so can the names
-    of rank first * (most names of a registration), so no name's or item's registrations are ever listed whole.
+    Kinds of texts are compared, not rows, so no name's or item's registrations are ever listed whole.
     """
     lots = lots.withColumn("item", F.trim("item")).where("item <> ''")
     items = lots.select("item").distinct()
     of_name = products.where("registration_id is not null and name is not null").select("name", "registration_id").distinct()
     most = of_name.groupBy("registration_id").count().agg(F.max("count")).first()[0] or 1
     rank = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    few = of_name.withColumn("k", rank("name", "registration_id")).where(F.col("k") <= first)
-    firsts = of_name.groupBy("name").agg(F.min("registration_id").alias("low"))
-    by_name = similar_texts(items, of_name.select("name"), NAME_LEAST).select(F.col("a").alias("item"), F.col("b").alias("name"), "score").join(firsts, "name")
-    by_name = by_name.withColumn("k", rank("item", F.desc("score"), "low")).where(F.col("k") <= first * most).drop("k")
-    named = by_name.join(few, "name").groupBy("item", "registration_id").agg(F.max("score").alias("s"))
-    by_raw = similar_texts(items, raws.select("raw"), RAW_LEAST).select(F.col("a").alias("item"), F.col("b").alias("raw"), F.col("score").alias("s")).join(raws, "raw").select("item", "registration_id", "s")
+    near = lambda rows, least, repeats: nearest_texts(items, rows, least, first, repeats).groupBy(F.col("a").alias("item"), F.col("id").alias("registration_id")).agg(F.max("score").alias("s"))
     best = lambda df: df.withColumn("k", rank("item", F.desc("s"), "registration_id")).where(F.col("k") <= first).select("item", "registration_id")
-    either = best(named).union(best(by_raw)).distinct()
-    sim = lambda c: set_similarity(trigrams(F.col("item")), trigrams(F.col(c)))
-    name_sim = either.join(of_name, "registration_id").groupBy("item", "registration_id").agg(F.max(sim("name")).alias("name_sim"))
-    judged = name_sim.join(raws, "registration_id", "left").withColumn("raw_sim", F.when(F.col("raw").isNull(), 0.0).otherwise(sim("raw"))).drop("raw")
-    judged = judged.withColumn("place", rank("item", F.greatest("name_sim", "raw_sim").desc(), "registration_id")).where(F.col("place") <= first)
+    either = best(near(of_name, NAME_LEAST, most)).union(best(near(raws.select("raw", "registration_id"), RAW_LEAST, 1))).distinct()
+    sim = lambda df, c: once(df, _a=trigrams(F.col("item")), _b=trigrams(F.col(c))).withColumn("_s", set_similarity(F.col("_a"), F.col("_b")))
+    either = staged(either)
+    names = either.join(of_name, "registration_id")
+    pairs = sim(names.select("item", "name").distinct(), "name").select("item", "name", "_s")
+    name_sim = names.join(pairs, ["item", "name"]).groupBy("item", "registration_id").agg(F.max("_s").alias("name_sim"))
+    judged = sim(name_sim.join(raws, "registration_id", "left"), "raw").withColumn("raw_sim", F.when(F.col("raw").isNull(), 0.0).otherwise(F.col("_s"))).drop("raw", "_a", "_b", "_s")
+    judged = staged(judged.withColumn("place", rank("item", F.greatest("name_sim", "raw_sim").desc(), "registration_id")).where(F.col("place") <= first))
+    if callable(mapped):
+        mapped = mapped(judged.select("registration_id").distinct())
     keys = ordered_keys(nodes)
     of_item = contained_terms(items.select(F.col("item").alias("id"), norm_key(F.col("item")).alias("text")), keys.select("key")).withColumnRenamed("term", "key").join(keys, "key").select(F.col("id").alias("item"), "node").distinct()
     alike = judged.select("item", "registration_id").join(mapped.select("registration_id", "node"), "registration_id").join(of_item, ["item", "node"], "left_semi").select("item", "registration_id").distinct().withColumn("method_bonus", F.lit(METHOD_BONUS))
@@ -168,13 +169,14 @@ def nodes(spark, d) -> DataFrame:
     return every.withColumn("node", F.col("name"))
 
 
-def blobs(spark, d) -> DataFrame:
-    """Texts of each registration: its record, the names of its products, and parameters of those bought in numbers."""
-    own = _named_lines(spark, d).groupBy("registration_id").agg(
+def blobs(spark, d, asked: DataFrame | None = None) -> DataFrame:
+    """Texts of each registration, or of those asked (registration_id): its record, the names of its products, and parameters of those bought in numbers."""
+    of = lambda df: df if asked is None else df.join(asked, "registration_id", "left_semi")
+    own = of(_named_lines(spark, d)).groupBy("registration_id").agg(
         F.substring(F.array_join(F.sort_array(F.collect_list("name")), " "), 1, 20_000).alias("names"),
         F.substring(F.array_join(F.sort_array(F.collect_list(F.when(F.col("quantity") >= 40, F.concat_ws(" ", "p_type", "p_brand")))), " "), 1, 20_000).alias("params"),
     )
-    return _raws(spark, d).join(own, "registration_id", "left").withColumnRenamed("registration_id", "id")
+    return of(_raws(spark, d)).join(own, "registration_id", "left").withColumnRenamed("registration_id", "id")
 
 
 def methodology_map(spark, d) -> DataFrame:
@@ -202,7 +204,8 @@ def lots(spark, d) -> DataFrame:
 
 def lot_matches(spark, d) -> DataFrame:
     products = _named_lines(spark, d).select("registration_id", "name", "company_id")
-    return match_lots(lots(spark, d), products, _raws(spark, d), nodes(spark, d), methodology_map(spark, d))
+    own = lambda asked: map_texts(blobs(spark, d, asked), nodes(spark, d)).withColumnRenamed("id", "registration_id")
+    return match_lots(lots(spark, d), products, _raws(spark, d), nodes(spark, d), own)
 
 
 def similar_names(spark, d) -> DataFrame:

@@ -143,3 +143,43 @@ def test_map_texts_few_and_many_alike(spark, monkeypatch):
     few = sorted(map(tuple, plans.map_texts(blobs, nodes).collect()))
     monkeypatch.setattr(matching, "FEW_TERMS", 0)
     assert few and few == sorted(map(tuple, plans.map_texts(blobs, nodes).collect()))
+
+
+@pytest.mark.parametrize("few", [4_000, 0])
+def test_nearest_texts_are_those_of_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW_GRAMS", few)
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(matching, "KIND_BLOCK", 5)
+    rng = random.Random(few)
+    words = ["kit", "test", "elisa", "pcr", "analyser", "reagent", "抗原"]
+    make = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+    asked = [make() for _ in range(20)] + ["", None, " - "]
+    texts = [(f"{make()} no{rng.randrange(10**6)}", rng.randrange(90)) for _ in range(300)] + [(None, 1), ("", 2), ("kit", None), ("kit", 3), ("kit", 3)]
+    repeats = max(len({t for t, k in texts if k == i}) for i in range(90))
+    made = matching.nearest_texts(spark.createDataFrame([(x,) for x in asked], "text string"), spark.createDataFrame(texts, "text string, id long"), 0.05, 4, repeats)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.a, {})[r.id] = max(r.score, got.get(r.a, {}).get(r.id, 0))
+    best = lambda scores: sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:4]
+    for a in {x for x in asked if x and grams(x)}:
+        want = {}
+        for t, k in texts:
+            if t and k is not None and similarity(a, t) > 0.05:
+                want[k] = max(similarity(a, t), want.get(k, 0))
+        assert best(got.get(a, {})) == best(want)
+    assert set(got) <= {x for x in asked if x and grams(x)}
+
+
+def test_nearest_texts_do_not_list_texts_that_share_a_word_with_every_query(spark):
+    """Numbered records share a word with every query: they are a few kinds, of which the first ids count."""
+    rows = spark.range(300_000).selectExpr("concat('registration no', id) text", "id")
+    asked = spark.range(400).selectExpr("concat('registration of kind', id) text")
+    got = matching.nearest_texts(asked, rows, 0.05, 3)
+    assert got.groupBy("a").count().where("count >= 3").count() == 400 and got.count() < 400 * 100
+
+
+def test_sets_of_trigrams_are_not_broadcast(spark):
+    texts = spark.range(50).selectExpr("concat('registration no', id) text")
+    plan = matching.similar_texts(texts, texts, 0.2)._jdf.queryExecution().sparkPlan().toString()
+    assert all("t_a" not in line and "t_b" not in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+    assert plan.count("SortMergeJoin") >= 2
