@@ -12,7 +12,7 @@ from certalog.plans.binding import ASOF, SQL, changes, lines, products, registra
 from certalog.plans.ingest import COLUMNS, CODES, MAPPED_SQL, OUTCOME_SQL, RAW_SQL, _case, _mapped, _class_sql, _DEVICE, mapped_records, outcomes, raw_rows
 from certalog.plans.reads import VARIANT_SQL, ratio, variants
 from certalog.plans.scores import newest
-from certalog.session import table
+from certalog.session import spread, table
 
 _CUT = "1998-06-01"
 
@@ -187,7 +187,7 @@ def diff_report(spark, d) -> DataFrame:
 
 def scalar_rules(spark, d) -> DataFrame:
     """Field rules over every customer: keys, booleans, units, grades, hashes, months, words of status."""
-    c = table(spark, d, "customer")
+    c = spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     k = F.col("c_custkey").cast("int")
     pick = lambda *words: F.element_at(F.array(*[F.lit(w).cast("string") for w in words]), k % len(words) + 1)
     text = F.concat(F.lit(" （"), F.col("c_name"), F.lit("） "))

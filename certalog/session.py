@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to all cores by keys, for costly steps on tables whose files are too small to be split."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df computed once and kept in the folder of spark.checkpoint.dir, for plans that read it several times; it survives lost executors.
 
