@@ -116,6 +116,9 @@ def versions(spark, d) -> DataFrame:
 
 # Digests
 
+#: Parts that the changes of a term are dealt to.
+TERM_PARTS = 64
+
 
 def match_subscriptions(changed: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(subscriber, channel, destination, product_id, change_type, ts): the newest change of each product that a subscriber's channel is to be told of.
@@ -137,7 +140,9 @@ def match_subscriptions(changed: DataFrame, subscriptions: DataFrame) -> DataFra
     mail = F.coalesce(F.nullif("e", F.lit("")), F.when(F.col("subscriber").contains("@"), F.col("subscriber")))
     to = to.select("subscriber", "channel", F.when(F.col("channel") == "webhook", F.nullif("w", F.lit(""))).when(F.col("channel") == "email", mail).alias("destination")).where("destination is not null")
     hit = contained_terms(said.select("id", "text"), s.select("term")).join(said.select("id", "kind"), "id").select("id.change_id", "kind", "term").distinct()
-    told = s.where("term <> ''").join(to, ["subscriber", "channel"]).select("subscriber", "channel", "destination", "kind", "term").distinct().join(hit, ["kind", "term"])
+    parts = F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))).alias("part")  # many changes hold a frequent term: its subscribers go to every part of them
+    told = s.where("term <> ''").join(to, ["subscriber", "channel"]).select("subscriber", "channel", "destination", "kind", "term").distinct().select("*", parts)
+    told = told.join(hit.withColumn("part", F.pmod(F.xxhash64("change_id"), F.lit(TERM_PARTS)).cast("int")), ["kind", "term", "part"])
     met = told.select("subscriber", "channel", "destination", "change_id").distinct().join(changed.select("change_id", "product_id", "change_type", "ts"), "change_id")
     newest = met.groupBy("subscriber", "channel", "destination", "product_id").agg(F.max(F.struct("ts", "change_id", "change_type")).alias("n"))
     return newest.select("subscriber", "channel", "destination", "product_id", F.col("n.change_type").alias("change_type"), F.col("n.ts").alias("ts"))
