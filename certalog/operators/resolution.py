@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certalog.functions.text import company_key
+from certalog.functions.text import company_key, once
+from certalog.session import staged
+
+#: Names up to which those that are an alias go with every task.
+FEW_NAMES = 20_000
 
 #: Legal forms and kinds of business that are taken off names (fixed values).
 SUFFIXES = (
@@ -32,6 +36,12 @@ def resolve_companies(names: DataFrame, aliases: DataFrame, companies: DataFrame
 
 
 def rebind(products: DataFrame, aliases: DataFrame, suffixes: Sequence[str] = SUFFIXES, replacements: dict[str, str] | None = None) -> DataFrame:
-    """Change rows (product_id, alias, old, new) of the products (product_id, raw_name, company_id) whose name's key is an alias (alias, company_id) of another company."""
-    keyed = products.select("product_id", F.col("company_id").alias("old"), company_key(F.col("raw_name"), suffixes, replacements).alias("alias"))
-    return keyed.join(aliases.select("alias", F.col("company_id").alias("new")), "alias").where(~F.col("old").eqNullSafe(F.col("new"))).select("product_id", "alias", "old", "new")
+    """Change rows (product_id, alias, old, new) of the products (product_id, raw_name, company_id) whose name's key is an alias (alias, company_id) of another company.
+
+    Keys are made once a different name; names that are an alias go to every task if they are few, else products and names meet by name.
+    """
+    names = once(products.select("raw_name").distinct(), alias=company_key(F.col("raw_name"), suffixes, replacements))
+    names = staged(names.join(aliases.select("alias", F.col("company_id").alias("new")), "alias"))
+    names = F.broadcast(names) if names.count() <= FEW_NAMES else names.hint("merge")
+    keyed = products.select("product_id", F.col("company_id").alias("old"), "raw_name").join(names, "raw_name")
+    return keyed.where(~F.col("old").eqNullSafe(F.col("new"))).select("product_id", "alias", "old", "new")

@@ -89,3 +89,34 @@ def test_parameters_of_lines(spark):
     assert (got[1, "SENSITIVITY"].value_num, got[1, "SENSITIVITY"].unit) == (99.5, "%")
     assert (got[1, "STORAGE_CONDITION"].range_low, got[1, "STORAGE_CONDITION"].range_high, got[1, "STORAGE_CONDITION"].unit) == (2.0, 8.0, "C")
     assert (got[1, "SHELF_LIFE"].line, got[1, "INTERFERENCE"].value_text) == (2, "干扰物质无")
+
+
+def test_keys_of_rebound_names_are_made_once_a_name(spark, monkeypatch):
+    from certalog.operators import resolution
+
+    products = spark.range(1000).selectExpr("id product_id", "concat('Trader ', id % 7, ' Ltd') raw_name", "id % 5 company_id")
+    aliases = spark.createDataFrame([("TRADER3", 3), ("TRADER4", None)], "alias string, company_id long")
+    want = sorted((k, "TRADER3", k % 5, 3) for k in range(1000) if k % 7 == 3 and k % 5 != 3) + sorted((k, "TRADER4", k % 5, None) for k in range(1000) if k % 7 == 4)
+    for few in (20_000, 0):
+        monkeypatch.setattr(resolution, "FEW_NAMES", few, raising=False)
+        made = resolution.rebind(products, aliases, ["Ltd"])
+        assert sorted(map(tuple, made.collect()), key=lambda r: (r[1], r[0])) == sorted(want, key=lambda r: (r[1], r[0]))
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan  # no key is made beside the rows
+
+
+def test_changes_of_a_frequent_term_are_dealt_to_parts(spark):
+    """Subscribers of a term met all its changes in one task: the join's keys were kind and term alone."""
+    from certalog.plans import entities
+
+    changed = spark.range(500).selectExpr("id change_id", "id product_id", "'renew' change_type", "timestamp'2001-01-01' ts", "'ring' name", "'d' udi_di", "'r' reg_no", "'c' company")
+    subs = spark.range(3).selectExpr("id sub_id", "concat('s', id) subscriber", "'webhook' channel", "'product' kind", "'RING' target", "'http' webhook_url", "null email_to", "true active")
+    made = entities.match_subscriptions(changed, subs)
+    assert made.count() == made.distinct().count() == 1500
+    assert any("part#" in x and "Join Inner" in x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_costly_rules_are_dealt_to_all_cores(spark):
+    from certalog.plans import upkeep
+
+    assert upkeep.scalar_rules(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
