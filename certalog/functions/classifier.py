@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certalog.functions.text import keyword_hits, keyword_pattern, once
+from certalog.functions.text import has_keyword, keyword_hits, once
 
 #: Keyword lists of the rules (fixed values).
 INSTRUMENT = ("分析仪", "检测仪", "测定仪", "扩增仪", "化学发光", "免疫分析", "生化", "血球", "血凝", "poct")
@@ -32,7 +32,7 @@ def classify(df: DataFrame, code: Column, name: Column, model: Column, specifica
     text = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     code, name = F.trim(F.coalesce(code, F.lit(""))), text(name)
     hits = lambda words: keyword_hits(name, words)
-    some = lambda words: name.rlike(keyword_pattern(words))
+    some = lambda words: has_keyword(name, words)
     whole = F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in (name, text(model), text(specification), text(category))])
     none = F.array().cast("array<string>")
 
@@ -40,7 +40,7 @@ def classify(df: DataFrame, code: Column, name: Column, model: Column, specifica
         return F.struct(F.lit(kind).cast("string").alias("category"), F.lit(rule).alias("rule"), words.alias("hits"), F.lit(sure).alias("confidence"))
 
     found = (
-        F.when(whole.rlike(keyword_pattern(NEVER)), verdict(None, "global_exclude", keyword_hits(whole, NEVER), 0.99))
+        F.when(has_keyword(whole, NEVER), verdict(None, "global_exclude", keyword_hits(whole, NEVER), 0.99))
         .when(code.startswith("22") | code.startswith("6840"), verdict("reagent", "class_code", none, 0.95))
         .when(code.startswith("07") & some(INSTRUMENT) & ~some(NOT_INSTRUMENT), verdict("instrument", "class_code+keyword", hits(INSTRUMENT), 0.85))
         .when(code.startswith("07"), verdict(None, "class_code+keyword", hits(NOT_INSTRUMENT), 0.8))

@@ -36,7 +36,7 @@ SEVERITY = {
 
 def blank(c: Column) -> Column:
     """Null for a text that is null or blank, else the text without white space at its ends."""
-    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(" \t\n\x0b\f\r")), F.lit(""))
 
 
 def clip(c: Column, most: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +80,8 @@ def registration_key(c: Column) -> Column:
         return F.when((F.size(parts) >= 2) & fits(own), own).otherwise(F.coalesce(whole, F.get(F.filter(parts, fits), 0)))
 
     numbers = lambda x: F.regexp_extract_all(x, F.lit(f"({_ANCHOR}.*?)(?={_ANCHOR}|$)"), F.lit(1))
-    return bound(clean, lambda x: F.when(x == "", None).otherwise(bound(numbers(x), lambda parts: chosen(x, parts))))
+    read = bound(clean, lambda x: F.when(x == "", None).otherwise(bound(numbers(x), lambda parts: chosen(x, parts))))
+    return F.when(c.rlike(r"\A[0-9A-Z]{1,120}\z"), c).otherwise(read)  # a key already
 
 
 def loose_key(c: Column) -> Column:
@@ -113,10 +116,17 @@ def keyword_pattern(words: Sequence[str]) -> str:
     return "|".join(token(w.lower()) for w in words)
 
 
+def has_keyword(c: Column, words: Sequence[str]) -> Column:
+    """Whether a text in lower case has one of the words, by keyword_pattern: a pattern is tried for those alone that are whole tokens."""
+    tokens = [w for w in words if re.fullmatch(r"[a-z0-9\\-]+", w)]
+    tests = [F.contains(c, F.lit(w.lower())) for w in words if w not in tokens] + ([c.rlike(keyword_pattern(tokens))] if tokens else [])
+    return reduce(or_, tests)
+
+
 def keyword_hits(c: Column, words: Sequence[str]) -> Column:
     """Array of the words that a text has, by keyword_pattern."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.rlike(keyword_pattern([w])), F.lit(w)) for w in words]))
+    return F.array_compact(F.array(*[F.when(has_keyword(low, [w]), F.lit(w)) for w in words]))
 
 
 def first_text(*columns: Column) -> Column:

@@ -96,7 +96,10 @@ def records(raw: DataFrame) -> DataFrame:
     there = {c.lower() for c in raw.columns}
     text = {f: first_text(*[F.col(n) for n in names if n.lower() in there]) for f, names in COLUMNS.items()}
     told = {n for names in COLUMNS.values() for n in names}
-    made = once(raw, **{f"_{f}": c for f, c in text.items()}).drop(*told)
+    made, names = raw, list(text)
+    for k in range(0, len(names), 2):  # two at a time: a generated method of more than 8,000 bytes stays interpreted by the JVM
+        made = once(made, **{f"_{f}": text[f] for f in names[k : k + 2]})
+    made = made.drop(*told)
     expiry = fields.record_date(F.col("_expiry_date"), LAST_YEAR + 10)
     error = (
         F.when(F.col("_name").isNull(), "Missing required field: name")
@@ -196,7 +199,7 @@ def outcomes(spark, d) -> DataFrame:
     r = records(raw_rows(spark, d))
     none = F.lit(None).cast("string")
     a, b = fields.blank(F.col("reg_no")), fields.blank(F.col("registry_no"))
-    r = once(r, a=a, b=b, k1=registration_key(a), k2=registration_key(b))
+    r = once(once(r, a=a, b=b), k1=registration_key(F.col("a")), k2=registration_key(F.col("b")))
     v = classifier.classify(r, F.col("class_name"), F.col("name"), none, none, none)
     v = once(v, g=anchor(F.col("a"), F.col("b"), F.col("k1"), F.col("k2"), F.col("udi_di"), "UDI"))
     outcome = (

@@ -195,3 +195,37 @@ def test_rules_of_single_fields(spark):
 def test_older_rules_of_scope(spark, words, is_ivd, reason):
     v = spark.createDataFrame([(words,)], "t string").select(classifier.scope_by_words(F.col("t")).alias("v")).first().v
     assert (v.is_ivd, v.reason) == (is_ivd, reason)
+
+
+def test_plain_numbers_words_and_ends_of_texts_are_read_alike(spark):
+    """Short cuts of keys, keywords and blanks give what their patterns say."""
+    from certalog.functions import classifier, fields, text
+
+    odd = ["REG0000000001", "REG1\n", "", "A" * 120, "A" * 121, "REG s1", "REGs1", "国械注准20200001", "0", "reg-1", None, " REG1", "ＲＥＧ１"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    got = {r.x: r.k for r in df.select("x", text.registration_key(F.col("x")).alias("k")).collect()}
+    assert got == {
+        "REG0000000001": "REG0000000001", "REG1\n": "REG1", "": None, "A" * 120: "A" * 120, "A" * 121: None, "REG s1": "REG", "REGs1": "REG", "国械注准20200001": "国械注准20200001", "0": "0",
+        "reg-1": "REG1", None: None, " REG1": "REG1", "ＲＥＧ１": "REG1",
+    }
+    words = classifier.NEVER + classifier.INSTRUMENT_WITHOUT_CODE + classifier.SUBTYPES["PCR"] + classifier.SUBTYPES["POCT"] + classifier.SUBTYPES["NGS"]
+    names = spark.createDataFrame([(x,) for x in ["采血管", "poct", "poct2", "a-poct b", "next generation sequencing", "rt-pcr", "xrt-pcr", "pcr仪", "", None, "point-of-care"]], "x string")
+    assert names.where(~text.has_keyword(F.col("x"), words).eqNullSafe(F.col("x").rlike(text.keyword_pattern(words)))).count() == 0
+    ends = spark.createDataFrame([(x,) for x in [" a b ", "\t\n\x0b\f\ra\r\n", " \n", "", None, "　a"]], "x string")
+    assert [r[0] for r in ends.select(fields.blank(F.col("x"))).collect()] == ["a b", "a", None, None, None, "　a"]
+
+
+def test_reading_records_stays_within_what_the_jvm_compiles(spark):
+    """A generated method of more than 8,000 bytes is never compiled by the JVM: the mapping of records had one of 10,184."""
+    import re
+
+    from certalog.plans import ingest
+
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # whole stages are known before the run
+    try:
+        code = debug.codegenString(ingest.outcomes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(-?\d+)", code)]
+    assert sizes and max(sizes) < 8_000
