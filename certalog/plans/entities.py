@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certalog.functions import fields
+from certalog.functions.text import bound, once
+from certalog.operators import tables
 from certalog.operators.hierarchy import reached, seed_tree
-from certalog.operators.matching import contained_terms
+from certalog.operators.matching import are_few, contained_terms
 from certalog.operators.resolution import rebind, resolve_companies
 from certalog.plans.binding import DAY, SHIFT, SQL, changes, companies
-from certalog.session import table
+from certalog.session import spread, table
 
 #: Legal forms of this binding.
 FORMS = ["Co", "CO", "Ltd", "LTD", "Inc", "INC"]
@@ -211,21 +213,37 @@ def extract_params(documents: DataFrame, ontology: DataFrame) -> DataFrame:
     """(doc_id, param_code, line, evidence, value_num, value_text, unit, range_low, range_high): what lines of texts say of parameters.
 
     ontology: code, alias (in lower case). A line that holds an alias of a code gives the code its value; of equal lines of a document the first
-    counts. Lines are rows of their own, so no document is gathered; those without any alias go in one test before the join.
+    counts. Lines are rows of their own, so no document is gathered. A value is read once a line, before the line becomes a row of each of its
+    codes; lines are dealt by their evidence before that, and neither evidence nor text is a key of it.
     """
     lines = documents.select("doc_id", F.posexplode(F.split("text", r"\R|[\x1c-\x1e]")).alias("line", "t")).select("doc_id", "line", fields.blank(F.col("t")).alias("t")).where("t is not null")
-    terms = ontology.select("alias", "code").where("alias <> ''").distinct()
-    body = lines.select(F.struct("doc_id", "line").alias("id"), F.lower("t").alias("text"))
-    hits = contained_terms(body, terms.select("alias")).withColumnRenamed("term", "alias").join(terms, "alias").select("id.doc_id", "id.line", "code").distinct()
-    found = hits.join(lines, ["doc_id", "line"]).groupBy("doc_id", F.col("code").alias("param_code"), F.substring("t", 1, 500).alias("evidence")).agg(F.min(F.struct("line", "t")).alias("first"))
-    return found.withColumn("v", fields.extracted_value(F.col("first.t"))).select("doc_id", "param_code", F.col("first.line").alias("line"), "evidence", "v.*")
+    said = _line_codes(lines, ontology.select("alias", "code").where("alias <> ''").distinct())
+    read = once(said, v=fields.extracted_value(F.col("t")), evidence=F.substring("t", 1, 500)).select("doc_id", "line", "codes", "evidence", "v.*")
+    key = ["doc_id", "k1", "k2"]  # of 128 bits for the evidence
+    dealt = read.withColumns({"k1": F.xxhash64("evidence"), "k2": F.xxhash64(F.lit(1), F.col("evidence"))}).repartition(*key)
+    each = dealt.withColumn("param_code", F.explode("codes"))
+    first = tables.latest(each, [*key, "param_code"], [F.col(c).asc() for c in ("line", "value_num", "unit", "range_low", "range_high")])
+    return first.select("doc_id", "param_code", "line", "evidence", "value_num", "value_text", "unit", "range_low", "range_high")
+
+
+def _line_codes(lines: DataFrame, terms: DataFrame) -> DataFrame:
+    """lines (doc_id, line, t) that hold an alias of terms (alias, code), with the codes of all that they hold."""
+    if are_few(terms.select("alias").distinct()):
+        by_alias = terms.groupBy("alias").agg(F.collect_set("code").alias("codes"))
+        every = lines.join(F.broadcast(by_alias.agg(F.collect_list(F.struct("alias", "codes")).alias("terms"))))
+        held = lambda b: F.filter(b["terms"], lambda x: F.contains(b["low"], x["alias"]))
+        found = bound(F.struct(F.lower("t").alias("low"), "terms"), held)
+        return once(every, codes=F.array_distinct(F.flatten(F.transform(found, lambda x: x["codes"])))).where("size(codes) > 0").drop("terms")
+    of_id = lines.withColumn("id", F.struct("doc_id", "line"))
+    hits = contained_terms(of_id.select("id", F.lower("t").alias("text")), terms.select("alias")).withColumnRenamed("term", "alias").join(terms, "alias")
+    return of_id.join(hits.groupBy("id").agg(F.collect_set("code").alias("codes")), "id").drop("id")
 
 
 def document_params(spark, d) -> DataFrame:
     """Parameters that the documents' lines name, by the ontology and by words of the part names."""
     own = spark.createDataFrame([(c, a) for c, words in ONTOLOGY.items() for a in words], "code string, alias string")
     parts = table(spark, d, "part").select(F.upper("p_type").alias("code"), F.lower(F.split("p_name", " ")[1]).alias("alias")).distinct()
-    return extract_params(table(spark, d, "documents"), own.unionByName(parts)).drop("evidence", "value_text")
+    return extract_params(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), own.unionByName(parts)).drop("evidence", "value_text")
 
 
 _MAKER = "'Maker ' || country || '.' || (company_id % 40) || ' Ltd'"

@@ -120,3 +120,22 @@ def test_costly_rules_are_dealt_to_all_cores(spark):
     from certalog.plans import upkeep
 
     assert upkeep.scalar_rules(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_lines_are_read_before_they_become_rows_of_codes(spark, monkeypatch):
+    """Each code of a line took its text through a join and a shuffle, where documents without an id were lost."""
+    own = spark.createDataFrame([("A", "ring"), ("B", "ring"), ("C", "rod"), ("D", "")], "code string, alias string")
+    same = "x" * 500  # lines of one evidence
+    docs = spark.createDataFrame([(None, "Ring 5 mm\nnothing\nrod"), (1, f"{same} ring 1 ml\n{same} rod ring 2 ml\n{same} rod 3 ml\nrod")], "doc_id int, text string")
+    want = {(None, "A", 0, 5.0), (None, "B", 0, 5.0), (None, "C", 2, None), (1, "A", 0, 1.0), (1, "B", 0, 1.0), (1, "C", 1, 2.0), (1, "C", 3, None)}
+    for few in (1000, 0):
+        monkeypatch.setattr("certalog.operators.matching.FEW_TERMS", few)
+        made = entities.extract_params(docs, own)
+        got = [(r.doc_id, r.param_code, r.line, r.value_num) for r in made.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert few == 0 or made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the terms
+
+
+def test_documents_of_one_row_group_are_dealt_before_their_lines_are_searched(spark):
+    plan = entities.document_params(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.rindex("RepartitionByExpression [doc_id")  # printed from the result down to the tables
