@@ -35,10 +35,14 @@ def normalised_lookup(spark, d) -> DataFrame:
         "registration_id", F.when(F.col("registration_id") % 2 == 0, F.col("registration_no")).otherwise(F.concat(F.lit("reg-"), F.substring("registration_no", 4, 10))).alias("asked")
     )
     r = registrations(spark, d).select(F.col("registration_no").alias("no"), F.col("registration_id").alias("found"), "created_date")
-    exact = asked.join(r.drop("created_date"), F.col("asked") == F.col("no"), "left").withColumnRenamed("found", "exact").drop("no")
-    keyed = tables.latest(r.withColumn("key", fn.loose_key(F.col("no"))), ["key"], [F.col("created_date").desc_nulls_last(), F.col("found").desc()])
-    loose = keyed.select("key", F.col("found").alias("loose"))
-    return exact.join(loose, fn.loose_key(F.col("asked")) == F.col("key"), "left").select("registration_id", "asked", F.coalesce("exact", "loose").alias("found"), F.col("exact").isNotNull().alias("is_exact"))
+    # a join or window sorts by its keys: their hashes come first, so that few comparisons read a text, and none makes a key again
+    asked = asked.withColumns({"h": F.xxhash64("asked"), "asked_key": fn.loose_key(F.col("asked"))})
+    exact = asked.join(r.select(F.xxhash64("no").alias("h"), F.col("no").alias("asked"), F.col("found").alias("exact")), ["h", "asked"], "left").drop("h")
+    keyed = r.withColumn("key", fn.loose_key(F.col("no"))).withColumn("h", F.xxhash64("key"))
+    keyed = tables.latest(keyed, ["h", "key"], [F.col("created_date").desc_nulls_last(), F.col("found").desc()])
+    loose = keyed.select("h", F.col("key").alias("asked_key"), F.col("found").alias("loose"))
+    found = exact.withColumn("h", F.xxhash64("asked_key")).join(loose, ["h", "asked_key"], "left")
+    return found.select("registration_id", "asked", F.coalesce("exact", "loose").alias("found"), F.col("exact").isNotNull().alias("is_exact"))
 
 
 def batch_signals(spark, d) -> DataFrame:

@@ -183,3 +183,12 @@ def test_sets_of_trigrams_are_not_broadcast(spark):
     plan = matching.similar_texts(texts, texts, 0.2)._jdf.queryExecution().sparkPlan().toString()
     assert all("t_a" not in line and "t_b" not in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
     assert plan.count("SortMergeJoin") >= 2
+
+
+def test_lookup_keys_are_columns_before_their_join(spark):
+    """A key in the join's condition was made again in every comparison of the join's sort."""
+    from certalog.plans import more
+
+    plan = more.normalised_lookup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join LeftOuter" in x]
+    assert len(joins) == 2 and all("h#" in x and "regexp_replace" not in x for x in joins)
