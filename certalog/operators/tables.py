@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,38 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _counted(columns: Sequence[str], most: int):
+    """Of the batches of a task: of each column the rows, those filled and the most first different values."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, filled = 0, dict.fromkeys(columns, 0)
+        least = {c: pa.array([], pa.string()) for c in columns}
+        for batch in batches:
+            total += batch.num_rows
+            for c in columns:
+                values = batch.column(c)
+                filled[c] += len(values) - values.null_count
+                if len(least[c]) >= most:
+                    values = values.filter(pc.less(values, least[c][-1]))  # drops nulls too
+                if values.null_count < len(values):
+                    every = pc.unique(pa.concat_arrays([least[c], values.drop_null().cast(pa.string())]))
+                    least[c] = every.take(pc.sort_indices(every))[:most]
+        if total:
+            yield pa.record_batch({"field": list(columns), "total": [total] * len(columns), "filled": list(filled.values()), "least": pa.array([least[c].to_pylist() for c in columns], pa.list_(pa.string()))})
+
+    return counted
+
+
+def first_values(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """(field, total, filled, least): of each text column the rows, those not null, and the most first of its different values in order.
+
+    One pass: a task keeps a few values of each column, so neither cells nor different values become rows. An empty table has no fields.
+    """
+    each = df.select(*columns).mapInArrow(_counted(list(columns), most), "field string, total long, filled long, least array<string>")
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("least")))), 1, most)  # of each task's
+    return each.groupBy("field").agg(F.sum("total").alias("total"), F.sum("filled").alias("filled"), least.alias("least"))
+
+
 def trigrams(text: Column) -> Column:
     """Set of the trigrams of a text's words, each padded by two blanks before and one after, in lower case."""
     words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))

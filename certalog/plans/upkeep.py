@@ -105,12 +105,9 @@ def param_candidates(spark, d, samples: int = 3) -> DataFrame:
     """How full each source field is, and the first of its values: one row a field, the fullest first, fifty at most."""
     raw = raw_rows(spark, d)
     names = [c for c in raw.columns if c not in ("registration_id", "line", "part_id", "company_id", "quantity")]
-    each = raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), fields.blank(F.col(c)).alias("value")) for c in names])).alias("e")).select("e.*")
-    n = each.groupBy("field", "value").agg(F.count("*").alias("n"))
-    total = n.groupBy("field").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("filled"))
-    first = tables.numbered(n.where("value is not null"), ["field"], [F.col("value").asc()], "r").where(F.col("r") <= samples)
-    told = first.groupBy("field").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples"))
-    out = total.join(told, "field", "left").select("field", "total", "filled", F.round(1 - F.col("filled") / F.col("total"), 6).alias("empty_rate"), "samples")
+    each = tables.first_values(raw.select(*[fields.blank(F.col(c)).alias(c) for c in names]), names, samples)
+    told = F.when(F.size("least") > 0, F.array_join("least", "|")).alias("samples")
+    out = each.select("field", "total", "filled", F.round(1 - F.col("filled") / F.col("total"), 6).alias("empty_rate"), told)
     return out.orderBy(F.col("filled").desc(), "field").limit(50)
 
 

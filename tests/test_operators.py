@@ -66,3 +66,15 @@ def test_keys_read_their_text_once(spark):
     keys = df.select(text.registration_key(F.upper("n")).alias("k"), text.half_width(F.upper("n")).alias("h"))
     assert keys._jdf.queryExecution().optimizedPlan().toString().count("upper(n") == 2
     assert [r.k for r in keys.collect()] == ["国械注准2023340001MG", "X1", None]
+
+
+def test_first_values_are_kept_by_tasks(spark):
+    """Every cell became a row and every different value a group."""
+    from certalog.plans import upkeep
+
+    df = spark.range(5000).repartition(7).selectExpr("concat('v', lpad(5000 - id, 4, '0')) a", "if(id % 3 = 0, null, array('é', 'z', 'Ａ')[id % 3]) b", "cast(null as string) c", "if(id = 77, 'one', null) d")
+    got = {r.field: (r.total, r.filled, r.least) for r in tables.first_values(df, df.columns, 3).collect()}
+    assert got == {"a": (5000, 5000, ["v0001", "v0002", "v0003"]), "b": (5000, 3333, ["z", "Ａ"]), "c": (5000, 0, []), "d": (5000, 1, ["one"])}
+    assert tables.first_values(df.where("false"), df.columns, 3).collect() == []
+    plan = upkeep.param_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
