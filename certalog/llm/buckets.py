@@ -18,8 +18,8 @@ HUBS = 8
 SPREAD = 4096
 #: Numbers of 64 bits of a text's sketch; a power of two.
 WORDS = 16
-#: What members of a bucket carry to a comparison: their set, or their text and its sketch.
-CARRIED = ("s", "b", "z")
+#: Members of a bucket whose texts meet one hub first, not HUBS.
+FEW = 16
 
 
 def node(k1: str = "k1", k2: str = "k2") -> Column:
@@ -35,11 +35,7 @@ def members(signed: DataFrame, rows: int, bands: int) -> DataFrame:
 
 
 def similar(s: str, hs: str, similarity: float, shingled: Callable[[Column], Column] | None = None) -> Column:
-    """Whether two shingle sets have the Jaccard similarity; sizes that rule it out are looked at first.
-
-    shingled: what makes a set of a column, if it holds texts: they are a fraction of their sets' size, so they travel in their stead, with
-    a sketch each (b, z; see sketched). Sets of one pair differ by at least the bits in which its sketches do, so most pairs make no set.
-    """
+    """Whether two shingle sets have the Jaccard similarity; shingled: what makes a set of a column, if it holds texts."""
 
     def near(a: Column, b: Column) -> Column:
         n, hn, shared = F.size(a), F.size(b), F.size(F.array_intersect(a, b))
@@ -47,42 +43,53 @@ def similar(s: str, hs: str, similarity: float, shingled: Callable[[Column], Col
 
     if shingled is None:
         return near(F.col(s), F.col(hs))
-    apart = sum((F.bit_count(F.get("b", i).bitwiseXOR(F.get("hb", i))) for i in range(WORDS)), F.lit(0))
-    may = apart * (1 + similarity) <= (1 - similarity) * (F.col("z") + F.col("hz")) + 1e-6
     both = F.array(F.struct(shingled(F.col(s)).alias("a"), shingled(F.col(hs)).alias("b")))
-    return may & F.transform(both, lambda p: near(p["a"], p["b"]))[0]  # each set is made once
+    return F.transform(both, lambda p: near(p["a"], p["b"]))[0]  # each set is made once
+
+
+def possible(similarity: float) -> Column:
+    """Whether the sketches of two texts (b, z and hb, hz; see sketched) allow the similarity: their sets differ by at least the bits in which these do."""
+    apart = sum((F.bit_count(F.get("b", i).bitwiseXOR(F.get("hb", i))) for i in range(WORDS)), F.lit(0))
+    return (F.least("z", "hz") >= similarity * F.greatest("z", "hz")) & (apart * (1 + similarity) <= (1 - similarity) * (F.col("z") + F.col("hz")) + 1e-6)
 
 
-def sketched(texts: DataFrame, every: Callable[[Column], Column], most: Column) -> DataFrame:
-    """texts (k unique, s) with b, the bits that the hashes of the members of a text's set name, as WORDS numbers, and z, at least the set's size.
+def sketched(texts: DataFrame, shingled: Callable[[Column], Column]) -> DataFrame:
+    """texts (k unique, s) with z, the size of a text's set of hashes, and b, which of WORDS * 64 bits an odd number of them name, as WORDS numbers.
 
-    every: all members of the set of a text, repeats allowed. They are exploded and aggregated within generated code.
+    One more member in one of two sets turns one bit, so the sets differ by at least the bits in which these do. They are exploded and aggregated
+    within generated code, by two numbers that stand for k, of which the writing to a hash table would cost more than all else.
     """
-    hashed = texts.select("k", F.explode(every(F.col("s"))).alias("x")).select("k", F.xxhash64("x").alias("x"))
+    keyed = texts.withColumns({"_k1": F.xxhash64("k"), "_k2": F.xxhash64(F.lit(1), "k")})
+    hashed = keyed.select("_k1", "_k2", F.explode(shingled(F.col("s"))).alias("x"))
     word, bit = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
-    words = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(WORDS)]
-    bits = hashed.groupBy("k").agg(*words).select("k", F.array(*[f"b{i}" for i in range(WORDS)]).alias("b"))
-    return texts.join(bits, "k").withColumn("z", most)
+    words = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(WORDS)]
+    bits = hashed.groupBy("_k1", "_k2").agg(F.count("*").alias("z"), *words).select("_k1", "_k2", F.array(*[f"b{i}" for i in range(WORDS)]).alias("b"), "z")
+    return keyed.join(bits, ["_k1", "_k2"]).drop("_k1", "_k2")
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float, shingled: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The pairs (k, h, m) whose shingle sets have the similarity; a hub's set is repeated so that about SPREAD pairs meet each copy."""
+def alike(pairs: DataFrame, sets: DataFrame, carried: tuple[str, ...], linked: Column) -> DataFrame:
+    """The pairs (k, h, m) for which linked holds, told by what both carry to it; what a hub carries is repeated so that about SPREAD pairs meet each copy."""
     salts = F.ceil(F.col("m") / SPREAD).cast("int")
     pairs = written(pairs)
     hubs = pairs.groupBy("h").agg(F.max("m").alias("m"))
     copies = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
-    own = CARRIED if shingled else CARRIED[:1]
-    other = sets.select(F.col("k").alias("h"), *[F.col(c).alias(f"h{c}") for c in own]).join(hubs, "h").select("h", *[f"h{c}" for c in own], copies)
-    mine = pairs.join(sets.select("k", *own), "k").select("k", "h", *own, F.pmod(F.xxhash64("k"), salts).cast("int").alias("salt"))
-    return mine.join(other, ["h", "salt"]).where(similar("s", "hs", similarity, shingled)).select("k", "h")
+    other = sets.select(F.col("k").alias("h"), *[F.col(c).alias(f"h{c}") for c in carried]).join(hubs, "h").select("h", *[f"h{c}" for c in carried], copies)
+    mine = pairs.join(sets.select("k", *carried), "k").select("k", "h", "m", *carried, F.pmod(F.xxhash64("k"), salts).cast("int").alias("salt"))
+    return mine.join(other, ["h", "salt"]).where(linked).select("k", "h", "m")
 
 
-def hub_pairs(found: DataFrame, rows: int) -> DataFrame:
-    """(k, h, m): the members of each bucket, so many rows, with HUBS of its own, and the largest bucket that brings them together."""
+def met(found: DataFrame, rows: int, few: int = 0) -> DataFrame:
+    """(band, k, m, hubs): the members of each bucket, so many rows, with its size and HUBS of its own, one in a bucket of few; a written table."""
     own = F.array_distinct(F.array(*[F.min_by("k", F.xxhash64(F.lit(i), F.col("k"))) for i in range(HUBS)]))
     hubs = found.groupBy("band").agg(F.count("*").alias("m"), own.alias("hubs"))
-    pairs = join_counted(found, hubs, ["band"], "m", rows).select("k", "m", F.explode("hubs").alias("h"))
-    return pairs.where("k <> h").groupBy("k", "h").agg(F.max("m").alias("m"))
+    hubs = hubs.select("band", "m", F.slice("hubs", 1, F.when(F.col("m") <= few, 1).otherwise(HUBS)).alias("hubs"))
+    return written(join_counted(found.select("band", "k"), hubs, ["band"], "m", rows).select("band", "k", "m", "hubs"))
+
+
+def hub_pairs(met: DataFrame) -> DataFrame:
+    """(k, h, m): the members of each bucket with its hubs, two hubs once, and the largest bucket that brings them together."""
+    pairs = met.select("k", "m", "hubs", F.explode("hubs").alias("h")).where((F.col("k") < F.col("h")) | ~F.array_contains("hubs", F.col("k")))
+    return pairs.groupBy("k", "h").agg(F.max("m").alias("m"))
 
 
 def units(labelled: DataFrame, rows: int, sets: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
@@ -108,10 +115,19 @@ def units(labelled: DataFrame, rows: int, sets: DataFrame, *kept: str) -> tuple[
 
 
 def across(labelled: DataFrame, rows: int, sets: DataFrame, similarity: float, shingled: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(k, h): the links between members of a bucket that are in different components. Rows that leave the join are links, not candidates."""
-    own, other = units(labelled, rows, sets, *(CARRIED if shingled else CARRIED[:1]))
+    """(k, h): the links between members of a bucket that are in different components. Rows that leave the join are links, not candidates.
+
+    Of texts (see similar) only the sketches meet in the join; the texts follow for those pairs that these allow.
+    """
+    own, other = units(labelled, rows, sets, *(("b", "z") if shingled else ("s",)))
     apart = (F.col("c") != F.col("hc")) & (F.col("led") | (F.col("k") < F.col("h")))
-    return own.join(other, ["band", "bi", "bj"]).where(apart & similar("s", "hs", similarity, shingled)).select("k", "h")
+    both = own.join(other, ["band", "bi", "bj"])
+    if not shingled:
+        return both.where(apart & similar("s", "hs", similarity)).select("k", "h")
+    pairs = written(both.where(apart & possible(similarity)).select("k", "h").distinct())
+    often = pairs.groupBy("h").agg(F.count("*").alias("m"))
+    counted = join_counted(pairs, often, ["h"], "m", pairs.count()).select("k", "h", "m")
+    return alike(counted, sets, ("s",), similar("s", "hs", similarity, shingled)).select("k", "h")
 
 
 def connected(
@@ -125,12 +141,17 @@ def connected(
 
     s may be a text that shingled makes a set of; sets is then sketched.
 
-    Members of a bucket are compared with some hubs of it, so that large groups become components at once; then all that are still in
+    Members of a bucket are compared with some hubs of it, so that large groups become components at once; then all others that are still in
     different components are compared. No link between two members of a bucket is lost.
     """
     rows = found.count()
-    stars = components(alike(hub_pairs(found, rows), sets, similarity, shingled), "k", "h")
+    each = met(found, rows, FEW if shingled else 0)
+    pairs = hub_pairs(each)
+    if shingled:
+        pairs = alike(pairs, sets, ("b", "z"), possible(similarity))
+    stars = components(alike(pairs, sets, ("s",), similar("s", "hs", similarity, shingled)), "k", "h")
     named = stars.withColumnsRenamed({"node": "k", "component": "c"})
-    labelled = written(found.select("band", "k").join(named, "k", "left").select("band", "k", F.coalesce("c", "k").alias("c")))
+    others = each.where(~F.array_contains("hubs", F.col("k"))).select("band", "k")  # hubs have met all of their bucket
+    labelled = written(others.join(named, "k", "left").select("band", "k", F.coalesce("c", "k").alias("c")))
     more = rest(labelled, rows, sets, similarity) if rest else across(labelled, rows, sets, similarity, shingled)
     return components(stars.select(F.col("node").alias("k"), F.col("component").alias("h")).unionByName(more), "k", "h")

@@ -14,6 +14,8 @@ LINE = ("k1", "k2")
 #: Letters, digits and signs of scripts with spaces; ASCII signs other than those.
 _RUN, _SIGNS = r"[0-9A-Za-z\x80-⹿]", r"[!-/:-@\[-`{-~]"
 
+_WORD = rf"(?:{_RUN}{{1,{SHINGLE}}}+(?!{_RUN})|\S){_SIGNS}*+\s*+"
+
 
 def shingles(line: Column) -> Column:
     """All runs of SHINGLE characters of the line; a shorter line is one."""
@@ -28,8 +30,7 @@ def anchored(line: Column) -> Column:
     without spaces. Every character of the line is in one. Where they begin depends on the characters next to them alone, so an edit leaves
     all others as they are, in long words and scripts without spaces too; they stand for all shingles where candidates are looked for.
     """
-    word = rf"(?:{_RUN}{{1,{SHINGLE}}}(?!{_RUN})|\S){_SIGNS}*\s*"
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}})){word}"), F.lit(1))
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}})){_WORD}"), F.lit(1))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -57,8 +58,10 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def shingle_set(line: Column) -> Column:
-    """The hashes of all shingles of a line."""
-    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
+    """The hashes of all shingles of a line, each once. They are cut from UTF-32, where a character is found by its place, and the line is encoded once."""
+    at = lambda b: F.sequence(F.lit(0), F.greatest(F.length(b) - 4 * SHINGLE, F.lit(0)), F.lit(4))
+    cut = F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i + 1, 4 * SHINGLE))))
+    return F.array_distinct(cut[0])
 
 
 def wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -69,8 +72,8 @@ def wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def sketched_lines(texts: DataFrame) -> DataFrame:
-    """Lines with sketches of all their shingles, of which there are at most so many as characters."""
-    return sketched(texts, shingles, F.greatest(F.length("s") - SHINGLE + 1, F.lit(1)))
+    """Lines with sketches of all their shingles, and the number of these."""
+    return sketched(texts, shingle_set)
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

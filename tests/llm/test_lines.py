@@ -218,3 +218,26 @@ def test_sketches_spare_the_sets_of_unlike_lines_and_lose_no_link(spark):
             spared += far
             assert not far or similarity(shingle_set(a.s), shingle_set(b.s)) < 0.8
     assert spared > 0.9 * len(each) * (len(each) - 1) / 2
+
+
+def test_sketches_tell_long_unlike_lines_apart_and_count_their_shingles(spark):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefgh 国😀") for _ in range(n))
+    lines_of = [(a := some(900)) + some(300), a + some(300), "ab" * 500, "国😀", some(8), "x" * 40]
+    each = lines.sketched_lines(spark.createDataFrame(list(enumerate(lines_of)), "k int, s string")).orderBy("k").collect()
+    assert [r.z for r in each] == [len(shingle_set(r.s)) for r in each]
+    a, b = each[:2]
+    assert 0.5 < similarity(shingle_set(a.s), shingle_set(b.s)) < 0.7
+    assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a.b, b.b)) * 1.8 > 0.2 * (a.z + b.z)
+
+
+def test_members_of_a_bucket_meet_their_hubs_once(spark):
+    from certalog.llm import buckets
+    from certalog.llm.common import scratch
+
+    found = spark.createDataFrame([(band, k) for band, m in ((1, 2), (2, 10), (3, 40)) for k in range(100 * band, 100 * band + m)], "band int, k int")
+    with scratch(spark):
+        pairs = [frozenset((r.k, r.h)) for r in buckets.hub_pairs(buckets.met(found, 52, buckets.FEW)).collect()]
+    count = {band: sum(min(p) // 100 == band for p in pairs) for band in (1, 2, 3)}
+    h = buckets.HUBS
+    assert len(set(pairs)) == len(pairs) and count == {1: 1, 2: 9, 3: h * (h - 1) // 2 + h * (40 - h)}
