@@ -13,7 +13,6 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 8, 6, 3, 0.8
 LINE = ("k1", "k2")
 #: Letters, digits and signs of scripts with spaces; ASCII signs other than those.
 _RUN, _SIGNS = r"[0-9A-Za-z\x80-⹿]", r"[!-/:-@\[-`{-~]"
-
 _WORD = rf"(?:{_RUN}{{1,{SHINGLE}}}+(?!{_RUN})|\S){_SIGNS}*+\s*+"
 
 
